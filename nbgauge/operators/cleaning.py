@@ -37,25 +37,36 @@ def _as_number(name: str) -> Column:
     return F.col(f"`{name}`").try_cast("double").alias(name)
 
 
+def complete_rows(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """Rows without NULL in the given columns, or in any.
+
+    One predicate per column: the single predicate of ``na.drop`` over many
+    columns makes the planner derive a variant per subset of renamed columns.
+    """
+    for name in columns or df.columns:
+        df = df.where(F.col(f"`{name}`").isNotNull())
+    return df
+
+
 def clean_features(features: DataFrame) -> DataFrame:
     """Distinct rows, every column but the id (and text tags) a number, no NULL left."""
     kept = ("kernel_id", *TEXT_COLUMNS)
     rows = features.dropDuplicates()
     rows = rows.select(*[F.col(c) if c in kept else _as_number(c) for c in rows.columns])
-    return rows.na.drop().withColumnRenamed("kernel_id", "KernelId")
+    return complete_rows(rows).withColumnRenamed("kernel_id", "KernelId")
 
 
 def clean_scores(scores: DataFrame, extra: Iterable[str] = ()) -> DataFrame:
     """Distinct score rows whose four scores are numbers."""
     numbers = ["combined_score", "TotalVotes", "score_scaled", "vote_scaled"]
     rows = scores.select(*SCORE_COLUMNS, *extra).dropDuplicates()
-    return rows.withColumns({c: F.col(c).try_cast("double") for c in numbers}).na.drop(subset=numbers)
+    return complete_rows(rows.withColumns({c: F.col(c).try_cast("double") for c in numbers}), numbers)
 
 
 def clean_experts(experts: DataFrame) -> DataFrame:
     """Distinct expert scores that are numbers."""
     rows = experts.select("KernelId", "expert_score").dropDuplicates()
-    return rows.withColumn("expert_score", F.col("expert_score").try_cast("double")).na.drop(subset=["expert_score"])
+    return complete_rows(rows.withColumn("expert_score", F.col("expert_score").try_cast("double")), ["expert_score"])
 
 
 def features_only(df: DataFrame, include_pt: bool = True, drop: Iterable[str] = ID_AND_SCORE_COLUMNS) -> DataFrame:
@@ -95,7 +106,7 @@ def one_row_per_key(df: DataFrame, key: str = "kernel_id") -> DataFrame:
 
 
 def distinct_complete_rows(df: DataFrame) -> DataFrame:
-    return df.na.drop().dropDuplicates()
+    return complete_rows(df).dropDuplicates()
 
 
 # -- comments -----------------------------------------------------------------

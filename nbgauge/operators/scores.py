@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nbgauge.operators.cleaning import complete_rows
 from nbgauge.session import cut_lineage
 
 COMMENT_KEYS = (
@@ -28,7 +29,7 @@ def comment_scores(comments: DataFrame) -> DataFrame:
     the shuffle, so a much discussed notebook is no heavy group.
     """
     totals = (
-        comments.na.drop(subset=list(COMMENT_KEYS))
+        complete_rows(comments, COMMENT_KEYS)
         .groupBy(*COMMENT_KEYS)
         .agg(
             F.coalesce(F.sum("CommentVote"), F.lit(0)).alias("CommentVote"),

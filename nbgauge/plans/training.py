@@ -13,6 +13,7 @@ from nbgauge.operators.learning import assembler_of, classifier as classifier_by
 from nbgauge.operators.notebook import apply_filters
 from nbgauge.operators.ordering import balanced_head, random_split, select_extremes
 from nbgauge.operators.registry import ModelRegistry
+from nbgauge.session import cut_lineage
 
 
 def scored_features(
@@ -36,9 +37,12 @@ def training_set(
     test_fraction: float = 0.1,
     seed: int = 42,
 ) -> DataFrame:
-    """Features of the worst and the best notebooks with ``label`` and ``split``."""
+    """Features of the worst and the best notebooks with ``label`` and ``split``.
+
+    The selected rows are written once: training reads them many times.
+    """
     joined = scored_features(features, scores, metrics_filters, scores_filters)
-    ends = select_extremes(joined, sort_by, split_factor, selection_ratio)
+    ends = cut_lineage(select_extremes(joined, sort_by, split_factor, selection_ratio))
     return features_only(random_split(ends, test_fraction, seed=seed), include_pt)
 
 
@@ -75,14 +79,9 @@ def train_job(
     """
     on_metrics = METRICS_FILTERS[metrics_filters] if isinstance(metrics_filters, str) else list(metrics_filters)
     on_scores = SCORES_FILTERS[scores_filters] if isinstance(scores_filters, str) else list(scores_filters)
-    data = training_set(
-        features, scores, on_metrics, on_scores, split_factor, selection_ratio, sort_by, include_pt
-    ).persist()
-    try:
-        model = train(data.where(F.col("split") == "train"), classifier_by_name(classifier, **(params or {})), metrics)
-        reports = {"default": evaluate(model, data.where(F.col("split") == "test")), "experts": None}
-    finally:
-        data.unpersist()
+    data = training_set(features, scores, on_metrics, on_scores, split_factor, selection_ratio, sort_by, include_pt)
+    model = train(data.where(F.col("split") == "train"), classifier_by_name(classifier, **(params or {})), metrics)
+    reports = {"default": evaluate(model, data.where(F.col("split") == "test")), "experts": None}
     if experts is not None:
         reports["experts"] = evaluate(model, expert_test_set(features, experts, on_metrics, include_pt))
     key = registry.save(
