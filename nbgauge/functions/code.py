@@ -247,16 +247,14 @@ def comment_words(source: Column) -> Column:
 # -- imports ------------------------------------------------------------------
 
 
-def imported_names(source: Column, strict: bool = True) -> Column:
-    """API: top-level names of import statements.
+def import_groups(source: Column) -> Column:
+    """Text after each ``import`` or ``from``: a name, or names with commas."""
+    return F.regexp_extract_all(or_empty(source), F.lit(IMPORT), F.lit(1))
 
-    ``import a.b`` gives ``a``; only the names before the first ``as`` of a
-    comma list are seen.  By default a comma list right after a split one stays
-    in one piece, as published scores have it; ``strict=False`` splits all.
-    """
-    found = F.regexp_extract_all(or_empty(source), F.lit(IMPORT), F.lit(1))
+
+def imported_names_of(groups: Column, strict: bool = True) -> Column:
     if not strict:
-        pieces = F.transform(found, lambda item: F.split(item, rf"(?U){SPACE}*,{SPACE}*", -1))
+        pieces = F.transform(groups, lambda item: F.split(item, rf"(?U){SPACE}*,{SPACE}*", -1))
         return F.flatten(pieces)
 
     names = F.array().cast("array<string>")
@@ -272,6 +270,16 @@ def imported_names(source: Column, strict: bool = True) -> Column:
             .alias("split"),
         )
 
-    scanned = F.aggregate(found, start, step, lambda state: F.concat(state["kept"], state["split"]))
+    scanned = F.aggregate(groups, start, step, lambda state: F.concat(state["kept"], state["split"]))
     # Without a comma nothing is split; the common case stays out of the fold.
-    return F.when(F.contains(F.array_join(found, " "), F.lit(",")), scanned).otherwise(found)
+    return F.when(F.contains(F.array_join(groups, " "), F.lit(",")), scanned).otherwise(groups)
+
+
+def imported_names(source: Column, strict: bool = True) -> Column:
+    """API: top-level names of import statements.
+
+    ``import a.b`` gives ``a``; only the names before the first ``as`` of a
+    comma list are seen.  By default a comma list right after a split one stays
+    in one piece, as published scores have it; ``strict=False`` splits all.
+    """
+    return imported_names_of(import_groups(source), strict)

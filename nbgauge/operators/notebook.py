@@ -22,10 +22,15 @@ def clean_kernel_id(df: DataFrame, drop_bad_ids: bool = False) -> DataFrame:
     """Drop marker rows and make the id a number.
 
     An id that is no number becomes 0, as does every other NULL of the row;
-    ``drop_bad_ids`` removes such rows instead.
+    ``drop_bad_ids`` removes such rows instead.  An id that is a number already
+    is left as it is, so that the partitioning of a grouped table still serves
+    the next join.
     """
-    if _key_is_text(df):
-        df = df.where(F.col("kernel_id").isNull() | (F.col("kernel_id") != MARKER_ID))
+    metrics = [c for c in df.columns if c != "kernel_id"]
+    if not _key_is_text(df):
+        known = df.where(F.col("kernel_id").isNotNull()) if drop_bad_ids else df
+        return known.na.fill(0, subset=metrics)
+    df = df.where(F.col("kernel_id").isNull() | (F.col("kernel_id") != MARKER_ID))
     df = df.withColumn("kernel_id", F.col("kernel_id").try_cast("bigint"))
     if drop_bad_ids:
         df = df.where(F.col("kernel_id").isNotNull())

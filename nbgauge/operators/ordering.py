@@ -171,7 +171,8 @@ def balanced_head(df: DataFrame, label: str = "expert_score", id_col: str = "Ker
 
 
 def _shuffled(id_col: str, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(id_col))
+    """Random order of ids that any engine can repeat."""
+    return F.left(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))), F.lit(16))
 
 
 def sample_rows(df: DataFrame, n: int, id_col: str = "KernelId", seed: int = 42) -> DataFrame:

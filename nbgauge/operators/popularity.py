@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from nbgauge.functions.code import imported_names
+from nbgauge.functions.code import import_groups, imported_names_of
 
 # Largest popularity table that is shipped whole to the Python workers; about
 # 20 MB.  A larger one is joined.
@@ -17,8 +17,9 @@ LOOKUP_ROWS = 200_000
 
 
 def with_imports(cells: DataFrame, strict: bool = True) -> DataFrame:
-    """Add the ``API`` list of each cell."""
-    return cells.withColumn("API", imported_names(F.col("source"), strict))
+    """Add the ``API`` list of each cell; the pattern runs once per cell."""
+    found = cells.withColumn("_imports", import_groups(F.col("source")))
+    return found.withColumn("API", imported_names_of(F.col("_imports"), strict)).drop("_imports")
 
 
 def api_counts(cells: DataFrame) -> DataFrame:
@@ -27,7 +28,9 @@ def api_counts(cells: DataFrame) -> DataFrame:
     The counts are combined before the shuffle, so a name that most cells
     import costs one row per task.
     """
-    return cells.select(F.explode("API").alias("api")).groupBy("api").agg(F.count(F.lit(1)).alias("n"))
+    # Not explode: the filter it implies would work out the list a second time.
+    names = cells.select(F.explode_outer("API").alias("api")).where(F.col("api").isNotNull())
+    return names.groupBy("api").agg(F.count(F.lit(1)).alias("n"))
 
 
 def popularity_from_counts(counts: DataFrame, baseline: str = "sklearn") -> DataFrame:

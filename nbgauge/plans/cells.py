@@ -31,9 +31,8 @@ def code_cell_metrics(
     cells = code_cells.select("kernel_id", "cell_index", "source", "output_type")
     if fill_null:
         cells = cells.withColumn("source", or_empty(source))
-    arrays = cells.withColumns(
+    arrays = with_imports(cells, strict).withColumns(
         {
-            "API": C.imported_names(source, strict),
             "_operators": C.operator_counts(source),
             "_operands": C.operand_pieces(source),
             "_tokens": C.identifier_tokens(source),

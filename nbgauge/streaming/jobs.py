@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from nbgauge import schemas
-from nbgauge.operators.popularity import popularity_from_counts, with_imports
+from nbgauge.operators.popularity import api_counts, popularity_from_counts, with_imports
 from nbgauge.plans.cells import code_cell_metrics
 from nbgauge.plans.notebooks import metrics_of_notebooks
 from nbgauge.plans.training import score_notebooks
@@ -44,12 +44,7 @@ def without_repeats(cells: DataFrame, time_col: str, delay: str = "1 day") -> Da
 
 def stream_api_counts(cells: DataFrame, target: str, checkpoint: str, strict: bool = True) -> StreamingQuery:
     """Running import counts; every batch writes the names whose count changed."""
-    counts = (
-        with_imports(cells.select("source"), strict)
-        .select(F.explode("API").alias("api"))
-        .groupBy("api")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    counts = api_counts(with_imports(cells.select("source"), strict))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # A batch that is run again writes the same folder again.

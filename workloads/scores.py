@@ -314,33 +314,52 @@ def cut_to_length(spark, sf_dir):
     return ordering.first_rows(rows, view(spark, sf_dir, "expert_scores"))
 
 
-@query()
+def shuffled(seed: int, id_col: str = "Id") -> str:
+    return f"substr(md5(concat({seed}, ':', {id_col})), 1, 16)"
+
+
+@query(sql.cte(sql.view("kernels")) + f"SELECT Id, AuthorUserId FROM kernels ORDER BY {shuffled(42)}, Id LIMIT 525")
 def random_sample(spark, sf_dir):
-    return ordering.sample_rows(view(spark, sf_dir, "kernels"), 525, "Id")
+    return ordering.sample_rows(view(spark, sf_dir, "kernels"), 525, "Id").select("Id", "AuthorUserId")
 
 
 @query(
     sql.cte(sql.view("kernels"))
-    + "SELECT s AS split, CAST(CASE s WHEN 'test' THEN ceil(count(*) / 10) ELSE count(*) - ceil(count(*) / 10) END AS BIGINT) AS n "
-    "FROM kernels, (SELECT unnest(['test', 'train']) AS s) GROUP BY s"
+    + "SELECT Id, CASE WHEN r <= ceil(n / 10.0) THEN 'test' ELSE 'train' END AS split FROM "
+    f"(SELECT Id, row_number() OVER (ORDER BY {shuffled(42)}, Id) AS r, count(*) OVER () AS n FROM kernels)"
 )
-def random_split_sizes(spark, sf_dir):
-    """Sizes of a split whose members a hash decides."""
-    return ordering.class_counts(ordering.random_split(view(spark, sf_dir, "kernels"), 0.1, "Id"), "split")
+def random_split(spark, sf_dir):
+    return ordering.random_split(view(spark, sf_dir, "kernels"), 0.1, "Id").select("Id", "split")
 
 
 @query(
-    sql.cte(sql.view("kernels"), ("e", "SELECT count(*) AS n, CAST(ceil(count(*) * 13 / 100) AS BIGINT) AS a FROM kernels"),
-            ("t", "SELECT n, a, CAST(ceil((n - a) / 4) AS BIGINT) AS b FROM e"))
-    + "SELECT 'eval' AS split, a AS n FROM t UNION ALL SELECT 'test', b FROM t UNION ALL SELECT 'train', n - a - b FROM t"
+    sql.cte(
+        sql.view("kernels"),
+        ("o", f"SELECT Id, row_number() OVER (ORDER BY {shuffled(1)}, Id) AS r, count(*) OVER () AS n FROM kernels"),
+        ("rest", f"SELECT Id, row_number() OVER (ORDER BY {shuffled(2)}, Id) AS r, count(*) OVER () AS n FROM o WHERE r > ceil(n * 13 / 100.0)"),
+    )
+    + "SELECT Id, 'eval' AS split FROM o WHERE r <= ceil(n * 13 / 100.0) UNION ALL "
+    "SELECT Id, CASE WHEN r <= ceil(n / 4.0) THEN 'test' ELSE 'train' END FROM rest"
+)
+def three_way_split(spark, sf_dir):
+    return ordering.three_way_split(view(spark, sf_dir, "kernels"), id_col="Id").select("Id", "split")
+
+
+SAMPLED = (
+    *sql.QUALITY,
+    ("seen", "SELECT KernelId, UserName, CurrentUrlSlug, row_number() OVER (ORDER BY combined_score, KernelId) AS r, count(*) OVER () AS n FROM quality WHERE TotalViews > 500"),
+    ("ends_of", "SELECT *, CASE WHEN r <= floor(0.1::DOUBLE * n) THEN 0 ELSE 1 END AS label FROM seen WHERE r <= floor(0.1::DOUBLE * n) OR r > n - floor(0.1::DOUBLE * n)"),
+    ("drawn", f"SELECT *, row_number() OVER (PARTITION BY label ORDER BY {shuffled(42, 'KernelId')}, KernelId) AS d FROM ends_of"),
 )
-def three_way_split_sizes(spark, sf_dir):
-    return ordering.class_counts(ordering.three_way_split(view(spark, sf_dir, "kernels"), id_col="Id"), "split")
 
 
-@query()
+@query(
+    sql.cte(*SAMPLED)
+    + "SELECT KernelId, CAST(label AS BIGINT) AS label, concat('https://www.kaggle.com/code/', UserName, '/', CurrentUrlSlug, '/notebook') AS url FROM drawn WHERE d <= 100"
+)
 def expert_sample(spark, sf_dir):
-    return plans.expert_sample(kernel_quality(spark, sf_dir), per_class=100)
+    rows = plans.expert_sample(kernel_quality(spark, sf_dir), per_class=100)
+    return rows.select("KernelId", *longs("label"), "url")
 
 
 @query(
