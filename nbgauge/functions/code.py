@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from nbgauge.functions.text import SPACE, WORD, line_count, lines, matches, occurrences, or_empty, word_count
+from nbgauge.functions.text import SPACE, WORD, let, line_count, lines, matches, occurrences, or_empty, word_count
 
 # Words that are not identifiers.
 KEYWORDS = (
@@ -31,6 +31,8 @@ OPERATORS = (
     "&", "|", "^", "~", "<<", ">>",
 )
 
+SYMBOL_CHARACTERS = r"+\-*/%=&|\^<>!~"
+
 IDENTIFIER = "[a-zA-Z_][a-zA-Z0-9_]*+"
 
 # Delimiters of operands.  The last group needs its line break and four blanks.
@@ -135,14 +137,24 @@ def result_outputs(output_type: Column) -> Column:
 
 
 def operator_counts(source: Column) -> Column:
-    """Occurrences of each operator, in the order of ``OPERATORS``."""
+    """Occurrences of each operator: symbols first, then words.
+
+    The symbols are counted in what is left of a cell without everything else,
+    so that most passes run over a short text.
+    """
     text = or_empty(source)
 
-    def count(op: Column) -> Column:
-        removed = F.octet_length(text) - F.octet_length(F.replace(text, op, F.lit("")))
-        return F.call_function("div", removed, F.octet_length(op))
+    def count_in(where: Column, ops: list[str]) -> Column:
+        def count(op: Column) -> Column:
+            removed = F.octet_length(where) - F.octet_length(F.replace(where, op, F.lit("")))
+            return F.call_function("div", removed, F.octet_length(op))
+
+        return F.transform(F.array(*[F.lit(op) for op in ops]), count)
 
-    return F.transform(F.array(*[F.lit(op) for op in OPERATORS]), count)
+    symbols = [op for op in OPERATORS if not op.startswith(" ")]
+    words = [op for op in OPERATORS if op.startswith(" ")]
+    remains = F.regexp_replace(text, rf"[^{SYMBOL_CHARACTERS}]++", " ")
+    return F.concat(let(remains, lambda short: count_in(short, symbols)), count_in(text, words))
 
 
 def operators_of(counts: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ def occurrences(text: Column, piece: str) -> Column:
     return count.cast("bigint")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Number of matches of a regular expression."""
     return F.regexp_count(text, F.lit(pattern)).cast("bigint")
