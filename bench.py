@@ -64,9 +64,11 @@ def main() -> None:
     }
     seconds = {}
     for name, run in queries.items():
-        start = time.perf_counter()
-        run().write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
+        # Better of two runs: the first one also compiles the generated code.
+        for _ in range(2):
+            start = time.perf_counter()
+            run().write.format("noop").mode("overwrite").save()
+            seconds[name] = min(round(time.perf_counter() - start, 3), seconds.get(name, float("inf")))
     rows = cells.count()
     print(
         json.dumps(

@@ -7,6 +7,7 @@ each distinct source of a batch is parsed once.
 from __future__ import annotations
 
 import ast
+import re
 import warnings
 
 import pyarrow as pa
@@ -16,39 +17,58 @@ from pyspark.sql.types import DoubleType
 
 # Nodes whose inside does not count: the body of a function or class is not
 # module level, and an assertion counts as one branch whatever it tests.
-_CLOSED = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Assert)
-
-
-def _branches(node: ast.AST) -> int:
-    match node:
-        case ast.If() | ast.IfExp() | ast.Assert():
-            return 1
-        case ast.For() | ast.AsyncFor() | ast.While():
-            return 1 + bool(node.orelse)
-        case ast.Try():
-            return len(node.handlers) + bool(node.orelse)
-        case ast.BoolOp():
-            return len(node.values) - 1
-        case ast.comprehension():
-            return 1 + len(node.ifs)
-        case ast.Match():
-            catch_all = any(isinstance(c.pattern, ast.MatchAs) and c.pattern.pattern is None for c in node.cases)
-            return len(node.cases) - catch_all
-    return 0
+_CLOSED = {ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Assert}
+_LEAVES = {ast.Name, ast.Constant, ast.Load, ast.Store, ast.Del, ast.Pass, ast.Import, ast.ImportFrom, ast.alias}
+
+
+def _loop(node) -> int:
+    return 1 + bool(node.orelse)
+
+
+def _match(node) -> int:
+    catch_all = any(isinstance(c.pattern, ast.MatchAs) and c.pattern.pattern is None for c in node.cases)
+    return len(node.cases) - catch_all
+
+
+_BRANCHES = {
+    ast.If: lambda node: 1,
+    ast.IfExp: lambda node: 1,
+    ast.Assert: lambda node: 1,
+    ast.For: _loop,
+    ast.AsyncFor: _loop,
+    ast.While: _loop,
+    ast.Try: lambda node: len(node.handlers) + bool(node.orelse),
+    ast.BoolOp: lambda node: len(node.values) - 1,
+    ast.comprehension: lambda node: 1 + len(node.ifs),
+    ast.Match: _match,
+}
+
+# A source without any of these words has no branch.
+_MAY_BRANCH = re.compile(r"\b(?:if|for|while|except|assert|and|or|match)\b")
 
 
 def cell_complexity(source: str) -> float:
     """Complexity of one source; 0 if it does not parse."""
+    source = source.replace("%matplotlib inline", "")
     try:
-        pending = [ast.parse(source.replace("%matplotlib inline", ""))]
+        pending: list[ast.AST] = [ast.parse(source)]
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return 0.0
+    if not _MAY_BRANCH.search(source):
+        return 1.0
     total = 1
     while pending:
         node = pending.pop()
-        total += _branches(node)
-        if not isinstance(node, _CLOSED):
-            pending.extend(ast.iter_child_nodes(node))
+        kind = type(node)
+        if kind in _BRANCHES:
+            total += _BRANCHES[kind](node)
+        if kind in _CLOSED:
+            continue
+        for field in node._fields:
+            value = getattr(node, field, None)
+            for child in value if isinstance(value, list) else (value,):
+                if isinstance(child, ast.AST) and type(child) not in _LEAVES:
+                    pending.append(child)
     return float(total)
 
 

@@ -44,8 +44,29 @@ def clean_cell_index(df: DataFrame) -> DataFrame:
     return df.withColumn("cell_index", F.col("cell_index").try_cast("double").try_cast("int")).na.fill(0)
 
 
-def _total(metric: str) -> Column:
-    return F.coalesce(F.sum(metric), F.lit(0)).alias(metric)
+def _total(metric: str, chosen: Column | None) -> Column:
+    return F.coalesce(F.sum(_if(chosen, metric)), F.lit(0)).alias(metric)
+
+
+def _if(chosen: Column | None, metric: str) -> Column:
+    return F.col(metric) if chosen is None else F.when(chosen, F.col(metric))
+
+
+def _code_aggregates(chosen: Column | None = None) -> list[Column]:
+    return [
+        *[_total(m, chosen) for m in schemas.CODE_SUMS],
+        *[F.avg(_if(chosen, m)).alias(name) for m, name in schemas.CODE_MEANS.items()],
+        *[F.max(_if(chosen, m)).alias(name) for m, name in schemas.CODE_MAXIMA.items()],
+        F.count(_if(chosen, "LOC")).alias("CC"),
+    ]
+
+
+def _markdown_aggregates(chosen: Column | None = None) -> list[Column]:
+    return [
+        F.count(_if(chosen, "H1")).alias("MC"),
+        *[F.avg(_if(chosen, m)).alias(name) for m, name in schemas.MARKDOWN_MEANS.items()],
+        *[_total(m, chosen) for m in schemas.MARKDOWN_SUMS],
+    ]
 
 
 def code_notebook_metrics(cell_metrics: DataFrame, drop_bad_ids: bool = False, min_loc: int = 1) -> DataFrame:
@@ -55,33 +76,32 @@ def code_notebook_metrics(cell_metrics: DataFrame, drop_bad_ids: bool = False, m
     so ids that are no numbers do not fall into one group.  Notebooks of at
     most ``min_loc`` lines are left out.
     """
-    grouped = (
-        cell_metrics.where(F.col("kernel_id").isNotNull())
-        .groupBy("kernel_id")
-        .agg(
-            *[_total(m) for m in schemas.CODE_SUMS],
-            *[F.avg(m).alias(name) for m, name in schemas.CODE_MEANS.items()],
-            *[F.max(m).alias(name) for m, name in schemas.CODE_MAXIMA.items()],
-            F.count("LOC").alias("CC"),
-        )
-    )
+    rows = cell_metrics.where(F.col("kernel_id").isNotNull())
+    grouped = rows.groupBy("kernel_id").agg(*_code_aggregates())
     return clean_kernel_id(grouped, drop_bad_ids).where(F.col("LOC") > min_loc)
 
 
 def markdown_notebook_metrics(cell_metrics: DataFrame, drop_bad_ids: bool = False) -> DataFrame:
     """Count, means and sums of the markdown cells of each notebook."""
-    grouped = (
-        cell_metrics.where(F.col("kernel_id").isNotNull())
-        .groupBy("kernel_id")
-        .agg(
-            F.count("H1").alias("MC"),
-            *[F.avg(m).alias(name) for m, name in schemas.MARKDOWN_MEANS.items()],
-            *[_total(m) for m in schemas.MARKDOWN_SUMS],
-        )
-    )
+    rows = cell_metrics.where(F.col("kernel_id").isNotNull())
+    grouped = rows.groupBy("kernel_id").agg(*_markdown_aggregates())
     return clean_kernel_id(grouped, drop_bad_ids)
 
 
+def mixed_notebook_metrics(cell_metrics: DataFrame, min_loc: int = 1) -> DataFrame:
+    """Notebook metrics from rows with a ``cell_type`` and the metrics of both kinds.
+
+    The same rows as a full join of the two tables above, from one aggregate.
+    """
+    is_code, is_markdown = F.col("cell_type") == "code", F.col("cell_type") == "markdown"
+    rows = cell_metrics.where(F.col("kernel_id").isNotNull())
+    grouped = rows.groupBy("kernel_id").agg(*_code_aggregates(is_code), *_markdown_aggregates(is_markdown))
+    has_code = F.col("LOC") > min_loc
+    kept = grouped.where(has_code | (F.col("MC") > 0))
+    code = [F.when(has_code, F.col(m)).otherwise(F.lit(0)).alias(m) for m in schemas.CODE_NOTEBOOK_METRICS]
+    return kept.select("kernel_id", *code, *schemas.MARKDOWN_NOTEBOOK_METRICS).na.fill(0, subset=list(schemas.NOTEBOOK_METRICS))
+
+
 def join_notebook_metrics(code: DataFrame, markdown: DataFrame, how: str = "left") -> DataFrame:
     """Code and markdown metrics of a notebook side by side, 0 where one is missing.
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nbgauge.session import cut_lineage
@@ -59,7 +59,11 @@ def _ranked(df: DataFrame, keys: Sequence[str], rank: str) -> DataFrame:
 
 
 class RankCuts:
-    """Keys at chosen ranks of a table, to pick rows by comparison."""
+    """Keys at chosen ranks of a table, to pick rows by comparison.
+
+    The table is read twice, so it must give equal rows both times: a written
+    table, or one whose scores do not depend on the order of a sum.
+    """
 
     def __init__(self, df: DataFrame, *columns: str | Column):
         self.df = df
@@ -67,19 +71,15 @@ class RankCuts:
         self._ranked = _ranked(df.select(*[c.alias(k) for k, c in self._keys.items()]), list(self._keys), "_rank")
         self.size = self._ranked.count()
 
-    def _key(self, rank: int) -> Row | None:
-        return self._ranked.where(F.col("_rank") == rank).select(*self._keys).first()
-
     def _compare(self, rank: int, lower: bool) -> Column:
         if (rank < 1 and lower) or (rank > self.size and not lower):
             return F.lit(False)
         if rank < 1 or rank > self.size:
             return F.lit(True)
-        row = self._key(rank)
-        names = list(self._keys)
+        row = self._ranked.where(F.col("_rank") == rank).select(*self._keys).first()
         types = {f.name: f.dataType for f in self._ranked.schema}
         here = F.struct(*[c.alias(k) for k, c in self._keys.items()])
-        cut = F.struct(*[F.lit(row[k]).cast(types[k]).alias(k) for k in names])
+        cut = F.struct(*[F.lit(row[k]).cast(types[k]).alias(k) for k in self._keys])
         return here <= cut if lower else here >= cut
 
     def first(self, n: int) -> Column:

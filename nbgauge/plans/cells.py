@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nbgauge import schemas
@@ -20,15 +22,19 @@ def corpus_popularity(code_cells: DataFrame, baseline: str = "sklearn", strict:
 
 
 def code_cell_metrics(
-    code_cells: DataFrame, popularity: DataFrame | None = None, strict: bool = True, fill_null: bool = True
+    code_cells: DataFrame,
+    popularity: DataFrame | None = None,
+    strict: bool = True,
+    fill_null: bool = True,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """All metrics of code cells; ``EAP`` only with a popularity table.
 
-    Map-only.  Arrays that several metrics need are projected first; Catalyst
+    ``keep`` names further columns to hand on.  Map-only.  Arrays that several metrics need are projected first; Catalyst
     keeps the two projections apart and drops what a query does not ask for.
     """
     source, output = F.col("source"), F.col("output_type")
-    cells = code_cells.select("kernel_id", "cell_index", "source", "output_type")
+    cells = code_cells.select("kernel_id", "cell_index", "source", "output_type", *keep)
     if fill_null:
         cells = cells.withColumn("source", or_empty(source))
     arrays = with_imports(cells, strict).withColumns(
@@ -66,23 +72,44 @@ def code_cell_metrics(
         "CyC",
         C.comment_lines(source).alias("LOCom"),
         C.comment_words(source).alias("CW"),
+        *keep,
     )
     if popularity is None:
         return metrics
     scored = with_import_score(metrics, popularity)
-    return scored.select(*schemas.CODE_CELL_COLUMNS)
+    return scored.select(*schemas.CODE_CELL_COLUMNS, *keep)
 
 
 def markdown_cell_metrics(markdown_cells: DataFrame, fill_null: bool = True) -> DataFrame:
     """All metrics of markdown cells; map-only."""
     source = or_empty(F.col("source")) if fill_null else F.col("source")
-    return markdown_cells.select(
-        "kernel_id",
-        "cell_index",
+    return markdown_cells.select("kernel_id", "cell_index", *_markdown_columns(source))
+
+
+def _markdown_columns(source: Column) -> list[Column]:
+    return [
         M.markdown_lines(source).alias("LMC"),
         *[M.headers(source, level).alias(f"H{level}") for level in (1, 2, 3)],
         M.markdown_words(source).alias("MW"),
+    ]
+
+
+def mixed_cell_metrics(cells: DataFrame, popularity: DataFrame) -> DataFrame:
+    """Code and markdown metrics of rows with a ``cell_type``, from one pass.
+
+    Metrics of the kind a cell is not are those of an empty text.
+    """
+    source, kind = F.col("source"), F.col("cell_type")
+    split = cells.select(
+        "kernel_id",
+        "cell_index",
+        "cell_type",
+        F.when(kind == "code", source).alias("source"),
+        F.when(kind == "code", F.col("output_type")).alias("output_type"),
+        F.when(kind == "markdown", source).otherwise(F.lit("")).alias("note"),
     )
+    metrics = code_cell_metrics(split, popularity, keep=("cell_type", "note"))
+    return metrics.select(*[c for c in metrics.columns if c != "note"], *_markdown_columns(F.col("note")))
 
 
 def popularity_table(spark: SparkSession, code_cells: DataFrame, path: str, refresh: bool = False, **options):

@@ -10,10 +10,11 @@ from nbgauge.operators.notebook import (
     join_author_tier,
     join_notebook_metrics,
     markdown_notebook_metrics,
+    mixed_notebook_metrics,
     prepare_author_tier,
 )
-from nbgauge.plans.cells import code_cell_metrics, markdown_cell_metrics
-from nbgauge.sources.notebooks import cells_of, code_cells_of, markdown_cells_of, sound_notebooks
+from nbgauge.plans.cells import mixed_cell_metrics
+from nbgauge.sources.notebooks import cells_of, sound_notebooks
 
 
 def notebook_metrics(
@@ -31,8 +32,10 @@ def notebook_metrics(
 
 
 def metrics_of_notebooks(parsed: DataFrame, popularity: DataFrame, mode: str = "quarantine") -> DataFrame:
-    """Metrics per notebook, straight from parsed notebook files."""
+    """Metrics per notebook, straight from parsed notebook files.
+
+    Files are read once and cells are combined per notebook before the only
+    shuffle.
+    """
     cells = cells_of(sound_notebooks(parsed, mode))
-    code = code_cell_metrics(code_cells_of(cells), popularity)
-    markdown = markdown_cell_metrics(markdown_cells_of(cells))
-    return notebook_metrics(code, markdown, how="full")
+    return mixed_notebook_metrics(mixed_cell_metrics(cells, popularity))

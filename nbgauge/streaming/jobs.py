@@ -92,7 +92,7 @@ def stream_notebooks(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # Read by the code, the markdown and the reject branch.
+        # Read by the metrics and by the rejects.
         parsed = parse_notebooks(batch).persist()
         metrics = metrics_of_notebooks(parsed, popularity)
         metrics.write.mode("overwrite").parquet(f"{target}/metrics/batch={batch_id}")

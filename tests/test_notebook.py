@@ -95,3 +95,22 @@ def test_texts(spark):
     assert parts[1, 0] == "a \n c" and parts[1, 2] == "z"
     pair = text_pairs(assemble_texts(cells)).where("kernel_id = 1").first()
     assert len(pair.markdown) == 300 and pair.text == pair.markdown + "\n" + pair.code
+
+
+def test_one_pass_equals_join(spark):
+    from nbgauge.plans.cells import code_cell_metrics, markdown_cell_metrics, mixed_cell_metrics
+    from nbgauge.operators.notebook import mixed_notebook_metrics
+
+    rows = [
+        (1, 1, "code", "import os\nx = 1 if y else 2", "display_data"), (1, 2, "markdown", "# T\na", None), (2, 1, "code", "x", None),
+        (2, 2, "markdown", "## b", None), (3, 1, "markdown", "c d", None), (4, 1, "code", "a\nb", None), (5, 1, "code", "z", None),
+        (None, 1, "code", "a\nb", None),
+    ]
+    cells = spark.createDataFrame(rows, "kernel_id bigint, cell_index int, cell_type string, source string, output_type string")
+    popularity = spark.createDataFrame([("os", 0.5)], schemas.API_POPULARITY)
+    joined = notebook_metrics(
+        code_cell_metrics(cells.where("cell_type = 'code'"), popularity), markdown_cell_metrics(cells.where("cell_type = 'markdown'")), how="full"
+    )
+    single = mixed_notebook_metrics(mixed_cell_metrics(cells, popularity))
+    assert single.columns == joined.columns
+    assert [tuple(r) for r in single.orderBy("kernel_id").collect()] == [tuple(r) for r in joined.orderBy("kernel_id").collect()]
