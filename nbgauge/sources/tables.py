@@ -31,9 +31,9 @@ def read_csv(
 def csv_to_parquet(
     spark: SparkSession, source: str, target: str, schema: str, files: int | None = None
 ) -> DataFrame:
-    """Convert a CSV table to Parquet, spread over files by round robin."""
+    """Convert a CSV table to Parquet, in ``files`` files or in files of even size."""
     rows = read_csv(spark, source, schema)
-    rows = rows.repartition(files) if files else rows.repartition()
+    rows = rows.repartition(files) if files else rows.hint("rebalance")
     rows.write.mode("overwrite").parquet(target)
     return spark.read.schema(schema).parquet(target)
 

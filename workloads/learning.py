@@ -10,7 +10,7 @@ from nbgauge.operators.cleaning import topic_label
 from nbgauge.operators.ordering import class_counts
 from nbgauge.operators.registry import ModelRegistry
 from nbgauge.operators.texts import assemble_texts
-from nbgauge.plans import training
+from nbgauge.plans import study, training
 from workloads import sql
 from workloads.cells import work_dir
 from workloads.notebooks import all_notebook_metrics, mixed_cells
@@ -147,3 +147,18 @@ def notebook_text_curve(spark, sf_dir):
     texts = assemble_texts(mixed_cells(spark, sf_dir)).where("part = 0")
     labelled = texts.select(F.col("kernel_id").alias("KernelId"), "code", "markdown", (F.length("code") > F.length("markdown")).cast("int").alias("label"))
     return textmodel.learning_curve(labelled, sizes=(50, 100), buckets=1 << 12, max_iter=5)
+
+
+@query()
+def quality_study(spark, sf_dir):
+    """Comments to scored notebooks in one job; the reports against the experts."""
+    sheet = source_table(spark, sf_dir, "documents").join(source_table(spark, sf_dir, "labels"), "doc_id").select(
+        F.col("doc_id").alias("Id"), F.col("text").alias("Text"), F.col("toxic").alias("advertise"),
+        F.col("quality").alias("comperenension"),
+    )
+    tables = study.run_study(
+        spark, work_dir(spark), view(spark, sf_dir, "comments"), sheet, view(spark, sf_dir, "code_cells").select("kernel_id"),
+        view(spark, sf_dir, "kernels"), view(spark, sf_dir, "users"), view(spark, sf_dir, "expert_scores"), per_class=50,
+        buckets=1 << 12, max_iter=5,
+    )
+    return tables["reports"]

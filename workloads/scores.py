@@ -253,6 +253,13 @@ def sorted_by_score(spark, sf_dir):
     return ordering.sorted_by(view(spark, sf_dir, "kernels").select("Id", "TotalVotes"), "TotalVotes", "Id")
 
 
+@query(
+    "SELECT c_custkey AS UserId, c_mktsegment AS AchievementType, c_nationkey % 5 AS Tier FROM customer"
+)
+def achievements_sorted(spark, sf_dir):
+    return ordering.sorted_by(view(spark, sf_dir, "user_achievements"), "Tier", "UserId").withColumn("Tier", F.col("Tier").cast("int"))
+
+
 def labelled_ends(low: str, high: str) -> str:
     return (
         sql.cte(sql.view("kernels"))
