@@ -108,7 +108,7 @@ def mixed_cell_metrics(cells: DataFrame, popularity: DataFrame) -> DataFrame:
         F.when(kind == "code", F.col("output_type")).alias("output_type"),
         F.when(kind == "markdown", source).otherwise(F.lit("")).alias("note"),
     )
-    metrics = code_cell_metrics(split, popularity, keep=("cell_type", "note"))
+    metrics = code_cell_metrics(split, popularity, fill_null=False, keep=("cell_type", "note"))
     return metrics.select(*[c for c in metrics.columns if c != "note"], *_markdown_columns(F.col("note")))
 
 

@@ -20,24 +20,30 @@ def notebook_rows(files: DataFrame) -> DataFrame:
     return files.select(F.xxhash64(path).alias("kernel_id"), path.alias("path"), F.col("value").alias("content"))
 
 
-def _field(cell: Column, path: str, kind: str) -> Column:
-    return F.try_variant_get(cell, path, kind)
+# Only these fields are read; outputs with their images are skipped over, so a
+# large file costs little.  The two VARIANT fields may hold different types, and
+# tell a missing key (NULL) from a null (a VARIANT).
+NOTEBOOK = (
+    "cells ARRAY<STRUCT<cell_type STRING, source VARIANT, outputs ARRAY<STRUCT<output_type STRING>>, "
+    "execution_count VARIANT>>"
+)
 
 
 def _cell(cell: Column, position: Column) -> Column:
     """One cell; its index counts cells of all kinds from 1."""
-    source = F.coalesce(
-        F.array_join(_field(cell, "$.source", "array<string>"), ""), _field(cell, "$.source", "string")
+    source = cell["source"]
+    text = F.coalesce(
+        F.array_join(F.try_variant_get(source, "$", "array<string>"), ""), F.try_variant_get(source, "$", "string")
     )
     return F.struct(
         (position + 1).cast("int").alias("cell_index"),
-        _field(cell, "$.cell_type", "string").alias("cell_type"),
-        source.alias("source"),
+        cell["cell_type"].alias("cell_type"),
+        text.alias("source"),
         # Only the first output is looked at.
-        _field(cell, "$.outputs[0].output_type", "string").alias("output_type"),
-        _field(cell, "$.execution_count", "int").alias("execution_count"),
-        # A present key with null in it is not NULL here.
-        _field(cell, "$.execution_count", "variant").isNotNull().alias("has_count"),
+        F.get(cell["outputs"], F.lit(0))["output_type"].alias("output_type"),
+        F.try_variant_get(cell["execution_count"], "$", "int").alias("execution_count"),
+        source.isNotNull().alias("has_source"),
+        cell["execution_count"].isNotNull().alias("has_count"),
     )
 
 
@@ -47,13 +53,13 @@ def parse_notebooks(notebooks: DataFrame) -> DataFrame:
     Works per notebook, without a shuffle.  A notebook with a cell of another
     kind, or with a code cell that lacks ``execution_count``, is not sound.
     """
-    items = F.try_variant_get(F.try_parse_json("content"), "$.cells", "array<variant>")
-    parsed = notebooks.withColumn("_items", items).withColumn("cells", F.transform("_items", _cell))
+    parsed = notebooks.withColumn("_items", F.from_json("content", NOTEBOOK)["cells"])
+    parsed = parsed.withColumn("cells", F.transform("_items", _cell))
     odd_kind = F.exists("cells", lambda c: ~F.coalesce(c["cell_type"].isin("code", "markdown"), F.lit(False)))
-    no_source = F.exists("cells", lambda c: c["source"].isNull())
+    no_source = F.exists("cells", lambda c: ~c["has_source"])
     no_count = F.exists("cells", lambda c: (c["cell_type"] == "code") & ~c["has_count"])
     problem = (
-        F.when(F.col("_items").isNull(), "no notebook")
+        F.when(F.col("cells").isNull(), "no notebook")
         .when(odd_kind, "unknown cell type")
         .when(no_source, "cell without source")
         .when(no_count, "code cell without execution_count")
@@ -78,7 +84,7 @@ def rejected_notebooks(parsed: DataFrame) -> DataFrame:
 
 def cells_of(parsed: DataFrame) -> DataFrame:
     """One row per cell of the sound notebooks."""
-    return parsed.select("kernel_id", F.inline("cells")).drop("has_count")
+    return parsed.select("kernel_id", F.inline("cells")).drop("has_source", "has_count")
 
 
 def code_cells_of(cells: DataFrame) -> DataFrame:

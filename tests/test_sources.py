@@ -21,6 +21,7 @@ BAD = {
     "count": {"cells": [{"cell_type": "code", "source": "x", "outputs": []}]},
     "source": {"cells": [{"cell_type": "markdown"}]},
     "cells": {"nbformat": 4},
+    "kind": {"cells": [1]},
 }
 
 
@@ -31,6 +32,7 @@ def folder(tmp_path):
     (tmp_path / "sub" / "empty.ipynb").write_text('{"cells": []}')
     (tmp_path / "broken.ipynb").write_text("{")
     (tmp_path / "other.txt").write_text("{")
+    (tmp_path / "cut.ipynb").write_text(json.dumps(GOOD)[:-1] + ', "metadata": {')
     for name, content in BAD.items():
         (tmp_path / f"{name}.ipynb").write_text(json.dumps(content))
     return str(tmp_path)
@@ -48,6 +50,7 @@ def test_notebook_files(spark, folder):
     assert problems == {
         "raw.ipynb": "unknown cell type", "count.ipynb": "code cell without execution_count",
         "source.ipynb": "cell without source", "cells.ipynb": "no notebook", "broken.ipynb": "no notebook",
+        "cut.ipynb": "no notebook", "kind.ipynb": "no notebook",
     }
     with pytest.raises(PySparkException, match="unknown cell type|no notebook|without"):
         nb.cells_of(nb.sound_notebooks(parsed, "error")).collect()
@@ -89,3 +92,16 @@ def test_csv_and_jobs(spark, tmp_path):
 def test_sheet(spark, tmp_path):
     (tmp_path / "sheet.csv").write_text("Id,Text,advertise\n1,a,1\n2,b,\n")
     assert [r.advertise for r in tables.read_labelled_sheet(spark, str(tmp_path / "sheet.csv")).orderBy("Id").collect()] == [1, 0]
+
+
+def test_large_notebook(spark, tmp_path):
+    """An image of 20 MB among the outputs, a text that looks like a list, a null source."""
+    outputs = [{"output_type": "display_data", "data": {"image/png": "A" * (20 << 20)}}]
+    cells = [
+        {"cell_type": "code", "source": "[1]", "outputs": outputs, "execution_count": 1},
+        {"cell_type": "code", "source": None, "outputs": {}, "execution_count": 2},
+    ]
+    (tmp_path / "large.ipynb").write_text(json.dumps({"cells": cells, "a": 1}))
+    parsed = nb.parse_notebooks(nb.read_notebook_files(spark, str(tmp_path)))
+    found = [tuple(r)[1:] for r in nb.cells_of(nb.sound_notebooks(parsed)).orderBy("cell_index").collect()]
+    assert found == [(1, "code", "[1]", "display_data", 1), (2, "code", None, None, 2)]
