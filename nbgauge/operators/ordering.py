@@ -190,8 +190,7 @@ def random_split(
 ) -> DataFrame:
     """Add ``split``: ceil(fraction * rows) rows at random are ``name``, the others ``rest``."""
     cuts = RankCuts(df, _shuffled(id_col, seed), id_col)
-    # Rounding up as usual for shares: 0.1 * 30 is 3.0000000000000004 in floats.
-    chosen = cuts.first(math.ceil(round(fraction * cuts.size, 9)))
+    chosen = cuts.first(math.ceil(fraction * cuts.size))
     return df.withColumn("split", F.when(chosen, F.lit(name)).otherwise(F.lit(rest)))
 
 

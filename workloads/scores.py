@@ -332,7 +332,7 @@ def random_sample(spark, sf_dir):
 
 @query(
     sql.cte(sql.view("kernels"))
-    + "SELECT Id, CASE WHEN r <= ceil(n / 10.0) THEN 'test' ELSE 'train' END AS split FROM "
+    + "SELECT Id, CASE WHEN r <= ceil(0.1::DOUBLE * n) THEN 'test' ELSE 'train' END AS split FROM "
     f"(SELECT Id, row_number() OVER (ORDER BY {shuffled(42)}, Id) AS r, count(*) OVER () AS n FROM kernels)"
 )
 def random_split(spark, sf_dir):
@@ -343,10 +343,10 @@ def random_split(spark, sf_dir):
     sql.cte(
         sql.view("kernels"),
         ("o", f"SELECT Id, row_number() OVER (ORDER BY {shuffled(1)}, Id) AS r, count(*) OVER () AS n FROM kernels"),
-        ("rest", f"SELECT Id, row_number() OVER (ORDER BY {shuffled(2)}, Id) AS r, count(*) OVER () AS n FROM o WHERE r > ceil(n * 13 / 100.0)"),
+        ("rest", f"SELECT Id, row_number() OVER (ORDER BY {shuffled(2)}, Id) AS r, count(*) OVER () AS n FROM o WHERE r > ceil(0.13::DOUBLE * n)"),
     )
-    + "SELECT Id, 'eval' AS split FROM o WHERE r <= ceil(n * 13 / 100.0) UNION ALL "
-    "SELECT Id, CASE WHEN r <= ceil(n / 4.0) THEN 'test' ELSE 'train' END FROM rest"
+    + "SELECT Id, 'eval' AS split FROM o WHERE r <= ceil(0.13::DOUBLE * n) UNION ALL "
+    "SELECT Id, CASE WHEN r <= ceil(0.25::DOUBLE * n) THEN 'test' ELSE 'train' END FROM rest"
 )
 def three_way_split(spark, sf_dir):
     return ordering.three_way_split(view(spark, sf_dir, "kernels"), id_col="Id").select("Id", "split")
