@@ -1,0 +1,3 @@
+"""Notebook comprehension analytics on Spark."""
+
+__version__ = "0.1.0"

@@ -93,6 +93,10 @@ def test_texts(spark):
     assert whole[1, 0].code == "a \n c \n z" and whole[2, 0].code == ""
     parts = {(r.kernel_id, r.part): r.code for r in assemble_texts(cells, 10).collect()}
     assert parts[1, 0] == "a \n c" and parts[1, 2] == "z"
+    same = spark.createDataFrame([(7, 1, "code", f"{i:02}") for i in range(25)], cells.schema)
+    crowded = {(r.kernel_id, r.part): r.code for r in assemble_texts(cells.unionByName(same), 10).collect()}
+    assert crowded[7, 1] == " \n ".join(f"{i:02}" for i in range(10, 20)) and len(crowded[7, 2].split(" \n ")) == 5
+    assert crowded[1, 0] == "a \n c" and crowded[1, 2] == "z"
     pair = text_pairs(assemble_texts(cells)).where("kernel_id = 1").first()
     assert len(pair.markdown) == 300 and pair.text == pair.markdown + "\n" + pair.code
 
@@ -114,3 +118,15 @@ def test_one_pass_equals_join(spark):
     single = mixed_notebook_metrics(mixed_cell_metrics(cells, popularity))
     assert single.columns == joined.columns
     assert [tuple(r) for r in single.orderBy("kernel_id").collect()] == [tuple(r) for r in joined.orderBy("kernel_id").collect()]
+
+
+def test_functions_compose(spark):
+    from nbgauge import functions as metrics
+
+    row = spark.createDataFrame([("f(a, b)\nx == y",)], "s string").select(
+        metrics.parameters(F.col("s")).alias("p"), metrics.operators(F.col("s")).alias("o"),
+        metrics.unique_operators(F.col("s")).alias("u"), metrics.identifiers(F.col("s")).alias("i"),
+        metrics.mean_identifier_length(F.col("s")).alias("a"), metrics.unique_operands(F.col("s")).alias("n"),
+        metrics.headers(F.col("s"), 1).alias("h"),
+    ).first()
+    assert tuple(row) == (2, 3, 2, 5, 1, 4, 0)
