@@ -151,7 +151,9 @@ def with_language(
         return found
 
     found = detector(F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")))
-    return rows.withColumn("_lang", found).select(*rows.columns, "_lang.lang", "_lang.lang_conf")
+    # Behind a generator, so that a filter on the result does not run the detector again.
+    detected = rows.withColumn("_found", found).withColumn("_lang", F.explode_outer(F.array("_found")))
+    return detected.select(*rows.columns, "_lang.lang", "_lang.lang_conf")
 
 
 def clean_comments(comments: DataFrame, max_length: int = 256) -> DataFrame:

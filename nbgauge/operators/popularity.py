@@ -19,7 +19,9 @@ LOOKUP_ROWS = 200_000
 def with_imports(cells: DataFrame, strict: bool = True) -> DataFrame:
     """Add the ``API`` list of each cell; the pattern runs once per cell."""
     found = cells.withColumn("_imports", import_groups(F.col("source")))
-    return found.withColumn("API", imported_names_of(F.col("_imports"), strict)).drop("_imports")
+    # Known not to be NULL, so that no join derives a filter that works it out again.
+    names = F.coalesce(imported_names_of(F.col("_imports"), strict), F.array().cast("array<string>"))
+    return found.withColumn("API", names).drop("_imports")
 
 
 def api_counts(cells: DataFrame) -> DataFrame:
@@ -84,9 +86,10 @@ def join_import_score(cells: DataFrame, popularity: DataFrame, salts: int = 32)
     distinct list and joined to the cells by list.  Common lists are salted;
     cells without imports get a key of their own each and spread evenly.
     """
-    distinct = cells.where(F.size("API") > 0).select("API").distinct()
+    # No filter on the lists: it would be pushed into the scan and work them out again.
+    distinct = cells.select("API").distinct()
     scored = (
-        distinct.select("API", F.explode(F.array_distinct("API")).alias("api_name"))
+        distinct.select("API", F.explode_outer(F.array_distinct("API")).alias("api_name"))
         .join(popularity.select(F.col("api").alias("api_name"), "score"), "api_name", "left")
         .groupBy("API")
         .agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("EAP"))

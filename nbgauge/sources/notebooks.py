@@ -53,8 +53,10 @@ def parse_notebooks(notebooks: DataFrame) -> DataFrame:
     Works per notebook, without a shuffle.  A notebook with a cell of another
     kind, or with a code cell that lacks ``execution_count``, is not sound.
     """
-    parsed = notebooks.withColumn("_items", F.from_json("content", NOTEBOOK)["cells"])
-    parsed = parsed.withColumn("cells", F.transform("_items", _cell))
+    cells = F.transform(F.from_json("content", NOTEBOOK)["cells"], _cell)
+    # One row in, one row out: filters on the cells stay above the generator, where
+    # a plain column would be parsed again for each mention in a filter.
+    parsed = notebooks.select("*", F.explode_outer(F.array(cells)).alias("cells"))
     odd_kind = F.exists("cells", lambda c: ~F.coalesce(c["cell_type"].isin("code", "markdown"), F.lit(False)))
     no_source = F.exists("cells", lambda c: ~c["has_source"])
     no_count = F.exists("cells", lambda c: (c["cell_type"] == "code") & ~c["has_count"])
@@ -64,7 +66,7 @@ def parse_notebooks(notebooks: DataFrame) -> DataFrame:
         .when(no_source, "cell without source")
         .when(no_count, "code cell without execution_count")
     )
-    return parsed.withColumn("problem", problem).drop("_items", "content")
+    return parsed.withColumn("problem", problem).drop("content")
 
 
 def sound_notebooks(parsed: DataFrame, mode: str = "quarantine") -> DataFrame:
