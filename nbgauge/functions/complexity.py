@@ -8,13 +8,18 @@ from __future__ import annotations
 
 import ast
 import re
+import sys
 import warnings
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+# The functions travel with the query; workers need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Nodes whose inside does not count: the body of a function or class is not
 # module level, and an assertion counts as one branch whatever it tests.
 _CLOSED = {ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Assert}
