@@ -107,6 +107,10 @@ def with_votes_per_view(quality: DataFrame) -> DataFrame:
     return quality.withColumn("score", F.try_divide(F.col("TotalVotes") + 1, F.col("TotalViews")).cast("double"))
 
 
-def with_url(rows: DataFrame, base: str = "https://www.kaggle.com/code/") -> DataFrame:
+# Fixed value: where the notebooks are published.
+NOTEBOOK_ADDRESS = "https://www.kaggle.com/code/"
+
+
+def with_url(rows: DataFrame, base: str = NOTEBOOK_ADDRESS) -> DataFrame:
     """Add the public address of a notebook."""
     return rows.withColumn("url", F.concat(F.lit(base), "UserName", F.lit("/"), "CurrentUrlSlug", F.lit("/notebook")))
