@@ -138,7 +138,8 @@ def select_block(vectors: DataFrame, block: QueryBlock, rows: int) -> DataFrame:
         need = np.where(short, need, need - above)
         if (width == 1).all():
             break
-        span = np.where(short, span, width.astype(np.uint64))
+        # A query that takes all of its candidates counts no more.
+        span = np.where(short, 0, width.astype(np.uint64)).astype(np.uint64)
         width = np.maximum(1, -(-width // PARTS))
     threshold = low
 

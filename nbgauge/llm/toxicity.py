@@ -147,13 +147,13 @@ def fit_ordinal(rows, columns, values, grades, n_features: int, steps: int = 300
 
 
 def learn_toxicity(
-    docs: DataFrame, labels: DataFrame, sample: int = 3000, vocabulary: int = 200, least_docs: int = 4
+    docs: DataFrame, labels: DataFrame, sample: int = 3000, vocabulary: int = 200, least_docs: int = 4, least_gain: float = 20.0
 ) -> SeverityModel:
     """Fit on at most ``sample`` toxic and ``sample`` clean documents outside the held-out fold.
 
     Features are the ``vocabulary`` words and beginnings of words that tell most
-    about the label (mutual information of the document frequencies); the counting
-    is Spark's, the sparse counts of the sample come to the driver.
+    about the label (mutual information of the document frequencies), if they tell
+    more than chance would (``least_gain``: twice the nats over the sample); the counting is Spark's, the sparse counts of the sample come to the driver.
     """
     known = (
         labels.where(F.col("toxic").isin(0, 1) & (fold() != HELD_OUT_FOLD)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -202,7 +202,7 @@ def learn_toxicity(
     )
     p, q = (bad + 0.5) / (n_bad + 1), (fine + 0.5) / (n_fine + 1)
     odds = F.log(p / (1 - p)) - F.log(q / (1 - q))
-    top = frequency.select("name", odds.alias("odds"), tells.alias("tells")).orderBy(F.desc("tells"), "name").limit(vocabulary).collect()
+    top = frequency.select("name", odds.alias("odds"), tells.alias("tells")).where(F.col("tells") * (2 * n) >= least_gain).orderBy(F.desc("tells"), "name").limit(vocabulary).collect()
     model = SeverityModel([r["name"] for r in top], np.zeros(2 * len(top)), np.zeros(GRADES - 1))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
