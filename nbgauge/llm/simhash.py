@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,8 +32,10 @@ from nbgauge.session import cut_lineage
 
 BITS, BUDGET, TOP_BITS = 64, 3, 16
 ROTATIONS = BITS // TOP_BITS
-#: Most fingerprints of a task before its node is cut into subtree pairs.
+#: Most fingerprints of a node before it is cut into subtree pairs.
 NODE_ROWS = 4_000
+#: About so many fingerprints of neighbouring nodes make a task.
+TASK_ROWS = 20_000
 _TABLE = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
 
 
@@ -172,6 +173,15 @@ def _rotated(rotation: int) -> F.Column:
     return F.shiftleft(value, turn).bitwiseOR(F.shiftrightunsigned(value, BITS - turn))
 
 
+def node_links(values: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
+    """Links within each of several nodes."""
+    order = np.argsort(nodes, kind="stable")
+    values, nodes = values[order], nodes[order]
+    cuts = np.flatnonzero(np.diff(nodes, prepend=-1))
+    ends = np.append(cuts[1:], len(nodes))
+    return [link for a, b in zip(cuts.tolist(), ends.tolist()) if b - a > 1 for link in trie_links(values[a:b])]
+
+
 def links_between(distinct: DataFrame, node_rows: int = NODE_ROWS, max_cut: int = 10) -> DataFrame:
     """Spanning links (a, b) of distinct fingerprints, in several forests that together connect all that is linked."""
     turned = distinct.select(
@@ -190,26 +200,31 @@ def links_between(distinct: DataFrame, node_rows: int = NODE_ROWS, max_cut: int
     placed = placed.withColumn("_below", below).withColumn("subtree", subtree)
     others = F.filter(F.sequence(F.lit(0), F.expr("shiftleft(1, cut) - 1")), lambda y: F.bit_count(y.bitwiseXOR(F.col("subtree"))) <= BUDGET)
     placed = placed.withColumn("other", F.explode(others))
+    # Nodes that are not cut share tasks with their neighbours.
+    wanted = max(1, distinct.count() // TASK_ROWS)
+    shared_bits = max(0, TOP_BITS - (wanted - 1).bit_length())
     tasks = placed.select(
-        "rotation", "node", F.least("subtree", "other").alias("low"), F.greatest("subtree", "other").alias("high"),
-        (F.col("subtree") <= F.col("other")).alias("is_low"), "value",
+        "rotation", "cut", F.when(F.col("cut") == 0, F.shiftright("node", shared_bits)).otherwise(F.col("node")).alias("task"),
+        F.least("subtree", "other").alias("low"), F.greatest("subtree", "other").alias("high"),
+        "node", (F.col("subtree") <= F.col("other")).alias("is_low"), "value",
     )
 
-    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        values = rows["value"].to_numpy(np.int64).view(np.uint64)
-        if key[2] == key[3]:
-            found = trie_links(values)
+    def join(key: tuple, rows: pa.Table) -> pa.Table:
+        rotation, _, _, low, high = (k.as_py() for k in key)
+        values = rows["value"].to_numpy().view(np.uint64)
+        if low == high:
+            found = node_links(values, rows["node"].to_numpy())
         else:
-            low = rows["is_low"].to_numpy(bool)
-            found = trie_links(values[low], values[~low])
+            is_low = rows["is_low"].to_numpy(zero_copy_only=False).astype(bool)
+            found = trie_links(values[is_low], values[~is_low])
         pairs = np.array(found, dtype=np.uint64).reshape(-1, 2)
-        turn = np.uint64(TOP_BITS * int(key[0]))
+        turn = TOP_BITS * rotation
         if turn:
-            pairs = (pairs >> turn) | (pairs << np.uint64(BITS - int(turn)))
+            pairs = (pairs >> np.uint64(turn)) | (pairs << np.uint64(BITS - turn))
         signed = pairs.view(np.int64)
-        return pd.DataFrame({"a": signed[:, 0], "b": signed[:, 1]})
+        return pa.table({"a": signed[:, 0], "b": signed[:, 1]})
 
-    return tasks.groupBy("rotation", "node", "low", "high").applyInPandas(join, "a long, b long")
+    return tasks.groupBy("rotation", "cut", "task", "low", "high").applyInArrow(join, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
