@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 from collections.abc import Sequence
 
@@ -53,15 +54,16 @@ def decision_tree_unbounded(**params) -> Estimator:
 
 
 def forest_candidates(candidates: int = 10, seed: int = 42) -> list[dict]:
-    """Distinct random draws from the grid."""
-    draw = random.Random(seed)
-    found: list[dict] = []
-    while len(found) < candidates:
-        one = {name: draw.choice(values) for name, values in FOREST_GRID.items()}
-        one["maxDepth"] = min(one["maxDepth"] or MAX_DEPTH, MAX_DEPTH)
-        if one not in found:
-            found.append(one)
-    return found
+    """Random draws without replacement from the settings that differ.
+
+    Depths beyond Spark's limit are that limit, and "auto" stands for "sqrt".
+    """
+    depths = sorted({min(d or MAX_DEPTH, MAX_DEPTH) for d in FOREST_GRID["maxDepth"]})
+    values = {**FOREST_GRID, "maxDepth": depths, "featureSubsetStrategy": ["sqrt"]}
+    grid = [dict(zip(values, row)) for row in itertools.product(*values.values())]
+    if candidates > len(grid):
+        raise ValueError(f"only {len(grid)} settings differ")
+    return random.Random(seed).sample(grid, candidates)
 
 
 def random_forest(

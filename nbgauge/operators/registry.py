@@ -31,9 +31,10 @@ class ModelRegistry:
 
     def save(self, model: PipelineModel, file_name: str, classifier: str, **info) -> str:
         """Write the model and its registry row; the id of the model."""
-        model.write().overwrite().save(f"{self.folder}/models/{file_name}")
         entry = {"file_name": file_name, "classifier": classifier, **info}
         key = model_id(entry)
+        # By id: another model of the same file name does not replace it.
+        model.write().overwrite().save(f"{self.folder}/models/{key}/{file_name}")
         row = [(key, file_name, classifier, json.dumps(entry, sort_keys=True, default=str))]
         self.spark.createDataFrame(row, ROW).coalesce(1).write.mode("overwrite").json(f"{self.folder}/rows/{key}")
         return key
@@ -61,7 +62,7 @@ class ModelRegistry:
         if model_id(info) != key:
             logger.error("registry row of model %s does not match its id", key)
             return None
-        path = f"{self.folder}/models/{info['file_name']}"
+        path = f"{self.folder}/models/{key}/{info['file_name']}"
         if not self._exists(path):
             logger.error("files of model %s are missing: %s", key, path)
             return None

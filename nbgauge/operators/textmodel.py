@@ -18,7 +18,7 @@ from nbgauge.operators.texts import text_pairs
 def text_pipeline(text_col: str = "text", buckets: int = 1 << 16, max_iter: int = 10) -> Pipeline:
     return Pipeline(
         stages=[
-            RegexTokenizer(inputCol=text_col, outputCol="_words", pattern=r"\w+", gaps=False),
+            RegexTokenizer(inputCol=text_col, outputCol="_words", pattern=r"(?U)\w+", gaps=False),
             HashingTF(inputCol="_words", outputCol="_counts", numFeatures=buckets),
             IDF(inputCol="_counts", outputCol="features"),
             LogisticRegression(maxIter=max_iter, regParam=0.01),

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nbgauge.operators.ordering import with_global_rank
-from nbgauge.session import cut_lineage
-
 SEPARATOR = " \n "
 
 
@@ -16,36 +13,19 @@ def joined_cells(cells: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(cells), lambda c: F.coalesce(c["source"], F.lit(""))), SEPARATOR)
 
 
-def assemble_texts(cells: DataFrame, cells_per_part: int = 10_000) -> DataFrame:
+def assemble_texts(cells: DataFrame) -> DataFrame:
     """``code`` and ``markdown`` text of each notebook, from rows with a ``cell_type``.
 
-    A notebook of more than ``cells_per_part`` cells comes in several rows, in
-    the order of ``part``; joined with the separator they are its text.  So no
-    group outgrows a task.
+    One row per notebook.  Cells without an id belong to none and are left out;
+    cells with one index are ordered by their source.
     """
-    keyed = cells.where(F.col("kernel_id").isNotNull()).withColumn(
-        "part", F.coalesce(F.call_function("div", F.col("cell_index"), F.lit(cells_per_part)), F.lit(0)).cast("bigint")
-    )
-    # Indexes that repeat (many notebooks under one id) still crowd one part.
-    sizes = keyed.groupBy("kernel_id", "part").agg(F.count(F.lit(1)).alias("n"))
-    crowded = sizes.where(F.col("n") > cells_per_part).select("kernel_id").distinct()
-    if crowded.isEmpty():
-        return _texts_by_part(keyed)
-    crowded = cut_lineage(crowded)
-    ranked = with_global_rank(keyed.join(crowded, "kernel_id", "left_semi"), "kernel_id", "cell_index", "source", rank="_rank")
-    first = ranked.groupBy("kernel_id").agg(F.min("_rank").alias("_first"))
-    place = F.call_function("div", F.col("_rank") - F.col("_first"), F.lit(cells_per_part))
-    spread = ranked.join(first, "kernel_id").withColumn("part", place.cast("bigint"))
-    others = keyed.join(crowded, "kernel_id", "left_anti")
-    return _texts_by_part(others.unionByName(spread.select(*keyed.columns)))
-
-
-def _texts_by_part(keyed: DataFrame) -> DataFrame:
+
     def texts(kind: str) -> Column:
         cell = F.struct("cell_index", "source")
         return joined_cells(F.collect_list(F.when(F.col("cell_type") == kind, cell)))
 
-    return keyed.groupBy("kernel_id", "part").agg(texts("code").alias("code"), texts("markdown").alias("markdown"))
+    keyed = cells.where(F.col("kernel_id").isNotNull())
+    return keyed.groupBy("kernel_id").agg(texts("code").alias("code"), texts("markdown").alias("markdown"))
 
 
 def text_pairs(texts: DataFrame, markdown_length: int = 300) -> DataFrame:

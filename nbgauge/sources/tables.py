@@ -16,12 +16,17 @@ def read_csv(
     """CSV with a header, quoted line breaks and doubled quotes.
 
     Without a schema all columns are text, to be cast by the cleaning steps.
+    With one, its columns are taken by their names, in whatever order the file
+    has them; values that do not fit become NULL, a missing column is an error.
     A file with quoted line breaks is one task; use ``csv_to_parquet`` once and
     read the Parquet table from then on.  ``null_words`` are whole fields read
     as NULL.
     """
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    rows = (reader.schema(schema) if schema else reader).csv(path)
+    rows = reader.csv(path)
+    if schema:
+        wanted = spark.createDataFrame([], schema).schema
+        rows = rows.select(*[F.col(f"`{c.name}`").try_cast(c.dataType).alias(c.name) for c in wanted])
     for word in null_words:
         texts = [c for c, t in rows.dtypes if t == "string"]
         rows = rows.withColumns({c: F.nullif(F.col(c), F.lit(word)) for c in texts})

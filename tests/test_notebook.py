@@ -88,14 +88,9 @@ def test_texts(spark):
         [(1, 3, "code", "c"), (1, 1, "code", "a"), (1, 2, "markdown", "m" * 400), (1, 25, "code", "z"), (2, 1, "raw", "r")],
         "kernel_id int, cell_index int, cell_type string, source string",
     )
-    whole = {(r.kernel_id, r.part): r for r in assemble_texts(cells).collect()}
-    assert whole[1, 0].code == "a \n c \n z" and whole[2, 0].code == ""
-    parts = {(r.kernel_id, r.part): r.code for r in assemble_texts(cells, 10).collect()}
-    assert parts[1, 0] == "a \n c" and parts[1, 2] == "z"
-    same = spark.createDataFrame([(7, 1, "code", f"{i:02}") for i in range(25)], cells.schema)
-    crowded = {(r.kernel_id, r.part): r.code for r in assemble_texts(cells.unionByName(same), 10).collect()}
-    assert crowded[7, 1] == " \n ".join(f"{i:02}" for i in range(10, 20)) and len(crowded[7, 2].split(" \n ")) == 5
-    assert crowded[1, 0] == "a \n c" and crowded[1, 2] == "z"
+    far = spark.createDataFrame([(3, 1, "code", "first"), (3, 10_001, "code", "last"), (None, 1, "code", "lost")], cells.schema)
+    rows = assemble_texts(cells.unionByName(far)).collect()
+    assert {r.kernel_id: r.code for r in rows} == {1: "a \n c \n z", 2: "", 3: "first \n last"} and len(rows) == 3
     pair = text_pairs(assemble_texts(cells)).where("kernel_id = 1").first()
     assert len(pair.markdown) == 300 and pair.text == pair.markdown + "\n" + pair.code
 

@@ -105,3 +105,11 @@ def test_large_notebook(spark, tmp_path):
     parsed = nb.parse_notebooks(nb.read_notebook_files(spark, str(tmp_path)))
     found = [tuple(r)[1:] for r in nb.cells_of(nb.sound_notebooks(parsed)).orderBy("cell_index").collect()]
     assert found == [(1, "code", "[1]", "display_data", 1), (2, "code", None, None, 2)]
+
+
+def test_csv_columns_by_name(spark, tmp_path):
+    (tmp_path / "moved.csv").write_text('cell_index,more,source,kernel_id\n7,x,"a, b",100\noops,y,,101\n')
+    rows = tables.read_csv(spark, str(tmp_path / "moved.csv"), "kernel_id BIGINT, cell_index BIGINT, source STRING").collect()
+    assert [tuple(r) for r in rows] == [(100, 7, "a, b"), (101, None, None)]
+    with pytest.raises(PySparkException):
+        tables.read_csv(spark, str(tmp_path / "moved.csv"), "kernel_id BIGINT, absent STRING")

@@ -144,7 +144,7 @@ def comment_topic_model(spark, sf_dir):
 
 @query()
 def notebook_text_curve(spark, sf_dir):
-    texts = assemble_texts(mixed_cells(spark, sf_dir)).where("part = 0")
+    texts = assemble_texts(mixed_cells(spark, sf_dir))
     labelled = texts.select(F.col("kernel_id").alias("KernelId"), "code", "markdown", (F.length("code") > F.length("markdown")).cast("int").alias("label"))
     return textmodel.learning_curve(labelled, sizes=(50, 100), buckets=1 << 12, max_iter=5)
 

@@ -158,7 +158,7 @@ def _joined_sql(role: str) -> str:
     )
 
 
-TEXTS = f"SELECT conv_id AS kernel_id, CAST(0 AS BIGINT) AS part, {_joined_sql('assistant')} AS code, {_joined_sql('user')} AS markdown FROM conversations GROUP BY conv_id"
+TEXTS = f"SELECT conv_id AS kernel_id, {_joined_sql('assistant')} AS code, {_joined_sql('user')} AS markdown FROM conversations GROUP BY conv_id"
 
 
 @query(TEXTS)
@@ -167,7 +167,7 @@ def text_assembly(spark, sf_dir):
 
 
 @query(
-    f"SELECT kernel_id, part, code, substr(markdown, 1, 300) AS markdown, concat(substr(markdown, 1, 300), chr(10), code) AS text FROM ({TEXTS})"
+    f"SELECT kernel_id, code, substr(markdown, 1, 300) AS markdown, concat(substr(markdown, 1, 300), chr(10), code) AS text FROM ({TEXTS})"
 )
 def text_pairs_truncated(spark, sf_dir):
     return text_pairs(assemble_texts(mixed_cells(spark, sf_dir)))

@@ -370,11 +370,11 @@ def expert_sample(spark, sf_dir):
 
 
 @query(
-    "SELECT doc_id AS KernelId, text AS code, CAST(0 AS BIGINT) AS label FROM documents WHERE lang = 'en' UNION ALL "
+    "SELECT doc_id AS KernelId, text AS code, CAST(0 AS BIGINT) AS label FROM documents UNION ALL "
     "SELECT page_id, html, 1 FROM pages"
 )
 def labelled_union(spark, sf_dir):
-    zeros = source_table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("KernelId"), F.col("text").alias("code"))
+    zeros = source_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("KernelId"), F.col("text").alias("code"))
     ones = source_table(spark, sf_dir, "pages").select(F.col("page_id").alias("KernelId"), F.col("html").alias("code"))
     rows = ordering.union_labelled([(zeros, 0), (ones, 1)])
     return rows.withColumn("label", F.col("label").cast("bigint"))

@@ -91,9 +91,3 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base, text = VIEWS[name]
     head, tail = text.rsplit(f"FROM {base}", 1)
     return spark.sql(f"{head}FROM {{{base}}}{tail}", **{base: source_table(spark, sf_dir, base)})
-
-
-def with_views(sql: str, *names: str) -> str:
-    """Put the texts of the named views in front of a query."""
-    ctes = ",\n".join(f"{name} AS ({VIEWS[name][1]})" for name in names)
-    return f"WITH {ctes}{',' if sql.lstrip().startswith('+') else ''}\n{sql.lstrip().removeprefix('+')}"
