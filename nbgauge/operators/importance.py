@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nbgauge.operators.learning import assembler_of, fitted_trees, predict
@@ -50,7 +50,6 @@ def permutation_importance(
         .agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
     )
     # One row per feature from here on.
-    base = hits.where(F.col("feature").isNull()).select("accuracy").first()["accuracy"]
-    return hits.where(F.col("feature").isNotNull()).select(
-        "feature", "accuracy", (F.lit(base) - F.col("accuracy")).alias("importance")
-    )
+    base = F.max(F.when(F.col("feature").isNull(), F.col("accuracy"))).over(Window.partitionBy(F.lit(1)))
+    compared = hits.withColumn("importance", base - F.col("accuracy"))
+    return compared.where(F.col("feature").isNotNull()).select("feature", "accuracy", "importance")

@@ -4,7 +4,8 @@ A window ordered over the whole table, or a large ``limit``, ends in one task.
 Here the sort keys alone are range-partitioned and sorted; a position inside a
 partition plus the sizes of the partitions before it is the exact rank.  What is
 needed from the ranks are a few cut keys, and the rows are then picked by
-comparing with them: the wide rows are never shuffled.
+comparing with them: the wide rows are not shuffled.  Only rows that share the key
+of a cut are told apart further, by a hash of the row and then by number.
 """
 
 from __future__ import annotations
@@ -17,28 +18,28 @@ from pyspark.sql import functions as F
 
 from nbgauge.session import cut_lineage
 
-# Largest n for which a plain top-n is used: its rows meet in one task.
-TOP_ROWS = 10_000
-
 _POSITION_BITS = 33  # layout of monotonically_increasing_id
 
 
-def sort_keys(df: DataFrame, *columns: str | Column) -> dict[str, Column]:
-    """Total order over rows: the columns, NULL last, then a hash of the row."""
+def sort_keys(*columns: str | Column) -> dict[str, Column]:
+    """Sort keys of the columns, NULL last."""
     keys: dict[str, Column] = {}
     for i, column in enumerate(columns):
         value = F.col(column) if isinstance(column, str) else column
         keys[f"_n{i}"] = value.isNull()
         keys[f"_k{i}"] = value
-    # Ids may repeat; equal rows only differ by nothing.
-    keys["_h"] = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     return keys
 
 
+def row_hash(df: DataFrame) -> Column:
+    """Hash of all columns that can be hashed (maps cannot)."""
+    return F.xxhash64(*[F.col(f"`{name}`") for name, kind in df.dtypes if "map<" not in kind and kind != "variant"])
+
+
 def with_global_rank(df: DataFrame, *columns: str, rank: str = "rank") -> DataFrame:
-    """Add the 1-based rank of each row in the order of ``columns`` (NULL last)."""
+    """Add the 1-based rank of each row in the order of ``columns`` (NULL last), then of a hash of the row."""
     names = df.columns
-    keys = sort_keys(df, *columns)
+    keys = {**sort_keys(*columns), "_h": row_hash(df)}
     return _ranked(df.withColumns(keys), list(keys), rank).select(*names, rank)
 
 
@@ -59,7 +60,7 @@ def _ranked(df: DataFrame, keys: Sequence[str], rank: str) -> DataFrame:
 
 
 class RankCuts:
-    """Keys at chosen ranks of a table, to pick rows by comparison.
+    """Cuts a table at chosen ranks; every part gets exactly its number of rows.
 
     The table is read twice, so it must give equal rows both times: a written
     table, or one whose scores do not depend on the order of a sum.
@@ -67,28 +68,52 @@ class RankCuts:
 
     def __init__(self, df: DataFrame, *columns: str | Column):
         self.df = df
-        self._keys = sort_keys(df, *columns)
-        self._ranked = _ranked(df.select(*[c.alias(k) for k, c in self._keys.items()]), list(self._keys), "_rank")
+        self._keys = sort_keys(*columns)
+        # The salt spreads equal keys over partitions.
+        keyed = df.select(*[c.alias(k) for k, c in self._keys.items()]).withColumn("_salt", F.monotonically_increasing_id())
+        self._ranked = _ranked(keyed, [*self._keys, "_salt"], "_rank")
         self.size = self._ranked.count()
 
-    def _compare(self, rank: int, lower: bool) -> Column:
-        if (rank < 1 and lower) or (rank > self.size and not lower):
-            return F.lit(False)
-        if rank < 1 or rank > self.size:
-            return F.lit(True)
-        row = self._ranked.where(F.col("_rank") == rank).select(*self._keys).first()
-        types = {f.name: f.dataType for f in self._ranked.schema}
+    def cut(self, *ends: int, column: str = "_run") -> DataFrame:
+        """Add the number of the run a row lies in: 0 up to rank ``ends[0]``, then 1 up to ``ends[1]``, and so on."""
+        inner = sorted({e for e in ends if 0 < e < self.size})
+        found = {}
+        if inner:
+            # Two rows per cut: the last before it and the first after it.
+            rows = self._ranked.where(F.col("_rank").isin(sorted({*inner, *(e + 1 for e in inner)})))
+            found = {r["_rank"]: tuple(r[k] for k in self._keys) for r in rows.select("_rank", *self._keys).collect()}
         here = F.struct(*[c.alias(k) for k, c in self._keys.items()])
-        cut = F.struct(*[F.lit(row[k]).cast(types[k]).alias(k) for k in self._keys])
-        return here <= cut if lower else here >= cut
+        walls = {e: self._wall(found[e]) for e in inner}
+        run = F.lit(sum(e < 1 for e in ends)).cast("int")
+        for e in ends:
+            if e in walls:
+                run = run + (here > walls[e]).cast("int")
+        # Where both rows at a cut have one key, its rows are numbered.
+        tied = {repr(found[e]): walls[e] for e in inner if repr(found[e]) == repr(found[e + 1])}
+        result = self.df.withColumn(column, run)
+        for wall in tied.values():
+            result = result.where(here != wall)
+        for wall in tied.values():
+            ranked_key = F.struct(*self._keys)
+            before = self._ranked.where(ranked_key == wall).agg(F.min("_rank").alias("r")).first()["r"] - 1
+            rows = self.df.where(here == wall)
+            numbered = _ranked(rows.withColumns({"_h": row_hash(rows), "_salt": F.monotonically_increasing_id()}), ["_h", "_salt"], "_rank")
+            rank = F.col("_rank") + before
+            run = sum(((rank > e).cast("int") for e in ends), F.lit(0))
+            result = result.unionByName(numbered.select(*self.df.columns, run.cast("int").alias(column)))
+        return result
+
+    def _wall(self, key: tuple) -> Column:
+        types = {f.name: f.dataType for f in self._ranked.schema}
+        return F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(self._keys, key)])
 
-    def first(self, n: int) -> Column:
-        """Condition: among the first ``n`` rows."""
-        return self._compare(n, lower=True)
+    def first(self, n: int) -> DataFrame:
+        """The first ``n`` rows."""
+        return self.cut(n).where(F.col("_run") == 0).drop("_run")
 
-    def last(self, n: int) -> Column:
-        """Condition: among the last ``n`` rows."""
-        return self._compare(self.size - n + 1, lower=False)
+    def last(self, n: int) -> DataFrame:
+        """The last ``n`` rows."""
+        return self.cut(self.size - n).where(F.col("_run") == 1).drop("_run")
 
 
 def sorted_by(df: DataFrame, score: str, id_col: str = "KernelId") -> DataFrame:
@@ -98,10 +123,7 @@ def sorted_by(df: DataFrame, score: str, id_col: str = "KernelId") -> DataFrame:
 
 def lowest(df: DataFrame, n: int, *columns: str | Column) -> DataFrame:
     """The first ``n`` rows in the order of ``columns``."""
-    if n <= TOP_ROWS:
-        keys = sort_keys(df, *columns)
-        return df.withColumns(keys).orderBy(*keys).limit(n).select(*df.columns)
-    return df.where(RankCuts(df, *columns).first(n))
+    return RankCuts(df, *columns).first(n)
 
 
 def extreme_sizes(rows: int, split_factor: float = 0.7, selection_ratio: float = 0.25) -> tuple[int, int]:
@@ -119,25 +141,25 @@ def select_extremes(
     """The worst rows with label 0 and the best with label 1; the middle is left out."""
     cuts = RankCuts(df, score, id_col)
     worst, best = extreme_sizes(cuts.size, split_factor, selection_ratio)
-    return _label_ends(df, cuts, worst, best)
+    return _label_ends(cuts, worst, best)
 
 
 def select_symmetric(df: DataFrame, fraction: float = 0.10, score: str = "combined_score", id_col: str = "KernelId"):
     """The same share from both ends."""
     cuts = RankCuts(df, score, id_col)
     n = int(fraction * cuts.size)
-    return _label_ends(df, cuts, n, n)
+    return _label_ends(cuts, n, n)
 
 
 def head_and_tail(df: DataFrame, k: int, score: str = "score", id_col: str = "KernelId") -> DataFrame:
     """The ``k`` first and the ``k`` last rows by score; short tables give rows twice."""
     cuts = RankCuts(df, score, id_col)
-    return df.where(cuts.first(k)).unionByName(df.where(cuts.last(k)))
+    return cuts.first(k).unionByName(cuts.last(k))
 
 
-def _label_ends(df: DataFrame, cuts: RankCuts, worst: int, best: int) -> DataFrame:
-    label = F.when(cuts.first(worst), F.lit(0)).when(cuts.last(best), F.lit(1))
-    return df.withColumn("label", label).where(F.col("label").isNotNull())
+def _label_ends(cuts: RankCuts, worst: int, best: int) -> DataFrame:
+    ends = cuts.cut(worst, max(worst, cuts.size - best))
+    return ends.where("_run <> 1").withColumn("label", F.when(F.col("_run") == 0, 0).otherwise(1)).drop("_run")
 
 
 def split_at_rank(
@@ -145,8 +167,8 @@ def split_at_rank(
 ) -> DataFrame:
     """Label 0 for the lowest share of the rows, 1 for the rest."""
     cuts = RankCuts(df, score, id_col)
-    low = cuts.first(int(fraction * cuts.size))
-    return df.withColumn(label, F.when(low, 0).otherwise(1))
+    halves = cuts.cut(int(fraction * cuts.size))
+    return halves.withColumn(label, F.when(F.col("_run") == 0, 0).otherwise(1)).drop("_run")
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -190,8 +212,8 @@ def random_split(
 ) -> DataFrame:
     """Add ``split``: ceil(fraction * rows) rows at random are ``name``, the others ``rest``."""
     cuts = RankCuts(df, _shuffled(id_col, seed), id_col)
-    chosen = cuts.first(math.ceil(fraction * cuts.size))
-    return df.withColumn("split", F.when(chosen, F.lit(name)).otherwise(F.lit(rest)))
+    parts = cuts.cut(math.ceil(fraction * cuts.size))
+    return parts.withColumn("split", F.when(F.col("_run") == 0, F.lit(name)).otherwise(F.lit(rest))).drop("_run")
 
 
 def three_way_split(

@@ -41,7 +41,8 @@ def training_set(
 
     The selected rows are written once: training reads them many times.
     """
-    joined = scored_features(features, scores, metrics_filters, scores_filters)
+    # Written once, as the ranks and the rows must come from equal reads.
+    joined = cut_lineage(scored_features(features, scores, metrics_filters, scores_filters))
     ends = cut_lineage(select_extremes(joined, sort_by, split_factor, selection_ratio))
     return features_only(random_split(ends, test_fraction, seed=seed), include_pt)
 

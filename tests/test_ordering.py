@@ -24,12 +24,35 @@ def test_global_rank(table):
     assert [(r.KernelId, r.score) for r in ranked] == in_order(table)
 
 
-def test_lowest_by_cut_equals_limit(table, monkeypatch):
+def test_lowest(table):
     expected = {r[0] for r in in_order(table)[:400]}
     assert {r.KernelId for r in ordering.lowest(table, 400, "score", "KernelId").collect()} == expected
-    monkeypatch.setattr(ordering, "TOP_ROWS", 10)
-    assert {r.KernelId for r in ordering.lowest(table, 400, "score", "KernelId").collect()} == expected
     assert ordering.lowest(table, 5000, "score").count() == 1000
+    assert ordering.lowest(table, 0, "score").count() == 0
+
+
+def test_cuts_through_equal_rows(spark):
+    """Rows equal in all columns: each part gets exactly its number of them."""
+    rows = spark.createDataFrame([(1, 2.0)] * 4 + [(2, None), (3, None)], "KernelId bigint, score double").repartition(3)
+    assert [tuple(r) for r in ordering.lowest(rows, 2, "score", "KernelId").collect()] == [(1, 2.0)] * 2
+    halves = ordering.split_at_rank(rows, "score")
+    assert sorted(map(tuple, halves.collect()), key=repr) == sorted([(1, 2.0, 0)] * 3 + [(1, 2.0, 1), (2, None, 1), (3, None, 1)], key=repr)
+    split = ordering.random_split(rows, 0.3)
+    assert {r.split: r.n for r in ordering.class_counts(split, "split").collect()} == {"test": 2, "train": 4}
+    # Several cuts through one group, and a cut through rows without a score.
+    cuts = ordering.RankCuts(rows, "score")
+    runs = sorted(r["_run"] for r in cuts.cut(1, 1, 3, 5).collect())
+    assert runs == [0, 2, 2, 3, 3, 4]
+    twice = ordering.select_extremes(spark.range(40).selectExpr("id % 2 AS KernelId", "1.0D AS score"), "score", 0.5, 0.5)
+    assert {r.label: r.n for r in ordering.class_counts(twice, "label").collect()} == {0: 10, 1: 10}
+
+
+def test_ties_differ_by_hash_only(spark):
+    """Rows with one key but other values: the same ones are picked however they are stored; maps and NaN do not disturb."""
+    rows = spark.range(30).selectExpr("1 AS KernelId", "double('NaN') AS score", "id AS x", "map('a', id) AS m")
+    one = {r.x for r in ordering.lowest(rows.repartition(2), 7, "score", "KernelId").collect()}
+    two = {r.x for r in ordering.lowest(rows.repartition(5), 7, "score", "KernelId").collect()}
+    assert one == two and len(one) == 7
 
 
 def test_extremes(table):
@@ -58,8 +81,7 @@ def test_equal_ids_are_cut_exactly(spark):
     assert ordering.split_at_rank(rows, "score").where("label = 0").count() == 150
 
 
-def test_balanced_head(spark, monkeypatch):
-    monkeypatch.setattr(ordering, "TOP_ROWS", 1)
+def test_balanced_head(spark):
     rows = spark.createDataFrame([(i, int(i > 4)) for i in range(20)], "KernelId int, expert_score int")
     found = ordering.balanced_head(rows)
     assert sorted(r.KernelId for r in found.collect()) == list(range(10))
