@@ -132,6 +132,21 @@ def criterion_report(
     return classification_report(judged, "expert_score", prediction)
 
 
+def binary_report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """Accuracy, then precision, recall, F1 and support of both classes, as one row."""
+    actual, found = F.col(label).cast("int"), F.col(prediction).cast("int")
+    columns = [F.avg((actual == found).cast("double")).alias("accuracy")]
+    for c in (0, 1):
+        hits, true, said = F.count_if((actual == c) & (found == c)), F.count_if(actual == c), F.count_if(found == c)
+        columns += [
+            F.coalesce(F.try_divide(hits, said), F.lit(0.0)).alias(f"precision_{c}"),
+            F.coalesce(F.try_divide(hits, true), F.lit(0.0)).alias(f"recall_{c}"),
+            F.coalesce(F.try_divide(2 * hits, true + said), F.lit(0.0)).alias(f"f1_{c}"),
+            true.alias(f"support_{c}"),
+        ]
+    return df.agg(*columns)
+
+
 def accuracy_and_recall(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Accuracy, and recall of class 1."""
     right = F.col(label).cast("int") == F.col(prediction).cast("int")

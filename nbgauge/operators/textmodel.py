@@ -10,7 +10,7 @@ from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nbgauge.operators.evaluation import accuracy_and_recall, classification_report
+from nbgauge.operators.evaluation import binary_report, classification_report
 from nbgauge.operators.ordering import balanced_head, sample_rows, three_way_split
 from nbgauge.operators.texts import text_pairs
 
@@ -69,7 +69,7 @@ def learning_curve(
     seed: int = 1,
     **params,
 ) -> DataFrame:
-    """Accuracy and recall of the notebook text model by size of the training sample.
+    """Accuracy, and precision, recall and F1 of both classes, of the notebook text model by size of the sample.
 
     ``texts`` holds markdown, code and label.  Each size is one training job
     over a sample; rows of the result are collected figures, two per size.
@@ -83,9 +83,9 @@ def learning_curve(
         if holdout is not None:
             tests["experts"] = text_pairs(holdout)
         for name, rows in tests.items():
-            found = accuracy_and_recall(predict_text(model, rows)).first()
-            figures.append((size, name, found["accuracy"], found["recall"]))
-    return texts.sparkSession.createDataFrame(figures, "size int, test_set string, accuracy double, recall double")
+            figures.append((size, name, *binary_report(predict_text(model, rows)).first()))
+    per_class = ", ".join(f"precision_{c} double, recall_{c} double, f1_{c} double, support_{c} bigint" for c in (0, 1))
+    return texts.sparkSession.createDataFrame(figures, f"size int, test_set string, accuracy double, {per_class}")
 
 
 def balanced_texts(texts: DataFrame, id_col: str = "KernelId") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from hashlib import blake2b
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,14 +115,22 @@ def mixed_cell_metrics(cells: DataFrame, popularity: DataFrame) -> DataFrame:
 
 
 def popularity_table(spark: SparkSession, code_cells: DataFrame, path: str, refresh: bool = False, **options):
-    """The popularity table saved under ``path``, worked out once per corpus version.
+    """The popularity table saved under ``path``; made anew for another corpus, baseline or import mode.
 
-    Give each version of a corpus its own path.
+    Beside the table lies a digest of the corpus' files and of the options.
     """
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    saved = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-    if refresh or not saved:
+    made_from = json.dumps([sorted(code_cells.inputFiles()), sorted(code_cells.dtypes), sorted(options.items())])
+    digest, note = blake2b(made_from.encode(), digest_size=16).hexdigest(), f"{path.rstrip('/')}-made-from"
+
+    def finished(folder: str) -> bool:
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+        return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+    same = finished(path) and finished(note) and [r.value for r in spark.read.text(note).collect()] == [digest]
+    if refresh or not same:
         corpus_popularity(code_cells, **options).write.mode("overwrite").parquet(path)
+        # Written last: a table that broke off is made again.
+        spark.createDataFrame([(digest,)], "value string").coalesce(1).write.mode("overwrite").text(note)
     return spark.read.schema(schemas.API_POPULARITY).parquet(path)
 
 

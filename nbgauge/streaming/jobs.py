@@ -26,11 +26,17 @@ def read_cell_stream(
 def stream_code_metrics(
     cells: DataFrame, popularity: DataFrame | None, target: str, checkpoint: str
 ) -> StreamingQuery:
-    """Append the metrics of newly landed code cells to a Parquet table; stateless."""
-    metrics = code_cell_metrics(cells, popularity)
+    """Write the metrics of newly landed code cells, a folder per batch; stateless.
+
+    A batch is an ordinary table, so that a popularity of any size can be joined.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # A batch that is run again writes the same folder again.
+        code_cell_metrics(batch, popularity).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
     return (
-        metrics.writeStream.format("parquet")
-        .option("path", target)
+        cells.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -66,3 +66,6 @@ def test_long_and_accuracy(spark):
     assert {tuple(r) for r in long.collect()} == {("1K", "Accuracy", 0.5), ("1K", "Recall", 0.25)}
     pairs = spark.createDataFrame([(1, 1), (1, 0), (0, 0), (0, 0)], "label int, prediction int")
     assert tuple(evaluation.accuracy_and_recall(pairs).first()) == (0.75, 0.5)
+    report = evaluation.binary_report(pairs).first()
+    assert (report.accuracy, report.precision_1, report.recall_1, report.f1_1, report.support_1) == (0.75, 1.0, 0.5, pytest.approx(2 / 3), 2)
+    assert (report.precision_0, report.recall_0, report.support_0) == (pytest.approx(2 / 3), 1.0, 2)

@@ -40,6 +40,25 @@ def test_scores(cells, score):
     assert sorted(found, key=repr) == sorted(expected, key=repr)
 
 
+def test_saved_table_knows_its_corpus(spark, tmp_path):
+    from nbgauge.plans.cells import popularity_table
+
+    def corpus(name, *imports):
+        rows = [(1, i, f"import {x}") for i, x in enumerate(imports)]
+        spark.createDataFrame(rows, "kernel_id bigint, cell_index int, source string").write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    def scores(cells, **options):
+        return {r.api: r.score for r in popularity_table(spark, cells, str(tmp_path / "table"), **options).collect()}
+
+    one, two = corpus("one", "sklearn", "sklearn", "os"), corpus("two", "sklearn", "os", "os")
+    assert scores(one) == {"sklearn": 1.0, "os": 0.5}
+    written = sorted(p.name for p in (tmp_path / "table").iterdir())
+    assert scores(one) == {"sklearn": 1.0, "os": 0.5} and written == sorted(p.name for p in (tmp_path / "table").iterdir())
+    assert scores(two) == {"sklearn": 1.0, "os": 2.0}
+    assert scores(two, baseline="os") == {"sklearn": 0.5, "os": 1.0}
+
+
 def test_hot_list_join_keeps_all_rows(spark):
     """A third of the cells share one import list."""
     cells = spark.range(3000).selectExpr(

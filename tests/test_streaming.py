@@ -23,7 +23,7 @@ def test_stream_equals_batch(spark, landed):
     popularity = api_popularity(with_imports(cells))
     stream = jobs.read_cell_stream(spark, path, files_per_batch=2)
     jobs.stream_code_metrics(stream, popularity, f"{out}/metrics", f"{out}/state").awaitTermination()
-    found = spark.read.parquet(f"{out}/metrics")
+    found = spark.read.parquet(f"{out}/metrics").drop("batch")
     expected = code_cell_metrics(cells, popularity)
     assert found.count() == 60
     assert sorted(found.collect(), key=lambda r: r.cell_index) == sorted(expected.collect(), key=lambda r: r.cell_index)
@@ -34,6 +34,17 @@ def test_stream_equals_batch(spark, landed):
     assert spark.read.parquet(f"{out}/metrics").count() == 61
 
 
+def test_stream_joins_a_large_popularity(spark, landed, monkeypatch):
+    from nbgauge.operators import popularity as names
+
+    monkeypatch.setattr(names.with_import_score, "__defaults__", (1,))
+    cells, path, out = landed
+    popularity = api_popularity(with_imports(cells))
+    jobs.stream_code_metrics(jobs.read_cell_stream(spark, path, files_per_batch=2), popularity, f"{out}/joined", f"{out}/state4").awaitTermination()
+    found = {(r.cell_index, r.EAP) for r in spark.read.parquet(f"{out}/joined").collect()}
+    assert found == {(r.cell_index, r.EAP) for r in code_cell_metrics(cells, popularity).collect()}
+
+
 def test_running_counts(spark, landed):
     cells, path, out = landed
     stream = jobs.read_cell_stream(spark, path, files_per_batch=2)

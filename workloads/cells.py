@@ -264,6 +264,17 @@ def stream_cell_metrics(spark, sf_dir):
     return shown(spark.read.parquet(f"{target}/metrics"), "LOC", "NBD", "ID", "OPRND")
 
 
+@query(EAP_ORACLE)
+def stream_cell_scores(spark, sf_dir):
+    """Import scores of cells that land file by file, against the popularity of the corpus."""
+    target = work_dir(spark)
+    cells = view(spark, sf_dir, "code_cells")
+    cells.write.parquet(f"{target}/landed")
+    landed = jobs.read_cell_stream(spark, f"{target}/landed", cells.schema, files_per_batch=2)
+    jobs.stream_code_metrics(landed, corpus_popularity(cells), f"{target}/metrics", f"{target}/state").awaitTermination()
+    return shown(spark.read.parquet(f"{target}/metrics"), "EAP")
+
+
 @query(
     "WITH c AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'import sklearn, numpy' WHEN 1 THEN 'import sklearn' ELSE concat('from m', doc_id % 5, ' import x') "
     "END AS source FROM documents), n AS (SELECT api, count(*) AS n FROM (SELECT unnest(" + sql.IMPORTS + ") AS api FROM c) GROUP BY api) "

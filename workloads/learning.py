@@ -162,3 +162,56 @@ def quality_study(spark, sf_dir):
         buckets=1 << 12, max_iter=5,
     )
     return tables["reports"]
+
+
+# -- models whose answers are known --------------------------------------------
+
+# A notebook is long if it has four cells or more; the number of cells tells it, whatever the data.
+LONG = sql.cte(*sql.NOTEBOOK_METRICS) + "SELECT kernel_id, CAST(CC AS BIGINT) AS CC, CAST(CC >= 4 AS INT) AS prediction FROM notebooks"
+
+
+def long_notebooks(spark, sf_dir) -> DataFrame:
+    rows = features(spark, sf_dir)
+    return rows.select("kernel_id", "CC", "H1", (F.col("CC") >= 4).cast("int").alias("label"))
+
+
+def _separable_query(name: str, classifier: str, **params) -> None:
+    def run(spark, sf_dir):
+        rows = long_notebooks(spark, sf_dir)
+        model = learning.train(rows, learning.classifier(classifier, **params), ["CC"])
+        return learning.predict(model, rows).select("kernel_id", F.col("CC").cast("bigint").alias("CC"), "prediction")
+
+    run.__name__ = name
+    query(LONG)(run)
+
+
+_separable_query("separable_decision_tree", "decision_tree")
+_separable_query("separable_boosted_trees", "cat_boost", maxIter=3)
+_separable_query("separable_boosted_trees_deep", "xg_boost", maxIter=3)
+_separable_query("separable_random_forest", "random_forest", candidates=1, trees=3, folds=2)
+
+
+@query(LONG)
+def registered_model_predicts(spark, sf_dir):
+    """Saved, found by its id, loaded and applied to all notebooks."""
+    rows = long_notebooks(spark, sf_dir)
+    registry = ModelRegistry(spark, work_dir(spark))
+    key = registry.save(learning.train(rows, learning.decision_tree(), ["CC"]), "tree", "decision_tree")
+    scored = training.score_notebooks(registry.load(key), rows).select("kernel_id", "prediction")
+    return rows.join(scored, "kernel_id").select("kernel_id", F.col("CC").cast("bigint").alias("CC"), "prediction")
+
+
+@query("SELECT unnest(['CC', 'H1']) AS feature, unnest([1.0::DOUBLE, 0.0::DOUBLE]) AS importance")
+def separable_importance(spark, sf_dir):
+    """All weight on the number of cells."""
+    rows = long_notebooks(spark, sf_dir)
+    model = learning.train(rows, learning.decision_tree(maxDepth=1), ["CC", "H1"])
+    return importance.model_importance(model, rows)
+
+
+@query("SELECT 'H1' AS feature, 1.0::DOUBLE AS accuracy, 0.0::DOUBLE AS importance")
+def unused_feature_importance(spark, sf_dir):
+    """Shuffling a feature that the tree does not ask for loses nothing."""
+    rows = long_notebooks(spark, sf_dir)
+    model = learning.train(rows, learning.decision_tree(maxDepth=1), ["CC", "H1"])
+    return importance.permutation_importance(model, rows, features=["H1"])

@@ -352,6 +352,41 @@ def three_way_split(spark, sf_dir):
     return ordering.three_way_split(view(spark, sf_dir, "kernels"), id_col="Id").select("Id", "split")
 
 
+# Every row twice: a cut may run through two equal rows.
+DOUBLED = sql.cte(sql.view("kernels"), ("twice", "SELECT * FROM kernels UNION ALL SELECT * FROM kernels"))
+
+
+def doubled(spark, sf_dir) -> DataFrame:
+    rows = view(spark, sf_dir, "kernels")
+    return rows.unionAll(rows)
+
+
+@query(
+    DOUBLED + f"SELECT Id, TotalVotes, CAST(CASE WHEN r <= floor(0.25::DOUBLE * 0.7::DOUBLE * n) THEN 0 ELSE 1 END AS BIGINT) AS label FROM (SELECT *, {RANKED} FROM twice) "
+    "WHERE r <= floor(0.25::DOUBLE * 0.7::DOUBLE * n) OR r > n - floor(0.25::DOUBLE * (1 - 0.7::DOUBLE) * n)"
+)
+def select_extremes_repeated(spark, sf_dir):
+    return with_long_label(ordering.select_extremes(doubled(spark, sf_dir), "TotalVotes", id_col="Id"))
+
+
+@query(DOUBLED + f"SELECT Id, TotalVotes, CAST(r > floor(0.25::DOUBLE * n) AS BIGINT) AS label FROM (SELECT *, {RANKED} FROM twice)")
+def rank_split_repeated(spark, sf_dir):
+    return with_long_label(ordering.split_at_rank(doubled(spark, sf_dir), "TotalVotes", 0.25, id_col="Id"))
+
+
+@query(
+    DOUBLED + "SELECT Id, CASE WHEN r <= ceil(0.1::DOUBLE * n) THEN 'test' ELSE 'train' END AS split FROM "
+    f"(SELECT Id, row_number() OVER (ORDER BY {shuffled(42)}, Id) AS r, count(*) OVER () AS n FROM twice)"
+)
+def random_split_repeated(spark, sf_dir):
+    return ordering.random_split(doubled(spark, sf_dir), 0.1, "Id").select("Id", "split")
+
+
+@query(DOUBLED + "SELECT Id, TotalVotes FROM twice ORDER BY Id LIMIT (SELECT count(*) FROM labels)")
+def first_rows_repeated(spark, sf_dir):
+    return ordering.first_rows(doubled(spark, sf_dir), view(spark, sf_dir, "expert_scores"), "Id").select("Id", "TotalVotes")
+
+
 SAMPLED = (
     *sql.QUALITY,
     ("seen", "SELECT KernelId, UserName, CurrentUrlSlug, row_number() OVER (ORDER BY combined_score, KernelId) AS r, count(*) OVER () AS n FROM quality WHERE TotalViews > 500"),
