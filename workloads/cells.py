@@ -158,12 +158,12 @@ def csv_round_trip(spark, sf_dir):
 def notebook_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as notebook JSON: the assistant writes code, the user markdown.
 
-    Every seventh notebook keeps its system turns as raw cells, which are no
-    valid kind; elsewhere they are left out.
+    System turns are markdown too, but raw cells, which are no valid kind, in
+    every seventh notebook.
     """
     turns = source_table(spark, sf_dir, "conversations")
-    kind = F.when(F.col("role") == "user", "markdown").when(F.col("role") == "assistant", "code").otherwise("raw")
-    turns = turns.where((F.col("role") != "system") | (F.col("conv_id") % 7 == 0))
+    is_raw = (F.col("role") == "system") & (F.col("conv_id") % 7 == 0)
+    kind = F.when(F.col("role") == "assistant", "code").when(is_raw, "raw").otherwise("markdown")
     cell = F.struct(
         "turn",
         F.to_json(
@@ -180,15 +180,13 @@ def notebook_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.groupBy(F.col("conv_id").alias("kernel_id")).agg(body.alias("content"))
 
 
-KEPT_TURNS = (
-    "SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS pos FROM conversations WHERE (role <> 'system' OR conv_id % 7 = 0)"
-)
+TURNS = "SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS pos FROM conversations"
 BAD_NOTEBOOKS = "SELECT DISTINCT conv_id FROM conversations WHERE role = 'system' AND conv_id % 7 = 0"
 
 
 @query(
-    f"WITH t AS ({KEPT_TURNS}), bad AS ({BAD_NOTEBOOKS}) "
-    "SELECT conv_id AS kernel_id, CAST(pos AS BIGINT) AS cell_index, CASE role WHEN 'user' THEN 'markdown' ELSE 'code' END AS cell_type, "
+    f"WITH t AS ({TURNS}), bad AS ({BAD_NOTEBOOKS}) "
+    "SELECT conv_id AS kernel_id, CAST(pos AS BIGINT) AS cell_index, CASE role WHEN 'assistant' THEN 'code' ELSE 'markdown' END AS cell_type, "
     "concat(text, chr(10), role) AS source, CASE role WHEN 'assistant' THEN 'display_data' END AS output_type, "
     "CASE role WHEN 'assistant' THEN CAST(turn AS BIGINT) END AS execution_count "
     "FROM t WHERE conv_id NOT IN (SELECT conv_id FROM bad)"
@@ -205,9 +203,9 @@ def notebook_file_rejects(spark, sf_dir):
 
 
 @query(
-    f"WITH t AS ({KEPT_TURNS}), bad AS ({BAD_NOTEBOOKS}) SELECT conv_id AS kernel_id, "
+    f"WITH t AS ({TURNS}), bad AS ({BAD_NOTEBOOKS}) SELECT conv_id AS kernel_id, "
     "coalesce(string_agg(concat(text, chr(10), role), concat(' ', chr(10), ' ') ORDER BY pos) FILTER (WHERE role = 'assistant'), '') AS code, "
-    "coalesce(string_agg(concat(text, chr(10), role), concat(' ', chr(10), ' ') ORDER BY pos) FILTER (WHERE role = 'user'), '') AS markdown "
+    "coalesce(string_agg(concat(text, chr(10), role), concat(' ', chr(10), ' ') ORDER BY pos) FILTER (WHERE role <> 'assistant'), '') AS markdown "
     "FROM t WHERE conv_id NOT IN (SELECT conv_id FROM bad) GROUP BY conv_id"
 )
 def notebook_file_texts(spark, sf_dir):
@@ -215,12 +213,12 @@ def notebook_file_texts(spark, sf_dir):
 
 
 NOTEBOOK_FILE_CELLS = (
-    ("t", KEPT_TURNS),
+    ("t", TURNS),
     ("bad", BAD_NOTEBOOKS),
     ("sound", "SELECT conv_id AS kernel_id, pos AS cell_index, role, concat(text, chr(10), role) AS source, "
               "CASE role WHEN 'assistant' THEN 'display_data' END AS output_type FROM t WHERE conv_id NOT IN (SELECT conv_id FROM bad)"),
     ("sound_code", "SELECT * FROM sound WHERE role = 'assistant'"),
-    ("sound_md", "SELECT * FROM sound WHERE role = 'user'"),
+    ("sound_md", "SELECT * FROM sound WHERE role <> 'assistant'"),
     sql.cell_metrics("sound_code", "LOC", "NVD", "OPRND", "ID", "LOCom"),
     sql.markdown_metrics("sound_md"),
     ("c", "SELECT kernel_id, sum(LOC) AS LOC, sum(NVD) AS NVD, sum(OPRND) AS OPRND, sum(ID) AS ID, sum(LOCom) AS LOCom, count(*) AS CC "
@@ -295,6 +293,17 @@ def stream_popularity(spark, sf_dir):
     return jobs.current_popularity(spark, f"{target}/counts").select("api", F.round("score", 6).alias("score"))
 
 
+@query(sql.cte(sql.view("code_cells"), *sql.POPULARITY[:3]) + "SELECT api, round(score, 6) AS score FROM popularity")
+def stream_corpus_popularity(spark, sf_dir):
+    """Popularity of all imports of the code cells, counted as their files land."""
+    target = work_dir(spark)
+    cells = view(spark, sf_dir, "code_cells")
+    cells.write.parquet(f"{target}/landed")
+    landed = jobs.read_cell_stream(spark, f"{target}/landed", cells.schema, files_per_batch=2)
+    jobs.stream_api_counts(landed, f"{target}/counts", f"{target}/state").awaitTermination()
+    return jobs.current_popularity(spark, f"{target}/counts").select("api", F.round("score", 6).alias("score"))
+
+
 @query(FILE_METRICS_ORACLE)
 def stream_notebook_metrics(spark, sf_dir):
     """Notebook files that land one by one, turned into notebook metrics batch by batch."""

@@ -42,7 +42,7 @@ FROM documents""")
 VIEWS["markdown_cells"] = ("conversations", """
 SELECT conv_id AS kernel_id, turn AS cell_index,
        concat(CASE turn % 3 WHEN 0 THEN '# ' WHEN 1 THEN '## ' ELSE '' END, text) AS source
-FROM conversations WHERE role = 'user'""")
+FROM conversations WHERE role <> 'assistant'""")
 
 # Cell ids as a raw dump holds them: a marker row and ids that are no numbers.
 VIEWS["raw_code_cells"] = ("conversations", """
