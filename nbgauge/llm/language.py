@@ -7,7 +7,8 @@ passages come out as spans and single odd words do not.
 
 Defined results: a NULL text, one without letters, or nothing learned at all
 gives ``und`` with score 0 and no span.  Words without letters are part of no
-span.  Ties go to the language that sorts first.  Rows are scored one by one:
+span.  Text without spaces is scored in pieces of PIECE characters, so its whole
+length counts and one long word may lie in several spans.  Ties go to the language that sorts first.  Rows are scored one by one:
 repeated rows give repeated results, other columns of the table play no part.
 """
 
@@ -60,9 +61,21 @@ def scripts_of(codes: np.ndarray) -> np.ndarray:
     return np.where((codes >= _STARTS[at]) & (codes <= _ENDS[at]), _SCRIPT[at], -1)
 
 
+#: Longest piece of a word that is scored at a time.
+PIECE = 64
+
+
+def pieces_of(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """The words, long ones cut into pieces, and the number of each piece's word."""
+    if max(map(len, words), default=0) <= PIECE:
+        return words, np.arange(len(words))
+    cut = [(word[i : i + PIECE], number) for number, word in enumerate(words) for i in range(0, len(word), PIECE)]
+    return [piece for piece, _ in cut], np.array([number for _, number in cut], dtype=np.int64)
+
+
 def letters_of(word: str) -> str:
-    """The word's letters in lower case, the first 64 of them."""
-    return (word if word.isalpha() else "".join(c for c in word if c.isalpha()))[:64].lower()
+    """The word's letters in lower case."""
+    return (word if word.isalpha() else "".join(c for c in word if c.isalpha())).lower()
 
 
 def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,14 +146,15 @@ class LanguageModel:
                     index.clear()
                     tables.clear()
                     counted[0] = -1
-                numbers, ids, words, at = [], [], 0, start
+                numbers, ids, owners, words, at = [], [], [], 0, start
                 # As many texts at a time as give some millions of scores.
                 while at < len(texts) and words * len(model.languages) < 4_000_000:
-                    split = (texts[at] or "").split()
+                    split, owner = pieces_of((texts[at] or "").split())
                     found = np.fromiter(map(index.__getitem__, split), dtype=np.int64, count=len(split))
                     if (found >= 0).any():
                         numbers.append(at)
                         ids.append(found)
+                        owners.append(owner)
                         words += len(found)
                     at += 1
                 if waiting:
@@ -148,16 +162,17 @@ class LanguageModel:
                     waiting.clear()
                     tables[:] = [np.concatenate(tables)]
                 if numbers:
-                    for number, result in zip(numbers, model.label(ids, tables[0])):
+                    for number, result in zip(numbers, model.label(ids, owners, tables[0])):
                         out[number] = result
                 start = at
             return _results(out)
 
         return score
 
-    def label(self, ids: list[np.ndarray], scores: np.ndarray) -> list[tuple[str, float, list]]:
-        places = [np.flatnonzero(i >= 0) for i in ids]
-        own = [scores[i[p]] for i, p in zip(ids, places)]
+    def label(self, ids: list[np.ndarray], owners: list[np.ndarray], scores: np.ndarray) -> list[tuple[str, float, list]]:
+        known = [np.flatnonzero(i >= 0) for i in ids]
+        own = [scores[i[p]] for i, p in zip(ids, known)]
+        places = [owner[p] for owner, p in zip(owners, known)]
         paths: list = [self._single(s) for s in own]
         mixed = sorted((k for k, p in enumerate(paths) if p is None), key=lambda k: -len(own[k]))
         if mixed:
@@ -250,7 +265,7 @@ def fit_languages(docs: DataFrame, per_language: int = 1500, max_languages: int
         for batch in batches:
             texts: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                texts.setdefault(lang, Counter()).update(text.split())
+                texts.setdefault(lang, Counter()).update(pieces_of(text.split())[0])
             for lang, counts in texts.items():
                 pairs = [(letters, n) for w, n in counts.items() if (letters := letters_of(w))]
                 if not pairs:

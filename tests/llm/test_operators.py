@@ -475,3 +475,17 @@ def test_pipeline_of_no_documents(spark, tmp_path, name):
     documents(spark, []).write.parquet(f"{tmp_path}/{name}.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_text_without_spaces_counts_whole(spark):
+    """A beginning in one language does not decide for what follows it."""
+    greek, latin = "καλημερα", "goodmorning"
+    learned = [(i, " ".join([greek, latin][i % 2] for _ in range(20)), ["el", "en"][i % 2]) for i in range(40)]
+    model = language.fit_languages(spark.createDataFrame(learned, "doc_id long, text string, lang string"))
+    texts = [(1, greek * 8 + latin * 60, None), (2, latin * 8 + "\t" + greek * 60, None), (3, latin, None)]
+    rows = language.predict_languages(spark.createDataFrame(texts, "doc_id long, text string, lang string"), model).collect()
+    found = {r.doc_id: r for r in rows}
+    assert found[1].lang_pred == "en" and 0.8 < found[1].score < 1
+    assert [(s.start, s.end, s.lang) for s in found[1].spans] == [(0, 1, "el"), (0, 1, "en")]
+    assert found[2].lang_pred == "el" and [(s.start, s.end, s.lang) for s in found[2].spans] == [(0, 1, "en"), (1, 2, "el")]
+    assert (found[3].lang_pred, found[3].score) == ("en", 1.0)
