@@ -43,22 +43,31 @@ NUMBER, UNIT, NAME = 1, 2, 3
 _EDGES = ".,;:!?\"'()[]{}«»“”‘’…|*"
 
 
+_IS_NUMBER, _IS_UNIT, _IS_CAPITAL, _ENDS_SENTENCE = 1, 2, 4, 8
+
+
 class _Words(dict):
-    """What is known of a word by itself: number of its row in the tables."""
+    """Number of each word met; at that number its hash, and what it is by itself."""
 
     def __init__(self):
         super().__init__()
-        self.rows: list[tuple[int, bool, bool, bool, bool]] = []
+        self.codes, self.flags = np.zeros(1024, dtype=np.uint64), np.zeros(1024, dtype=np.uint8)
 
     def __missing__(self, word: str) -> int:
+        number = len(self)
+        if number == len(self.codes):
+            self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
+            self.flags = np.concatenate([self.flags, np.zeros_like(self.flags)])
         bare = word.strip(_EDGES)
         lower = bare.lower() or word
-        self.rows.append((
-            xxhash.xxh64_intdigest(lower) | 4, bool(_NUMBER.fullmatch(bare)), lower in UNITS,
-            bare[:1].isupper() and bare[1:] == bare[1:].lower(), word.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":"),
-        ))
-        self[word] = len(self.rows) - 1
-        return self[word]
+        self.codes[number] = xxhash.xxh64_intdigest(lower) | 4
+        self.flags[number] = (
+            _IS_NUMBER * bool(_NUMBER.fullmatch(bare)) + _IS_UNIT * (lower in UNITS)
+            + _IS_CAPITAL * (bare[:1].isupper() and bare[1:] == bare[1:].lower())
+            + _ENDS_SENTENCE * (word.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":"))
+        )
+        self[word] = number
+        return number
 
 
 class Canonicaliser:
@@ -76,10 +85,8 @@ class Canonicaliser:
         if len(self.words) > self.most:
             self.words = _Words()
         at = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
-        rows, where = np.unique(at, return_inverse=True)
-        known = [self.words.rows[i] for i in rows.tolist()]
-        code = np.array([r[0] for r in known], dtype=np.uint64)[where]
-        number, unit, capital, ends = (np.array([r[i] for r in known], dtype=bool)[where] for i in range(1, 5))
+        code, flags = self.words.codes[at], self.words.flags[at]
+        number, unit, capital, ends = ((flags & bit) != 0 for bit in (_IS_NUMBER, _IS_UNIT, _IS_CAPITAL, _ENDS_SENTENCE))
         after_number = np.concatenate(([False], number[:-1]))
         starts = np.concatenate(([True], ends[:-1]))
         code[capital & ~starts] = NAME
