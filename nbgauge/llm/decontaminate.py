@@ -7,9 +7,15 @@ an item is then checked slot by slot: what stands for one value of the item must
 be one value throughout, so that a question with other numbers or names is
 caught while chance meetings of placeholders are not.
 
-Defined results: NULL and empty texts hold nothing.  Items whose template has
-fewer than ``least_words`` literal words carry no evidence and match nothing;
-items shorter than a window are looked up whole.  Repeated documents are each
+Windows come in two forms, with names as placeholders and with names as words, so
+that an item in other letter case, whose names do not show, is found too.
+
+The templates of a benchmark of checked size go to the tasks.  Those of a larger
+one stay a table, and the windows of both sides meet in a join by hash.
+
+Defined results: NULL and empty texts hold nothing.  Items with fewer than
+``least_words`` words besides numbers and units carry no evidence and match
+nothing; items shorter than a window are looked up whole.  Repeated documents are each
 reported; benchmark rows that repeat an id are each compared and reported once
 per id.  Rows without an item id are left out.
 """
@@ -17,6 +23,7 @@ per id.  Rows without an item id are left out.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nbgauge.llm.common import fresh, text_function
+from nbgauge.llm.common import fresh, quoted, text_function
+from nbgauge.session import cut_lineage
 
 RESULT = "array<struct<item_id long, coverage double, slots int, consistency double, kind string, first_word int, last_word int>>"
 _FIELDS = pa.list_(pa.struct([
@@ -80,8 +88,8 @@ class Canonicaliser:
     def __setstate__(self, state):
         self.__init__(state["most"])
 
-    def template(self, words: list[str]) -> np.ndarray:
-        """A hash per word, or NUMBER, UNIT, NAME."""
+    def template(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A hash per word, or NUMBER, UNIT, NAME; and the same with names as words."""
         if len(self.words) > self.most:
             self.words = _Words()
         at = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
@@ -89,10 +97,9 @@ class Canonicaliser:
         number, unit, capital, ends = ((flags & bit) != 0 for bit in (_IS_NUMBER, _IS_UNIT, _IS_CAPITAL, _ENDS_SENTENCE))
         after_number = np.concatenate(([False], number[:-1]))
         starts = np.concatenate(([True], ends[:-1]))
-        code[capital & ~starts] = NAME
         code[unit & after_number] = UNIT
         code[number] = NUMBER
-        return code
+        return np.where(capital & ~starts & (code > NAME), np.uint64(NAME), code), code
 
 
 def windows_of(template: np.ndarray, size: int) -> np.ndarray:
@@ -116,34 +123,43 @@ class Templates:
     def prepare(self) -> None:
         self.canon = Canonicaliser()
         self.words = [text.split() for _, text in self.items]
-        self.templates = [self.canon.template(w) if w else np.zeros(0, np.uint64) for w in self.words]
+        both = [self.canon.template(words) for words in self.words]
+        self.templates = [typed for typed, _ in both]
         self.sizes = np.array([min(self.window, len(t)) for t in self.templates], dtype=np.int64)
-        by_size: dict[int, list] = {}
-        self.totals = np.zeros(len(self.items), dtype=np.int64)
-        for number, template in enumerate(self.templates):
-            if (template > NAME).sum() < self.least_words:
-                continue
-            hashes = windows_of(template, int(self.sizes[number]))
-            # A window of placeholders alone says nothing.
-            literal = np.convolve(template > NAME, np.ones(int(self.sizes[number]), dtype=int), "valid") >= min(self.least_words, self.sizes[number])
-            places = np.flatnonzero(literal)
-            self.totals[number] = len(places)
-            by_size.setdefault(int(self.sizes[number]), []).extend((int(hashes[p]), number, int(p)) for p in places)
+        #: Windows of each item that carry evidence, by form.
+        self.places = [[self.telling(t, int(size)) for t in forms] for forms, size in zip(both, self.sizes)]
         self.tables = {}
-        for size, rows in by_size.items():
-            rows.sort()
-            self.tables[size] = (
-                np.array([r[0] for r in rows], dtype=np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-            )
+        for size in set(self.sizes.tolist()) - {0}:
+            for form in (0, 1):
+                rows = [
+                    (h, number, p) for number in np.flatnonzero(self.sizes == size).tolist()
+                    for p, h in zip(self.places[number][form].tolist(), windows_of(both[number][form], size)[self.places[number][form]].tolist())
+                ]
+                if rows:
+                    rows.sort()
+                    hashes, numbers, places = zip(*rows)
+                    self.tables[size, form] = np.array(hashes, dtype=np.uint64), np.array(numbers), np.array(places)
+        self.kept = [tuple(set(p.tolist()) for p in forms) for forms in self.places]
+
+    def telling(self, template: np.ndarray, size: int) -> np.ndarray:
+        """Places of the windows with enough literal words: one of placeholders alone says nothing."""
+        literal = template > NAME
+        if literal.sum() < self.least_words:
+            return np.zeros(0, dtype=np.int64)
+        return np.flatnonzero(np.convolve(literal, np.ones(size, dtype=int), "valid") >= min(self.least_words, size))
+
+    def share(self, item: int, met: set[int]) -> float:
+        """Part of an item's windows that were met, in the form of which more were."""
+        return max(len(met & kept) / len(kept) if kept else 0.0 for kept in self.kept[item])
 
     def find(self, text: str | None) -> list[dict]:
         words = (text or "").split()
         if not words:
             return []
-        template = self.canon.template(words)
+        forms = self.canon.template(words)
         hits = []
-        for size, (hashes, items, places) in self.tables.items():
-            own = windows_of(template, size)
+        for (size, form), (hashes, items, places) in self.tables.items():
+            own = windows_of(forms[form], size)
             if not len(own):
                 continue
             low = np.searchsorted(hashes, own)
@@ -158,7 +174,7 @@ class Templates:
             by_item.setdefault(item, []).append((place, i))
         out = {}
         for item, pairs in by_item.items():
-            share = len({p for p, _ in pairs}) / self.totals[item]
+            share = self.share(item, {p for p, _ in pairs})
             if share < self.coverage:
                 continue
             result = self.check(item, pairs, words, share)
@@ -199,23 +215,92 @@ class Templates:
         return match
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks", item_block: int = 20_000, **options) -> DataFrame:
-    """Add the benchmark items that each text holds. Map-only.
+def with_leaks(
+    docs: DataFrame, benchmark: DataFrame, column: str = "leaks", shipped_items: int = 20_000, shipped_bytes: int = 1 << 25, **options
+) -> DataFrame:
+    """Add the benchmark items that each text holds.
 
-    Templates of ``item_block`` items at a time go to the tasks; a larger
-    benchmark is looked up block by block in the same pass over the documents.
+    Map-only up to ``shipped_items`` items and ``shipped_bytes`` bytes of their
+    texts, which are checked before anything is fetched; by a join beyond.  Both
+    give the same.
     """
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(
         F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
+    ).distinct()
+    number, length = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    if number > shipped_items or length > shipped_bytes:
+        return _with_leaks_joined(docs, items, column, options)
+    templates = Templates([(r["item_id"], r["text"]) for r in items.orderBy("item_id", "text").collect()], **options)
+    return docs.withColumn(column, text_function(templates.matcher(), RESULT)(F.col("text").cast("string")))
+
+
+_WINDOW_ROWS = pa.schema([("row", pa.int64()), ("size", pa.int32()), ("form", pa.int8()), ("place", pa.int32()), ("hash", pa.int64())])
+_WINDOW_TYPES = "row long, size int, form tinyint, place int, hash long"
+
+
+def _window_rows(templates: Templates, sizes: list[int] | None, step: int = 200):
+    """(row, text) to a row per window: those of an item that carry evidence, or all of a document, of the sizes given."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        canon = Canonicaliser()
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                out: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in range(5)]
+                for row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    words = (text or "").split()
+                    forms = canon.template(words) if words else ()
+                    for form, template in enumerate(forms):
+                        for size in [min(templates.window, len(words))] if sizes is None else sizes:
+                            hashes = windows_of(template, size).view(np.int64)
+                            places = templates.telling(template, size) if sizes is None else np.arange(len(hashes))
+                            for values, value in zip(out, (row, size, form)):
+                                values.append(np.full(len(places), value, dtype=np.int64))
+                            out[3].append(places)
+                            out[4].append(hashes[places])
+                arrays = [pa.array(np.concatenate(v)).cast(f.type) for v, f in zip(out, _WINDOW_ROWS)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=_WINDOW_ROWS)
+
+    return windows
+
+
+def _with_leaks_joined(docs: DataFrame, items: DataFrame, column: str, options: dict) -> DataFrame:
+    """As ``with_leaks``, the benchmark's windows as a table: hash join, then the pairs with enough of them are checked."""
+    rules = Templates([], **options)
+    (row,) = fresh(docs, "_row")
+    docs = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    items = cut_lineage(items.withColumn("item", F.monotonically_increasing_id()))
+    wanted = cut_lineage(items.select("item", "text").mapInArrow(_window_rows(rules, None), _WINDOW_TYPES)).withColumnsRenamed(
+        {"row": "item", "place": "item_place"}
+    )
+    # At most ``window`` sizes.
+    sizes = [r["size"] for r in wanted.select("size").distinct().collect()]
+    texts = docs.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"))
+    own = texts.mapInArrow(_window_rows(rules, sizes), _WINDOW_TYPES).drop("place").distinct()
+    totals = wanted.groupBy("item", "form").agg(F.count(F.lit(1)).alias("n")).groupBy("item").agg(F.min("n").alias("least"))
+    # Places met in either form, at least the share of the smaller form: no pair that ``find`` would keep is lost.
+    met = own.join(wanted, ["size", "form", "hash"]).groupBy("row", "item").agg(F.count_distinct("item_place").alias("met"))
+    pairs = met.join(totals, "item").where(F.col("met") >= F.col("least") * rules.coverage).select("row", "item")
+
+    @F.arrow_udf(RESULT)
+    def checked(texts: pa.Array, ids: pa.Array, wanted: pa.Array) -> pa.Array:
+        out = []
+        for text, item, words in zip(texts.to_pylist(), ids.to_pylist(), wanted.to_pylist()):
+            one = Templates([(item, words)], **options)
+            one.prepare()
+            out.append(one.find(text))
+        return pa.array(out, _FIELDS)
+
+    told = pairs.join(texts, "row").join(items.withColumnRenamed("text", "item_text"), "item").select(
+        "row", "item_text", F.explode(checked("text", "item_id", "item_text")).alias("leak")
+    )
+    best = told.groupBy("row", "leak.item_id").agg(F.min_by("leak", F.struct(-F.col("leak.coverage"), F.col("item_text"))).alias("leak"))
+    found = best.groupBy("row").agg(F.sort_array(F.collect_list("leak")).alias(column)).withColumnRenamed("row", row)
+    kept = docs.columns
+    joined = docs.drop(column).join(found, row, "left")
+    return joined.withColumn(column, F.coalesce(F.col(column), F.array().cast(RESULT))).select(
+        *[quoted(c) for c in kept if c.lower() not in (row.lower(), column.lower())], column
     )
-    blocks = max(1, -(-items.count() // item_block))
-    placed = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    found = []
-    for number in range(blocks):
-        rows = placed.where(F.col("block") == number).distinct().orderBy("item_id", "text").collect()
-        templates = Templates([(r["item_id"], r["text"]) for r in rows], **options)
-        found.append(text_function(templates.matcher(), RESULT)(F.col("text").cast("string")))
-    return docs.withColumn(column, F.concat(*found) if len(found) > 1 else found[0])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from nbgauge.llm import decontaminate, fixity, hilbert, language, packing, quality, simhash, substrings, topk, toxicity
@@ -427,18 +428,39 @@ def test_leaks(spark):
     rows = ODD + [
         (10, f"Some words before. {item} And after."), (11, f"Before it. {again}"), (12, "A train leaves the station and nobody knows when."),
         (13, "7 8 9 10 11 12 13 14 15 16 17 18"), (14, f"before {twisted}"),
+        (17, f"Before it. {item.upper()}"), (18, f"before it {item.lower()}"), (19, f"before it {item.title()}"),
         (15, "so Add 5 and 9 and then add 2 to what is left of the sum of both"), (16, "so Add 8 and 8 and then add 8 to what is left of the sum of both"),
     ]
     found = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(documents(spark, rows), benchmark).collect()}
     # Document 15 has other numbers where the item has one number thrice.
-    assert set(found) == {(10, 1), (11, 1), (14, 1), (16, 5)}
+    assert set(found) == {(10, 1), (11, 1), (14, 1), (16, 5), (17, 1), (18, 1), (19, 1)}
+    assert {found[i, 1].kind for i in (17, 18, 19)} == {"verbatim"}
     assert found[10, 1].kind == "verbatim" and found[11, 1].kind == "reparameterised" and found[11, 1].slots > 3
     kept = decontaminate.without_leaks(documents(spark, rows), benchmark)
-    assert kept.columns == documents(spark, []).columns and kept.count() == len(rows) - 4
+    assert kept.columns == documents(spark, []).columns and kept.count() == len(rows) - 7
     assert decontaminate.leaks(documents(spark, []), benchmark).count() == 0
     assert decontaminate.leaks(documents(spark, rows), benchmark.where("false")).count() == 0
-    split = decontaminate.with_leaks(documents(spark, rows), benchmark, "found_", item_block=1)
-    assert split.selectExpr("sum(size(found_)) AS n").first().n == 4
+
+
+def test_leaks_of_a_large_benchmark(spark, rng):
+    """The join gives what the lookup gives, also where documents, items and item ids repeat."""
+    vocabulary = [f"w{i}" for i in range(300)] + ["Paris", "Rome", "7", "12", "km", "kg"]
+    items = [(i % 25, " ".join(rng.choices(vocabulary, k=rng.choice([3, 5, 9, 15, 30])))) for i in range(30)] * 2
+    benchmark = spark.createDataFrame(items + [(26, None), (None, "w1 w2 w3 w4 w5"), (27, "")], "item_id long, text string")
+    rows = list(ODD)
+    for i in range(40):
+        item = rng.choice(items)[1]
+        changed = " ".join(rng.choice(["3", "Oslo"]) if w in ("7", "Paris") else w for w in item.split())
+        rows.append((100 + i % 30, " ".join(rng.choices(vocabulary, k=10)) + " " + rng.choice([item, changed, item.upper()]) + " end"))
+    docs = documents(spark, rows + rows[-3:]).withColumn("leaks", F.lit("x")).withColumn("row", F.lit(1))
+    for column in ("leaks", "found_"):
+        looked_up = decontaminate.with_leaks(docs, benchmark, column)
+        joined = decontaminate.with_leaks(docs, benchmark, column, shipped_items=1)
+        assert set(joined.columns) == set(looked_up.columns)
+        one, two = [sorted(repr(r) for r in d.select(*looked_up.columns).collect()) for d in (looked_up, joined)]
+        assert one == two and sum("verbatim" in r for r in one) > 20
+    assert decontaminate.with_leaks(docs.limit(0), benchmark, "found_", shipped_items=1).count() == 0
+    assert decontaminate.leaks(docs, benchmark, shipped_bytes=10).count() == decontaminate.leaks(docs, benchmark).count()
 
 
 # -- pipeline -----------------------------------------------------------------------
