@@ -82,10 +82,17 @@ def code_notebook_metrics(cell_metrics: DataFrame, drop_bad_ids: bool = False, m
 
 
 def markdown_notebook_metrics(cell_metrics: DataFrame, drop_bad_ids: bool = False) -> DataFrame:
-    """Count, means and sums of the markdown cells of each notebook."""
+    """Count, means and sums of the markdown cells of each notebook.
+
+    Ids are cleaned before the aggregate: one row per id, so that a join with
+    the code metrics never multiplies them, however many ids are no numbers.
+    """
     rows = cell_metrics.where(F.col("kernel_id").isNotNull())
-    grouped = rows.groupBy("kernel_id").agg(*_markdown_aggregates())
-    return clean_kernel_id(grouped, drop_bad_ids)
+    if _key_is_text(rows):
+        known = F.col("kernel_id").try_cast("bigint")
+        rows = rows.where(F.col("kernel_id") != MARKER_ID).withColumn("kernel_id", known if drop_bad_ids else F.coalesce(known, F.lit(0)))
+        rows = rows.where(F.col("kernel_id").isNotNull())
+    return clean_kernel_id(rows.groupBy("kernel_id").agg(*_markdown_aggregates()), drop_bad_ids)
 
 
 def mixed_notebook_metrics(cell_metrics: DataFrame, min_loc: int = 1) -> DataFrame:
@@ -124,8 +131,14 @@ def prepare_author_tier(user_pt: DataFrame) -> DataFrame:
 
 
 def drop_repeated_cells(cells: DataFrame) -> DataFrame:
-    """Keep one of the cells delivered more than once."""
-    return cells.dropDuplicates(["kernel_id", "cell_index"])
+    """Keep one of the cells delivered more than once: the least, so that a rerun keeps the same."""
+    keys = ["kernel_id", "cell_index"]
+    if cells.isStreaming or set(cells.columns) == set(keys):
+        return cells.dropDuplicates(keys)
+    rest = F.struct(*[c for c in cells.columns if c not in keys])
+    return cells.groupBy(*keys).agg(F.min(rest).alias("_least")).select(
+        *[F.col(c) if c in keys else F.col(f"_least.{c}").alias(c) for c in cells.columns]
+    )
 
 
 def apply_filters(df: DataFrame, filters) -> DataFrame:

@@ -44,6 +44,14 @@ def test_notebook_metrics(spark):
     assert set(dropped) == {7, 10}
 
 
+def test_junk_ids_do_not_multiply(spark):
+    junk = code(spark, [(f"junk{i}", 5, 1, 0.0) for i in range(3)] + [("7", 2, 3, 0.5)])
+    notes = markdown(spark, [(f"note{i}", i, 1) for i in range(4)] + [("7", 2, 1)])
+    rows = sorted((r.kernel_id, r.LOC, r.MC, r.MW) for r in notebook_metrics(junk, notes).collect())
+    assert rows == [(0, 5, 4, 6)] * 3 + [(7, 2, 1, 2)]
+    assert [r.kernel_id for r in notebook_metrics(junk, notes, how="full", drop_bad_ids=True).collect()] == [7]
+
+
 def test_sums_equal_cells(spark):
     cells = code(spark, [(str(i % 5), i, i % 3, 0.1) for i in range(200)])
     total = code_notebook_metrics(cells).agg(F.sum("LOC"), F.sum("CC"), F.sum("ID")).first()
@@ -75,6 +83,9 @@ def test_cell_index_and_repeats(spark):
     cells = spark.createDataFrame([("a", "1.0"), ("a", "x"), ("train_emb", "2"), (None, "3")], "kernel_id string, cell_index string")
     assert sorted(r.cell_index for r in clean_cell_index(cells).collect()) == [0, 1, 3]
     assert drop_repeated_cells(cells.unionByName(cells)).count() == 4
+    sources = spark.createDataFrame([("a", 1, "y"), ("a", 1, "x"), (None, 2, None)], "kernel_id string, cell_index int, source string")
+    kept = drop_repeated_cells(sources)
+    assert kept.columns == sources.columns and {tuple(r) for r in kept.collect()} == {("a", 1, "x"), (None, 2, None)}
 
 
 def test_filters_and_one_row(spark):

@@ -130,6 +130,46 @@ def notebook_raw_join(spark, sf_dir):
     return shown(joined, (*RAW_METRICS, "MC", "MW"))
 
 
+RAW_ID = (
+    "CASE WHEN kernel_id % 9 = 4 THEN 'train_emb' WHEN kernel_id % 9 IN (3, 5) THEN concat(kernel_id, '.0') "
+    "WHEN kernel_id % 9 = 6 THEN NULL ELSE concat('', kernel_id) END"
+)
+
+
+def _raw_both(junk: str) -> str:
+    """``junk``: the id of what is no number; rows without one go."""
+    clean = f"{CLEAN_ID} ELSE {junk} END AS kernel_id"
+    return (
+        sql.cte(
+            *RAW_NOTEBOOKS, sql.view("markdown_cells"), sql.markdown_metrics(),
+            ("md_raw", f"SELECT {RAW_ID} AS kernel_id, * EXCLUDE (kernel_id) FROM md_metrics"),
+            ("md_clean", f"SELECT {clean}, * EXCLUDE (kernel_id) FROM md_raw WHERE kernel_id <> 'train_emb'"),
+            ("md_nb", sql.markdown_aggregate("md_clean")),
+        )
+        + f"SELECT c.kernel_id, {sql.notebook_columns(RAW_METRICS, 'c.')}, CAST(coalesce(m.MC, 0) AS BIGINT) AS MC, "
+        f"CAST(coalesce(m.MW, 0) AS BIGINT) AS MW FROM (SELECT {clean}, * EXCLUDE (kernel_id) FROM grouped) c "
+        "LEFT JOIN md_nb m ON c.kernel_id = m.kernel_id WHERE c.kernel_id IS NOT NULL"
+    )
+
+
+def _raw_both_joined(spark, sf_dir, drop_bad_ids):
+    notes = markdown_metrics(spark, sf_dir).withColumn("kernel_id", F.expr(RAW_ID))
+    code = code_notebook_metrics(raw_code_metrics(spark, sf_dir), drop_bad_ids)
+    joined = join_notebook_metrics(code, markdown_notebook_metrics(notes, drop_bad_ids))
+    return shown(joined, (*RAW_METRICS, "MC", "MW"))
+
+
+@query(_raw_both("0"))
+def notebook_raw_join_both_sides(spark, sf_dir):
+    """Ids that are no numbers on both sides: as many rows as notebooks with code."""
+    return _raw_both_joined(spark, sf_dir, False)
+
+
+@query(_raw_both("NULL"))
+def notebook_raw_join_bad_ids_dropped(spark, sf_dir):
+    return _raw_both_joined(spark, sf_dir, True)
+
+
 @query(
     "SELECT o_custkey AS kernel_id, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER "
     "(PARTITION BY o_custkey ORDER BY o_orderkey, o_orderstatus) AS r FROM orders) WHERE r = 1"
