@@ -22,17 +22,17 @@ per id.  Rows without an item id are left out.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nbgauge.llm.common import fresh, quoted, text_function
+from nbgauge.llm.common import fresh, quoted
 from nbgauge.session import cut_lineage
 
 RESULT = "array<struct<item_id long, coverage double, slots int, consistency double, kind string, first_word int, last_word int>>"
@@ -40,9 +40,9 @@ _FIELDS = pa.list_(pa.struct([
     ("item_id", pa.int64()), ("coverage", pa.float64()), ("slots", pa.int32()), ("consistency", pa.float64()), ("kind", pa.string()),
     ("first_word", pa.int32()), ("last_word", pa.int32()),
 ]))
-_NUMBER = re.compile(r"[+-]?(?:\d+(?:[.,:/]\d+)*|\d*\.\d+)%?(?:st|nd|rd|th)?")
+_NUMBER = r"^[+-]?(?:\p{Nd}+(?:[.,:/]\p{Nd}+)*|\p{Nd}*\.\p{Nd}+)%?(?:st|nd|rd|th)?$"
 # Units that make a placeholder after a number.
-UNITS = frozenset(
+UNITS = (
     "mm cm dm m km in inch inches ft foot feet yd yard yards mile miles mg g kg t lb lbs oz ml cl l liter liters litre litres "
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
     "% percent € $ £ usd eur dollar dollars euro euros cent cents k °c °f c f w kw v a hz khz mhz ghz mph kmh km/h m/s".split()
@@ -50,56 +50,54 @@ UNITS = frozenset(
 NUMBER, UNIT, NAME = 1, 2, 3
 _EDGES = ".,;:!?\"'()[]{}«»“”‘’…|*"
 
+_CLOSING = "\"')]}»”’"
 
-_IS_NUMBER, _IS_UNIT, _IS_CAPITAL, _ENDS_SENTENCE = 1, 2, 4, 8
 
-
-class _Words(dict):
-    """Number of each word met; at that number its hash, and what it is by itself."""
-
-    def __init__(self):
-        super().__init__()
-        self.codes, self.flags = np.zeros(1024, dtype=np.uint64), np.zeros(1024, dtype=np.uint8)
-
-    def __missing__(self, word: str) -> int:
-        number = len(self)
-        if number == len(self.codes):
-            self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
-            self.flags = np.concatenate([self.flags, np.zeros_like(self.flags)])
-        bare = word.strip(_EDGES)
-        lower = bare.lower() or word
-        self.codes[number] = xxhash.xxh64_intdigest(lower) | 4
-        self.flags[number] = (
-            _IS_NUMBER * bool(_NUMBER.fullmatch(bare)) + _IS_UNIT * (lower in UNITS)
-            + _IS_CAPITAL * (bare[:1].isupper() and bare[1:] == bare[1:].lower())
-            + _ENDS_SENTENCE * (word.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":"))
-        )
-        self[word] = number
-        return number
+def _known(words: pa.Array) -> tuple[np.ndarray, ...]:
+    """Of each word by itself: its hash; whether it is a number, a unit, capitalised, and the end of a sentence."""
+    bare = pc.utf8_trim(words, _EDGES)
+    lower = pc.if_else(pc.equal(bare, ""), words, pc.utf8_lower(bare))
+    rest = pc.utf8_slice_codeunits(bare, 1)
+    told = (
+        pc.match_substring_regex(bare, _NUMBER), pc.is_in(lower, pa.array(UNITS, lower.type)),
+        pc.and_(pc.utf8_is_upper(pc.utf8_slice_codeunits(bare, 0, 1)), pc.equal(rest, pc.utf8_lower(rest))),
+        pc.match_substring_regex(pc.utf8_rtrim(words, _CLOSING), "[.!?:]$"),
+    )
+    codes = np.fromiter(map(xxhash.xxh64_intdigest, lower.to_pylist()), dtype=np.uint64, count=len(words)) | np.uint64(4)
+    return codes, *[flags.to_numpy(zero_copy_only=False) for flags in told]
 
 
 class Canonicaliser:
-    def __init__(self, most: int = 300_000):
-        self.words, self.most = _Words(), most
-
-    def __getstate__(self):
-        return {"most": self.most}
-
-    def __setstate__(self, state):
-        self.__init__(state["most"])
-
-    def template(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A hash per word, or NUMBER, UNIT, NAME; and the same with names as words."""
-        if len(self.words) > self.most:
-            self.words = _Words()
-        at = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
-        code, flags = self.words.codes[at], self.words.flags[at]
-        number, unit, capital, ends = ((flags & bit) != 0 for bit in (_IS_NUMBER, _IS_UNIT, _IS_CAPITAL, _ENDS_SENTENCE))
-        after_number = np.concatenate(([False], number[:-1]))
-        starts = np.concatenate(([True], ends[:-1]))
-        code[unit & after_number] = UNIT
+    """Templates of texts, read about ``chunk`` bytes at a time."""
+
+    def __init__(self, chunk: int = 1 << 22):
+        self.chunk = chunk
+
+    def read(self, texts: pa.Array) -> Iterator[tuple[pa.Array, tuple[np.ndarray, np.ndarray]]]:
+        """Words of each text, and its template in two forms: a hash per word, or NUMBER, UNIT, NAME; and the same with names as words."""
+        texts = pc.utf8_trim_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        sizes = pc.binary_length(texts).to_numpy()
+        part = np.cumsum(sizes) // self.chunk
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        for start, end in zip(cuts, cuts[1:]):
+            yield from self._read(texts.slice(start, end - start), sizes[start:end])
+
+    def _read(self, texts: pa.Array, sizes: np.ndarray) -> Iterator[tuple[pa.Array, tuple[np.ndarray, np.ndarray]]]:
+        split = pc.utf8_split_whitespace(texts)
+        words, bounds = split.flatten(), split.offsets.to_numpy()
+        # Each distinct word of the texts is looked at once.
+        met = words.dictionary_encode()
+        at = met.indices.to_numpy()
+        code, number, unit, capital, ends = (known[at] for known in _known(met.dictionary))
+        first = np.zeros(len(at), dtype=bool)
+        first[bounds[:-1]] = True
+        code[unit & np.concatenate(([False], number[:-1])) & ~first] = UNIT
         code[number] = NUMBER
-        return np.where(capital & ~starts & (code > NAME), np.uint64(NAME), code), code
+        starts = np.concatenate(([True], ends[:-1])) | first
+        typed = np.where(capital & ~starts & (code > NAME), np.uint64(NAME), code)
+        # A text without words splits into one empty word.
+        for a, b in zip(bounds[:-1].tolist(), np.where(sizes > 0, bounds[1:], bounds[:-1]).tolist()):
+            yield words.slice(a, b - a), (typed[a:b], code[a:b])
 
 
 def windows_of(template: np.ndarray, size: int) -> np.ndarray:
@@ -122,8 +120,9 @@ class Templates:
 
     def prepare(self) -> None:
         self.canon = Canonicaliser()
-        self.words = [text.split() for _, text in self.items]
-        both = [self.canon.template(words) for words in self.words]
+        read = list(self.canon.read(pa.array([text for _, text in self.items], pa.large_string())))
+        self.words = [words.to_pylist() for words, _ in read]
+        both = [forms for _, forms in read]
         self.templates = [typed for typed, _ in both]
         self.sizes = np.array([min(self.window, len(t)) for t in self.templates], dtype=np.int64)
         #: Windows of each item that carry evidence, by form.
@@ -153,10 +152,12 @@ class Templates:
         return max(len(met & kept) / len(kept) if kept else 0.0 for kept in self.kept[item])
 
     def find(self, text: str | None) -> list[dict]:
-        words = (text or "").split()
-        if not words:
-            return []
-        forms = self.canon.template(words)
+        return self.find_all(pa.array([text], pa.large_string()))[0]
+
+    def find_all(self, texts: pa.Array) -> list[list[dict]]:
+        return [self._find(words, forms) for words, forms in self.canon.read(texts)]
+
+    def _find(self, read: pa.Array, forms: tuple[np.ndarray, np.ndarray]) -> list[dict]:
         hits = []
         for (size, form), (hashes, items, places) in self.tables.items():
             own = windows_of(forms[form], size)
@@ -172,11 +173,12 @@ class Templates:
         by_item: dict[int, list[tuple[int, int]]] = {}
         for item, place, i in hits:
             by_item.setdefault(item, []).append((place, i))
-        out = {}
+        out, words = {}, None
         for item, pairs in by_item.items():
             share = self.share(item, {p for p, _ in pairs})
             if share < self.coverage:
                 continue
+            words = read.to_pylist() if words is None else words
             result = self.check(item, pairs, words, share)
             key = self.items[item][0]
             if result["consistency"] >= self.consistency and (key not in out or out[key]["coverage"] < share):
@@ -204,15 +206,15 @@ class Templates:
         }
 
     def matcher(self):
-        state = {}
+        """A column function over whole texts."""
 
-        def match(texts: list) -> pa.Array:
-            if not state:
-                self.prepare()
-                state["ready"] = True
-            return pa.array([self.find(t) for t in texts], _FIELDS)
+        def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            self.prepare()
+            for texts in batches:
+                yield pa.array(self.find_all(texts), _FIELDS)
 
-        return match
+        match.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        return F.arrow_udf(match, RESULT)
 
 
 def with_leaks(
@@ -231,7 +233,7 @@ def with_leaks(
     if number > shipped_items or length > shipped_bytes:
         return _with_leaks_joined(docs, items, column, options)
     templates = Templates([(r["item_id"], r["text"]) for r in items.orderBy("item_id", "text").collect()], **options)
-    return docs.withColumn(column, text_function(templates.matcher(), RESULT)(F.col("text").cast("string")))
+    return docs.withColumn(column, templates.matcher()(F.col("text").cast("string")))
 
 
 _WINDOW_ROWS = pa.schema([("row", pa.int64()), ("size", pa.int32()), ("form", pa.int8()), ("place", pa.int32()), ("hash", pa.int64())])
@@ -247,10 +249,8 @@ def _window_rows(templates: Templates, sizes: list[int] | None, step: int = 200)
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
                 out: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in range(5)]
-                for row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words = (text or "").split()
-                    forms = canon.template(words) if words else ()
-                    for form, template in enumerate(forms):
+                for row, (words, forms) in zip(part.column(0).to_pylist(), canon.read(part.column(1))):
+                    for form, template in enumerate(forms if len(words) else ()):
                         for size in [min(templates.window, len(words))] if sizes is None else sizes:
                             hashes = windows_of(template, size).view(np.int64)
                             places = templates.telling(template, size) if sizes is None else np.arange(len(hashes))
