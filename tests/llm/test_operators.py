@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from nbgauge.llm import decontaminate, fixity, hilbert, language, packing, quality, simhash, substrings, topk, toxicity
+from nbgauge.llm import decontaminate, fixity, hilbert, language, packing, quality, shingles, simhash, substrings, topk, toxicity
 from tests.llm import brute
 
 SCHEMA = (
@@ -499,6 +499,42 @@ def test_pipeline_of_no_documents(spark, tmp_path, name):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def plain_groups(texts, size=5, similarity=0.8):
+    sets = []
+    for t in texts:
+        w = brute.words((t or "").lower())
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    parent = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if (a == b) or (a and b and len(a & b) / len(a | b) >= similarity):
+                old, new = parent[i], parent[j]
+                parent = [new if p == old else p for p in parent]
+    return {frozenset(i for i, p in enumerate(parent) if p == q) for q in set(parent)}
+
+
+def test_pipeline_drops_near_copies_by_shingles(spark, rng, tmp_path):
+    """Groups of similarity 0.8 over five words, as a search over all pairs finds them."""
+    texts = [sentence(rng, rng.randrange(1, 130), 2000) for _ in range(20)]
+    for base in list(texts):
+        for changes in (1, 1, 2, 3):
+            words = base.split()
+            for _ in range(changes):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(9999)}"
+            texts.append(" ".join(words))
+    long = sentence(rng, 300, 5000).split()
+    texts += [" ".join(long), " ".join([*long[:100], "x", *long[101:200], "y", *long[201:]]), " ".join(long[:240]), "", None, "One two", "one  TWO"]
+    found = shingles.similar_groups(documents(spark, list(enumerate(texts)))).collect()
+    keys = documents(spark, list(enumerate(texts))).select("doc_id", F.xxhash64("text").alias("key")).collect()
+    group = {r["key"]: r["group"] for r in found}
+    got = {}
+    for r in keys:
+        got.setdefault(group[r["key"]], set()).add(r.doc_id)
+    assert {frozenset(g) for g in got.values()} == plain_groups(texts)
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, list(enumerate(texts))), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(min(g) for g in plain_groups(texts))
+
+
 def test_text_without_spaces_counts_whole(spark):
     """A beginning in one language does not decide for what follows it."""
     greek, latin = "καλημερα", "goodmorning"
