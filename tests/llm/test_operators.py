@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -463,6 +464,28 @@ def test_leaks_of_a_large_benchmark(spark, rng):
     assert decontaminate.leaks(docs, benchmark, shipped_bytes=10).count() == decontaminate.leaks(docs, benchmark).count()
 
 
+def held(items, texts):
+    """(item, kind) found in each text, looked up."""
+    templates = decontaminate.Templates(list(enumerate(items)))
+    templates.prepare()
+    return [[(r["item_id"], r["kind"]) for r in found] for found in templates.find_all(pa.array(texts, pa.large_string()))]
+
+
+def test_leaks_next_to_variants():
+    """A variant of an item in the same document hides neither the item nor the variant."""
+    item = "A shop sells {} boxes of apples every day and each of these boxes holds {} apples, so how many apples are sold in {} days?"
+    told, one, two = item.format(48, 12, 7), item.format(50, 30, 9), item.format(81, 24, 3)
+    texts = [f"{told} Then. {one}", f"{one} {told}", f"{one} And now. {told} {two}", f"{one} {two}", f"{one} {two} {item.format(6, 5, 4)}"]
+    assert held([told], texts) == [[(0, "verbatim")]] * 3 + [[(0, "reparameterised")]] * 2
+    # The standing is that of the item, and one broken by other words is one standing.
+    templates = decontaminate.Templates([(0, told)])
+    templates.prepare()
+    assert templates.find(texts[1])[0]["first_word"] == len(one.split())
+    words = told.split()
+    broken = " ".join([*words[:12], "with", "a", "long", "remark", *words[12:]])
+    assert held([told], [f"{broken} {one}", f"{broken} {broken}"]) == [[(0, "verbatim")]] * 2
+
+
 # -- pipeline -----------------------------------------------------------------------
 
 
