@@ -69,7 +69,10 @@ _ORDINAL = r"\p{Nd}(?:st|nd|rd|th)[^\p{L}\p{Nd}]*$"
 
 def _pieces(words: pa.Array) -> pa.Array:
     """The tokens of each word: letters of unspaced scripts one by one, numbers apart from signs and units."""
-    return pc.utf8_split_whitespace(words)
+    cut = words
+    plain = pc.or_(pc.match_substring_regex(cut, _ORDINAL), pc.invert(pc.match_substring_regex(cut, r"\p{Nd}")))
+    joined = pc.replace_substring_regex(pc.replace_substring_regex(cut, _SIGNED, r"\1 \2"), r"(^| )" + _JOINED[1:], r"\1\2 \3")
+    return pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.if_else(plain, cut, joined)))
 
 
 def _known(words: pa.Array) -> tuple[np.ndarray, ...]:
@@ -203,7 +206,7 @@ class Templates:
     def evidence(self, read: Read) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
         """Form, size, places and hashes of an item's windows that carry evidence; an item without any has its beginning, as it is."""
         out = []
-        for form in (TYPED, WORDS):
+        for form in (TYPED, WORDS, WIDE):
             template = read.forms[form]
             size = min(self.window, len(template))
             places = self.telling(template, size)

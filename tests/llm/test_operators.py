@@ -486,6 +486,16 @@ def test_leaks_next_to_variants():
     assert held([told], [f"{broken} {one}", f"{broken} {broken}"]) == [[(0, "verbatim")]] * 2
 
 
+def test_leaks_with_other_names_and_joined_units():
+    names = "{0} went to the market with all of his friends. {0} bought nine loaves of bread for the party. {0} then gave five loaves back to the baker."
+    money = "The old farmer sold ${} worth of corn and {}kg of wheat, then drove {}km home to count what was left of it."
+    runs = "On the first day {} walked along the river, and on the second day {} came back with three big fish for dinner."
+    items = [names.format("Tom"), money.format(5, 20, 13), runs.format("John", "John")]
+    texts = [names.format("Ann"), money.format(7, 35, 40), money.format(7, 35, 40).replace("35kg", "35 kg").replace("$7", "€7"), runs.format("Mary Ann", "Mary Ann")]
+    assert held(items, texts) == [[(0, "reparameterised")], [(1, "reparameterised")], [(1, "reparameterised")], [(2, "reparameterised")]]
+    assert held(items, [names.format("Tom"), runs.format("John", "John").upper()]) == [[(0, "verbatim")], [(2, "verbatim")]]
+
+
 # -- pipeline -----------------------------------------------------------------------
 
 
