@@ -69,7 +69,7 @@ _ORDINAL = r"\p{Nd}(?:st|nd|rd|th)[^\p{L}\p{Nd}]*$"
 
 def _pieces(words: pa.Array) -> pa.Array:
     """The tokens of each word: letters of unspaced scripts one by one, numbers apart from signs and units."""
-    cut = words
+    cut = pc.replace_substring_regex(words, _UNSPACED, r" \1 ")
     plain = pc.or_(pc.match_substring_regex(cut, _ORDINAL), pc.invert(pc.match_substring_regex(cut, r"\p{Nd}")))
     joined = pc.replace_substring_regex(pc.replace_substring_regex(cut, _SIGNED, r"\1 \2"), r"(^| )" + _JOINED[1:], r"\1\2 \3")
     return pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.if_else(plain, cut, joined)))
@@ -212,6 +212,11 @@ class Templates:
             places = self.telling(template, size)
             if len(places):
                 out.append((form, size, places, windows_of(template, size)[places]))
+        template = read.forms[EXACT]
+        if not out and len(template):
+            # Sizes are powers of two, so that few are looked up.
+            size = 1 << (min(self.window, len(template)).bit_length() - 1)
+            out.append((EXACT, size, np.zeros(1, dtype=np.int64), windows_of(template, size)[:1]))
         return out
 
     def telling(self, template: np.ndarray, size: int) -> np.ndarray:

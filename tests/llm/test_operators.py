@@ -496,6 +496,22 @@ def test_leaks_with_other_names_and_joined_units():
     assert held(items, [names.format("Tom"), runs.format("John", "John").upper()]) == [[(0, "verbatim")], [(2, "verbatim")]]
 
 
+def test_leaks_of_items_without_telling_windows(spark):
+    """Short, numeric and unspaced items are found verbatim; unspaced ones also with other numbers."""
+    chinese = "小明有5个苹果，他又买了8个苹果，请问他现在一共有多少个苹果？"
+    items = ["Compute 12/5 of 30 kg", chinese, "1 2 3 4 5 6 7 8 9 10 11 12 13 and 14"]
+    texts = [
+        "First: compute 12/5 of 30 kg. Then stop.", "compute 12/6 of 30 kg", f"题目：{chinese}答案", chinese.replace("5", "7").replace("8", "9"),
+        "so 1 2 3 4 5 6 7 8 9 10 11 12 13 and 14 end", "so 1 2 3 4 5 6 7 8 9 10 11 12 13 and 15",
+    ]
+    want = [[(0, "verbatim")], [], [(1, "verbatim")], [(1, "reparameterised")], [(2, "verbatim")], []]
+    assert held(items, texts) == want
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for shipped in (20_000, 1):
+        found = decontaminate.leaks(documents(spark, list(enumerate(texts))), benchmark, shipped_items=shipped).collect()
+        assert {(r.doc_id, r.item_id, r.kind) for r in found} == {(i, *r) for i, rows in enumerate(want) for r in rows}
+
+
 # -- pipeline -----------------------------------------------------------------------
 
 
