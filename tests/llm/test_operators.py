@@ -584,6 +584,21 @@ def test_pipeline_drops_near_copies_by_shingles(spark, rng, tmp_path):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(min(g) for g in plain_groups(texts))
 
 
+def test_pipeline_keeps_rows_by_text_not_by_id(spark, rng, tmp_path):
+    """Different texts without an id, or with one id, are different documents; what stays does not depend on the run."""
+    texts = [sentence(rng, 40, 3000) for _ in range(12)]
+    rows = [(None, t) for t in texts[:6]] + [(3, texts[6]), (7, texts[7]), (7, texts[6]), (8, texts[8]), (8, texts[8]), (None, texts[7])]
+    docs = documents(spark, rows)
+    other = docs.where("doc_id = 8").withColumn("source", F.lit("elsewhere"))
+    kept = [
+        sorted(map(repr, corpus_pipeline.drop_near_duplicates(spark, d, str(tmp_path)).collect()))
+        for d in (docs.union(other), other.union(docs).repartition(3))
+    ]
+    assert kept[0] == kept[1]
+    found = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in found) == sorted([(0, t) for t in texts[:6]] + [(3, texts[6]), (7, texts[7]), (8, texts[8])])
+
+
 def test_text_without_spaces_counts_whole(spark):
     """A beginning in one language does not decide for what follows it."""
     greek, latin = "καλημερα", "goodmorning"
