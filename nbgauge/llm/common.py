@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nbgauge.session import shared_dir
+
 FOLDS = 3
 HELD_OUT_FOLD = 1
 
@@ -16,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once, as a Parquet table of the shared folder, and read back."""
+    target = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)
+
+
 def fold(id_col: str = "doc_id") -> Column:
     """Fold of a document, from its id alone; NULL for a NULL id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
