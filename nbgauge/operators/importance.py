@@ -4,23 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Model
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nbgauge.operators.learning import assembler_of, fitted_trees, predict
+from nbgauge.operators.learning import feature_weights, inputs_of, predict
 from nbgauge.operators.ordering import with_global_rank
+from nbgauge.operators.trees import TreeModel
 
 
-def model_importance(model: PipelineModel, df: DataFrame) -> DataFrame:
+def model_importance(model: Model | TreeModel, df: DataFrame) -> DataFrame:
     """Importance of each feature as the trees report it."""
-    weights = fitted_trees(model).featureImportances.toArray().tolist()
-    names = assembler_of(model).getInputCols()
-    return df.sparkSession.createDataFrame(list(zip(names, weights)), "feature string, importance double")
+    return df.sparkSession.createDataFrame(list(feature_weights(model).items()), "feature string, importance double")
 
 
 def permutation_importance(
-    model: PipelineModel, df: DataFrame, label: str = "label", seed: int = 42, features: Sequence[str] | None = None
+    model: Model | TreeModel, df: DataFrame, label: str = "label", seed: int = 42, features: Sequence[str] | None = None
 ) -> DataFrame:
     """Accuracy lost when the values of one feature are shuffled among the rows.
 
@@ -29,7 +28,7 @@ def permutation_importance(
     value taken from its partner: one pass for all features, and only counts
     are shuffled.
     """
-    inputs = assembler_of(model).getInputCols()
+    inputs = inputs_of(model)
     chosen = list(features or inputs)
     wide = df.select(label, *inputs)
     here = with_global_rank(wide.withColumn("_o", F.xxhash64(F.lit(seed), *inputs)), "_o", rank="_at").drop("_o")

@@ -1,96 +1,62 @@
-"""Tree classifiers over notebook metrics, on Spark ML."""
+"""Tree classifiers over notebook metrics: the library's learners, and those of Spark ML."""
 
 from __future__ import annotations
 
-import itertools
-import random
 from collections.abc import Sequence
 
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nbgauge.operators import forest
+from nbgauge.operators.boosting import SecondOrderBoosting, SymmetricBoosting
 from nbgauge.operators.evaluation import classification_report, roc_auc
-
-MAX_DEPTH = 30  # deepest tree Spark grows
-
-# The search grid of the forest.
-FOREST_GRID = {
-    "bootstrap": [True, False],
-    "maxDepth": [10, 20, 30, 40, 50, 60, 70, 80, 90, 100, None],
-    "featureSubsetStrategy": ["auto", "sqrt"],
-    "minInstancesPerNode": [1, 2, 4],
-}
+from nbgauge.operators.trees import TreeModel
 
 NOT_FEATURES = ("KernelId", "kernel_id", "label", "split", "expert_score")
 
 
-def boosted_trees_slow(**params) -> Estimator:
-    """Boosted trees, 100 rounds at a small rate."""
-    return GBTClassifier(**{"maxIter": 100, "stepSize": 0.001, "seed": 0, **params})
+def boosted_trees_slow(**params) -> SymmetricBoosting:
+    """Symmetric boosted trees, 100 rounds at a small rate."""
+    return SymmetricBoosting(**params)
 
 
-def boosted_trees_quick(**params) -> Estimator:
-    """Boosted trees, 10 rounds."""
-    return GBTClassifier(**{"maxIter": 10, "stepSize": 0.01, "seed": 0, **params})
+def boosted_trees_quick(**params) -> SymmetricBoosting:
+    """Symmetric boosted trees, 10 rounds."""
+    return SymmetricBoosting(**{"rounds": 10, "rate": 0.01, **params})
 
 
-def boosted_trees_deep(**params) -> Estimator:
-    """Boosted trees with deeper trees and a large rate."""
-    return GBTClassifier(**{"maxIter": 100, "stepSize": 0.3, "maxDepth": 6, "seed": 0, **params})
+def boosted_trees_deep(**params) -> SecondOrderBoosting:
+    """Boosted trees by second derivatives, 100 rounds at a large rate."""
+    return SecondOrderBoosting(**params)
 
 
 def decision_tree(**params) -> Estimator:
     return DecisionTreeClassifier(**{"maxDepth": 2, "seed": 0, **params})
 
 
-def decision_tree_unbounded(**params) -> Estimator:
-    return decision_tree(**{"maxDepth": MAX_DEPTH, **params})
-
-
-def forest_candidates(candidates: int = 10, seed: int = 42) -> list[dict]:
-    """Random draws without replacement from the settings that differ.
-
-    Depths beyond Spark's limit are that limit, and "auto" stands for "sqrt".
-    """
-    depths = sorted({min(d or MAX_DEPTH, MAX_DEPTH) for d in FOREST_GRID["maxDepth"]})
-    values = {**FOREST_GRID, "maxDepth": depths, "featureSubsetStrategy": ["sqrt"]}
-    grid = [dict(zip(values, row)) for row in itertools.product(*values.values())]
-    if candidates > len(grid):
-        raise ValueError(f"only {len(grid)} settings differ")
-    return random.Random(seed).sample(grid, candidates)
+def decision_tree_unbounded(**params) -> forest.DecisionTree:
+    return forest.DecisionTree(**params)
 
 
-def random_forest(
-    candidates: int = 10, folds: int = 3, trees: int = 100, seed: int = 42, parallelism: int = 4, **params
-) -> Estimator:
-    """Random forest, its parameters found by a randomized, cross-validated search."""
-    forest = RandomForestClassifier(numTrees=trees, seed=seed, **params)
-    grid = [{getattr(forest, k): v for k, v in one.items()} for one in forest_candidates(candidates, seed)]
-    return CrossValidator(
-        estimator=forest,
-        estimatorParamMaps=grid,
-        evaluator=BinaryClassificationEvaluator(labelCol=forest.getLabelCol()),
-        numFolds=folds,
-        seed=seed,
-        parallelism=parallelism,
-    )
+def random_forest(**params) -> forest.ForestSearch:
+    """Random forest, its shape found by a randomized, cross-validated search."""
+    return forest.ForestSearch(**params)
 
 
 CLASSIFIERS = {
     "cat_boost": boosted_trees_slow,
     "xg_boost": boosted_trees_deep,
     "decision_tree": decision_tree,
+    "decision_tree_unbounded": decision_tree_unbounded,
     "random_forest": random_forest,
 }
 
 
-def classifier(name: str, **params) -> Estimator:
+def classifier(name: str, **params):
     try:
         return CLASSIFIERS[name](**params)
     except KeyError:
@@ -101,19 +67,24 @@ def feature_names(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in NOT_FEATURES]
 
 
-def train(df: DataFrame, estimator: Estimator, features: Sequence[str] | None = None) -> PipelineModel:
+def train(df: DataFrame, estimator, features: Sequence[str] | None = None) -> Model | TreeModel:
     """Fit on all feature columns, or on the chosen ones."""
-    assembler = VectorAssembler(inputCols=list(features or feature_names(df)), outputCol="features")
+    chosen = list(features or feature_names(df))
+    if not isinstance(estimator, Estimator):
+        return estimator.fit(df, chosen)
+    assembler = VectorAssembler(inputCols=chosen, outputCol="features")
     return Pipeline(stages=[assembler, estimator]).fit(df)
 
 
-def predict(model: Model, df: DataFrame) -> DataFrame:
+def predict(model: Model | TreeModel, df: DataFrame) -> DataFrame:
     """Add ``prediction`` (0/1) and ``score``, the probability of class 1."""
+    if isinstance(model, TreeModel):
+        return model.predict(df)
     scored = model.transform(df).withColumn("score", vector_to_array("probability")[1])
     return scored.select(*df.columns, F.col("prediction").cast("int").alias("prediction"), "score")
 
 
-def evaluate(model: Model, df: DataFrame, label: str = "label") -> dict:
+def evaluate(model: Model | TreeModel, df: DataFrame, label: str = "label") -> dict:
     """Report per class, averages and ``roc_auc_score``, as a plain dictionary."""
     scored = predict(model, df).select(label, "prediction", "score")
     report = {r["class"]: r.asDict() for r in classification_report(scored, label).collect()}
@@ -121,19 +92,20 @@ def evaluate(model: Model, df: DataFrame, label: str = "label") -> dict:
     return report
 
 
-def assembler_of(model: PipelineModel) -> VectorAssembler:
-    return next(s for s in model.stages if isinstance(s, VectorAssembler))
+def inputs_of(model: Model | TreeModel) -> list[str]:
+    """The feature columns a model asks for."""
+    if isinstance(model, TreeModel):
+        return model.features
+    return next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()
 
 
-def fitted_trees(model: PipelineModel) -> Model:
-    """The tree model of a pipeline; of a search, the best one."""
-    last = model.stages[-1]
-    return last.bestModel if isinstance(last, CrossValidatorModel) else last
+def feature_weights(model: Model | TreeModel) -> dict[str, float]:
+    """Share of each feature in what the trees gained."""
+    if isinstance(model, TreeModel):
+        return model.importance()
+    return dict(zip(inputs_of(model), model.stages[-1].featureImportances.toArray().tolist()))
 
 
-def refit_best(model: PipelineModel, df: DataFrame, trees: int = 500, seed: int = 42) -> PipelineModel:
-    """Grow a larger forest with the parameters a search found best."""
-    best = fitted_trees(model)
-    params = {name: best.getOrDefault(name) for name in FOREST_GRID}
-    forest = RandomForestClassifier(numTrees=trees, seed=seed, **params)
-    return train(df, forest, assembler_of(model).getInputCols())
+def refit_best(model: TreeModel, df: DataFrame, trees: int = 500, seed: int = 42) -> TreeModel:
+    """Grow a larger forest with the shape a search found best."""
+    return forest.grown_larger(model, df, trees, seed)

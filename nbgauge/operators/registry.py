@@ -10,6 +10,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nbgauge.operators.trees import TreeModel
+
 logger = logging.getLogger(__name__)
 
 NOT_IN_ID = ("metrics",)
@@ -29,12 +31,16 @@ class ModelRegistry:
         self.spark = spark
         self.folder = folder.rstrip("/")
 
-    def save(self, model: PipelineModel, file_name: str, classifier: str, **info) -> str:
+    def save(self, model: PipelineModel | TreeModel, file_name: str, classifier: str, **info) -> str:
         """Write the model and its registry row; the id of the model."""
         entry = {"file_name": file_name, "classifier": classifier, **info}
         key = model_id(entry)
         # By id: another model of the same file name does not replace it.
-        model.write().overwrite().save(f"{self.folder}/models/{key}/{file_name}")
+        path = f"{self.folder}/models/{key}/{file_name}"
+        if isinstance(model, TreeModel):
+            model.save(path)
+        else:
+            model.write().overwrite().save(path)
         row = [(key, file_name, classifier, json.dumps(entry, sort_keys=True, default=str))]
         self.spark.createDataFrame(row, ROW).coalesce(1).write.mode("overwrite").json(f"{self.folder}/rows/{key}")
         return key
@@ -54,7 +60,7 @@ class ModelRegistry:
         row = self.models().where(F.col("model_id") == key).first()
         return json.loads(row["info"]) if row else {}
 
-    def load(self, key: str) -> PipelineModel | None:
+    def load(self, key: str) -> PipelineModel | TreeModel | None:
         """The model, unless its row does not match its id or its files are gone."""
         info = self.info(key)
         if not info:
@@ -66,4 +72,4 @@ class ModelRegistry:
         if not self._exists(path):
             logger.error("files of model %s are missing: %s", key, path)
             return None
-        return PipelineModel.load(path)
+        return TreeModel.load(self.spark, path) if self._exists(f"{path}/nodes") else PipelineModel.load(path)

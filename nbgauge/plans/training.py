@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nbgauge.operators.cleaning import METRICS_FILTERS, SCORES_FILTERS, clean_experts, clean_features, clean_scores, features_only
-from nbgauge.operators.learning import assembler_of, classifier as classifier_by_name, evaluate, predict, train
+from nbgauge.operators.learning import classifier as classifier_by_name, evaluate, inputs_of, predict, train
 from nbgauge.operators.notebook import apply_filters
 from nbgauge.operators.ordering import balanced_head, random_split, select_extremes
 from nbgauge.operators.registry import ModelRegistry
+from nbgauge.operators.trees import TreeModel
 from nbgauge.session import cut_lineage
 
 
@@ -95,13 +96,13 @@ def train_job(
         split_factor=split_factor,
         selection_ratio=selection_ratio,
         include_pt=include_pt,
-        features=assembler_of(model).getInputCols(),
+        features=inputs_of(model),
         metrics=reports,
     )
     return key, reports
 
 
-def score_notebooks(model: Model, notebooks: DataFrame, pt: int | None = None) -> DataFrame:
+def score_notebooks(model: Model | TreeModel, notebooks: DataFrame, pt: int | None = None) -> DataFrame:
     """Prediction for each notebook.
 
     A model trained with the author's tier needs ``pt``, or a ``PT`` column.
@@ -109,7 +110,7 @@ def score_notebooks(model: Model, notebooks: DataFrame, pt: int | None = None) -
     rows = notebooks.withColumnRenamed("ALLC", "ALLCL")
     if pt is not None:
         rows = rows.withColumn("PT", F.lit(pt))
-    missing = [c for c in assembler_of(model).getInputCols() if c not in rows.columns]
+    missing = [c for c in inputs_of(model) if c not in rows.columns]
     if missing:
         raise ValueError(f"the model needs {', '.join(missing)}")
     return predict(model, rows).select("kernel_id", "prediction", "score")

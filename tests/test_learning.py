@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nbgauge import schemas
-from nbgauge.operators import importance, learning, textmodel
+from nbgauge.operators import forest, importance, learning, textmodel
 from nbgauge.operators.registry import ModelRegistry, model_id
 from nbgauge.plans import training
 
@@ -66,7 +66,7 @@ def test_forest_search_and_importance(tables):
     rows = training.training_set(features, scores, include_pt=False).select("LOC", "ID", "CW", "label", "split")
     model = learning.train(rows, learning.random_forest(candidates=2, folds=2, trees=5))
     bigger = learning.refit_best(model, rows, trees=7)
-    assert learning.fitted_trees(bigger).getNumTrees == 7
+    assert bigger.n_trees == 7 and len(model.info["accuracy"]) == 2 and max(model.info["accuracy"]) > 0.9
     found = {r.feature: r.importance for r in importance.permutation_importance(bigger, rows).collect()}
     assert set(found) == {"LOC", "ID", "CW"} and found["LOC"] > 0.1 > abs(found["CW"])
     ranked = importance.model_importance(bigger, rows).orderBy(F.desc("importance")).first()
@@ -74,8 +74,10 @@ def test_forest_search_and_importance(tables):
 
 
 def test_presets():
-    assert len(learning.forest_candidates()) == 10 and learning.forest_candidates() == learning.forest_candidates()
-    assert all(c["maxDepth"] <= 30 for c in learning.forest_candidates())
+    shapes = forest.candidates()
+    assert len(shapes) == 10 and shapes == forest.candidates()
+    assert len({(s.depth, s.least_split, s.least_leaf) for s in forest.candidates(396)}) == 99
+    assert any(s.depth is None for s in forest.candidates(396)) and max(s.depth or 0 for s in shapes) > 30
     with pytest.raises(ValueError):
         learning.classifier("svm")
 

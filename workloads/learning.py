@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nbgauge.operators import importance, learning, textmodel
+from nbgauge.operators import attribution, importance, learning, textmodel
 from nbgauge.operators.cleaning import topic_label
 from nbgauge.operators.ordering import class_counts
 from nbgauge.operators.registry import ModelRegistry
@@ -93,10 +93,11 @@ def _train_query(name: str, classifier: str, **params) -> None:
     query()(run)
 
 
-_train_query("train_boosted_trees", "cat_boost", maxIter=10)
-_train_query("train_boosted_trees_deep", "xg_boost", maxIter=5)
+_train_query("train_boosted_trees", "cat_boost")
+_train_query("train_boosted_trees_deep", "xg_boost")
 _train_query("train_decision_tree", "decision_tree")
-_train_query("train_random_forest", "random_forest", candidates=2, trees=5)
+_train_query("train_decision_tree_unbounded", "decision_tree_unbounded")
+_train_query("train_random_forest", "random_forest")
 
 
 @query()
@@ -186,9 +187,74 @@ def _separable_query(name: str, classifier: str, **params) -> None:
 
 
 _separable_query("separable_decision_tree", "decision_tree")
-_separable_query("separable_boosted_trees", "cat_boost", maxIter=3)
-_separable_query("separable_boosted_trees_deep", "xg_boost", maxIter=3)
-_separable_query("separable_random_forest", "random_forest", candidates=1, trees=3, folds=2)
+_separable_query("separable_decision_tree_unbounded", "decision_tree_unbounded")
+_separable_query("separable_boosted_trees", "cat_boost")
+_separable_query("separable_boosted_trees_deep", "xg_boost")
+_separable_query("separable_random_forest", "random_forest")
+
+
+def two_level_notebooks(spark, sf_dir) -> DataFrame:
+    """A label that takes two questions: many cells, or few cells and long ones.  The second metric is missing where the first decides."""
+    rows = features(spark, sf_dir)
+    many = F.col("CC") >= 4
+    return rows.select(
+        "kernel_id", "CC", F.when(~many, F.col("LOC") / F.col("CC")).alias("mean_lines"),
+        (many | (F.col("LOC") / F.col("CC") >= 4.5)).cast("int").alias("label"),
+    )
+
+
+TWO_LEVELS = (
+    sql.cte(*sql.NOTEBOOK_METRICS) + "SELECT kernel_id, CAST(CC AS BIGINT) AS CC, CAST(CC >= 4 OR LOC / CC::DOUBLE >= 4.5 AS INT) AS prediction FROM notebooks"
+)
+
+
+def _two_level_query(name: str, classifier: str, **params) -> None:
+    def run(spark, sf_dir):
+        rows = two_level_notebooks(spark, sf_dir)
+        model = learning.train(rows, learning.classifier(classifier, **params), ["CC", "mean_lines"])
+        return learning.predict(model, rows).select("kernel_id", F.col("CC").cast("bigint").alias("CC"), "prediction")
+
+    run.__name__ = name
+    query(TWO_LEVELS)(run)
+
+
+_two_level_query("two_level_boosted_trees", "cat_boost")
+_two_level_query("two_level_boosted_trees_deep", "xg_boost")
+_two_level_query("two_level_decision_tree", "decision_tree_unbounded")
+
+
+@query(sql.cte(*sql.NOTEBOOK_METRICS) + "SELECT 0 AS level, 'CC' AS feature, max(CC)::DOUBLE AS wall, true AS missing_left FROM notebooks WHERE CC < 4")
+def separable_first_split(spark, sf_dir):
+    """The wall all trees of the symmetric learner ask for first, and on which side missing values go."""
+    rows = long_notebooks(spark, sf_dir)
+    model = learning.train(rows, learning.boosted_trees_slow(), ["CC", "H1"])
+    roots = model.nodes.where("path = ''").select("feature", "wall", "missing_left").distinct()
+    name = F.get(F.array(*[F.lit(c) for c in model.features]), "feature")
+    return roots.select(F.lit(0).alias("level"), name.alias("feature"), "wall", "missing_left")
+
+
+@query(
+    sql.cte(*sql.NOTEBOOK_METRICS)
+    + "SELECT kernel_id, true AS adds_up, CAST(CASE WHEN CC >= 4 THEN 1 ELSE -1 END AS INT) AS towards, true AS unused_is_zero FROM notebooks"
+)
+def separable_attributions(spark, sf_dir):
+    """Shapley values of every notebook: with the mean they are the margin, the number of cells decides, the other metric adds nothing."""
+    rows = long_notebooks(spark, sf_dir)
+    model = learning.train(rows, learning.boosted_trees_deep(), ["CC", "H1"])
+    found = attribution.attributions(model, model.with_margin(rows))
+    parts = F.col("attributions")
+    return found.select(
+        "kernel_id", (F.abs(F.col("base") + parts[0] + parts[1] - F.col("margin")) < 1e-6).alias("adds_up"),
+        F.signum(parts[0]).cast("int").alias("towards"), (parts[1] == 0).alias("unused_is_zero"),
+    )
+
+
+@query()
+def mean_attributions(spark, sf_dir):
+    """Direction and size of each metric's part in the scores of the test set."""
+    rows = training_rows(spark, sf_dir, include_pt=False)
+    model = learning.train(rows.where("split = 'train'"), learning.boosted_trees_deep())
+    return attribution.mean_attributions(model, rows.where("split = 'test'"))
 
 
 @query(LONG)
@@ -196,7 +262,7 @@ def registered_model_predicts(spark, sf_dir):
     """Saved, found by its id, loaded and applied to all notebooks."""
     rows = long_notebooks(spark, sf_dir)
     registry = ModelRegistry(spark, work_dir(spark))
-    key = registry.save(learning.train(rows, learning.decision_tree(), ["CC"]), "tree", "decision_tree")
+    key = registry.save(learning.train(rows, learning.boosted_trees_quick(), ["CC"]), "tree", "cat_boost")
     scored = training.score_notebooks(registry.load(key), rows).select("kernel_id", "prediction")
     return rows.join(scored, "kernel_id").select("kernel_id", F.col("CC").cast("bigint").alias("CC"), "prediction")
 
