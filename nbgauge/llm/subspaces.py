@@ -8,8 +8,9 @@ share in some block.  So every block is range-joined alone, and the union of wha
 blocks find is verified by the exact cosine.
 
 The range join of a block: a k-d tree over its coordinates gives every vector a home
-leaf; it is a guest in each lower leaf that its range reaches.  Leaves with many rows
-are cut into chunks, and a task gets a pair of chunks.  There, boxes of neighbouring
+leaf; it is a guest in each lower leaf that its range reaches.  The tree has as many
+levels as spare copies of the rows (none, if the vectors stand alike in all directions).
+Leaves with many rows are cut into chunks, and a task gets a pair of chunks.  There, boxes of neighbouring
 rows are compared first, then rows.  A pair is verified in the first block that finds
 it, in the lower of its home leaves, and so exactly once.  Coordinates are rounded to
 integers (the range is widened by the rounding), so all tasks agree on them.
@@ -43,13 +44,13 @@ from nbgauge.llm.codes import usable
 from nbgauge.llm.common import written
 from nbgauge.llm.simhash import components
 
-COSINE, BLOCKS = 0.9, 8
+COSINE, BLOCKS = 0.9, 4
 #: Integer coordinates of a unit vector; products of a block stay exact in single precision.
 SCALE = 1024
-#: Rows of a leaf, on average; rows of a chunk; rows of a box inside a task.
-LEAF_ROWS, CHUNK_ROWS, BOX_ROWS = 8_192, 16_384, 512
-#: What the leaves' walls are learned from, and their most levels.
-SAMPLE_ROWS, SAMPLE_VALUES, MAX_LEVELS = 20_000, 4_000_000, 10
+#: Least rows of a leaf, on average; rows of a chunk, and their components; rows of a box inside a task.
+LEAF_ROWS, CHUNK_ROWS, CHUNK_VALUES, BOX_ROWS = 1_024, 32_768, 2_097_152, 512
+#: What the leaves' walls are learned from, what their number is judged by, and their most levels.
+SAMPLE_ROWS, SAMPLE_VALUES, JUDGED_ROWS, MAX_LEVELS = 20_000, 4_000_000, 1_000, 10
 #: Candidates verified at a time.
 SLICE = 20_000
 
@@ -154,7 +155,24 @@ def _doubles(column) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def make_plan(nodes: DataFrame, cosine: float, blocks: int, leaf_rows: int) -> Plan | None:
+def fewest_copies(points: np.ndarray, dims: np.ndarray, walls: np.ndarray, reach: int, rows: int, chunk_rows: int) -> int:
+    """Levels of a tree at which a row meets the others in the fewest cells.
+
+    More levels make smaller leaves, of which a row reaches more.  Vectors in clusters
+    reach few; where all directions are alike, chunks without any leaf are better.
+    """
+    best, chosen = np.inf, 0
+    for levels in range((len(dims) - 1).bit_length() + 1):
+        reached = len(leaves_of(points, dims[: 1 << levels], walls[: 1 << levels], reach)[0]) / len(points)
+        if reached > 4 * best:
+            break
+        copies = reached * max(1, -(-int(rows * reached / (1 << levels)) // chunk_rows))
+        if copies < best:
+            best, chosen = copies, levels
+    return chosen
+
+
+def make_plan(nodes: DataFrame, cosine: float, blocks: int, leaf_rows: int, chunk_rows: int) -> Plan | None:
     """Trees from a bounded sample, those nodes with the smallest hashes."""
     facts = nodes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("length")).first()
     if not facts["n"]:
@@ -169,8 +187,13 @@ def make_plan(nodes: DataFrame, cosine: float, blocks: int, leaf_rows: int) -> P
     width = length // blocks
     # Rounding moves the difference of two blocks by at most the root of their dimensions.
     reach = SCALE * np.sqrt(max(0.0, 2 * (1 - cosine) + 1e-9) * width / length) + np.sqrt(width) + 1e-6
+    reach = int(reach * reach)
     trees = [grow_tree(points[:, b * width : (b + 1) * width], levels) for b in range(blocks)]
-    return Plan(length, blocks, int(reach * reach), cosine, tuple(t[0] for t in trees), tuple(t[1] for t in trees))
+    judged = points[:: max(1, len(points) // JUDGED_ROWS)]
+    deep = [fewest_copies(judged[:, b * width : (b + 1) * width], *trees[b], reach, facts["n"], chunk_rows) for b in range(blocks)]
+    # The same number for all blocks, as the rotation makes them alike.
+    kept = 1 << int(np.median(deep))
+    return Plan(length, blocks, reach, cosine, tuple(t[0][:kept] for t in trees), tuple(t[1][:kept] for t in trees))
 
 
 def leaf_sizes(nodes: DataFrame, plan: Plan) -> np.ndarray:
@@ -267,24 +290,22 @@ def near_pairs(points: np.ndarray, left: np.ndarray, right: np.ndarray, reach: i
     if not ones or not others:
         return
 
-    def sides(rows):
+    def sides(rows, left):
+        """One product of two sides is the squared distance: whole numbers, exact in single precision."""
         p = points[rows].astype(np.float32)
-        return p, (p * p).sum(axis=1)
+        squares, ones_ = (p * p).sum(axis=1, keepdims=True), np.ones((len(p), 1), np.float32)
+        return np.hstack([-2 * p, squares, ones_] if left else [p, ones_, squares])
 
-    kept = [sides(rows) for rows in others]
+    kept = [np.ascontiguousarray(sides(rows, False).T) for rows in others]
     lows, highs = (np.stack([f(points[rows], axis=0) for rows in others]).astype(np.int64) for f in (np.min, np.max))
     for i, rows in enumerate(ones):
-        p, squares = sides(rows)
+        p = sides(rows, True)
         low, high = points[rows].min(axis=0), points[rows].max(axis=0)
         gap = np.maximum(0, np.maximum(lows - high, low - highs))
         for j in np.flatnonzero((gap * gap).sum(axis=1) <= reach).tolist():
             if same and j < i:
                 continue
-            q, more = kept[j]
-            apart = p @ (-2 * q.T)
-            apart += squares[:, None]
-            apart += more[None]
-            x, y = np.divmod(np.flatnonzero(apart <= reach), len(q))
+            x, y = np.divmod(np.flatnonzero(p @ kept[j] <= reach), len(others[j]))
             if same and i == j:
                 x, y = x[x < y], y[x < y]
             if len(x):
@@ -332,7 +353,7 @@ def join_cell(block: int, same: bool, rows: pa.Table, plan: Plan) -> pa.Table:
     )
 
 
-def node_links(nodes: DataFrame, plan: Plan, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def node_links(nodes: DataFrame, plan: Plan, chunk_rows: int) -> DataFrame:
     chunks = np.maximum(1, -(-leaf_sizes(nodes, plan) // chunk_rows))
 
     def join(key: tuple, rows: pa.Table) -> pa.Table:
@@ -342,7 +363,7 @@ def node_links(nodes: DataFrame, plan: Plan, chunk_rows: int = CHUNK_ROWS) -> Da
     return cells(nodes, plan, chunks).groupBy("block", "leaf", "low", "high").applyInArrow(join, "a long, b long, n long")
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, leaf_rows: int = LEAF_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, leaf_rows: int = LEAF_ROWS, chunk_rows: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept, one row per vector."""
     squares = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda total, x: total + x * x)
     linkable = usable() & (squares > 0) & (squares < float("inf"))
@@ -351,7 +372,9 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, blocks: int =
     nodes = vectors.groupBy("embedding").agg(F.min("vec_id").alias("smallest"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
     alone = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    plan = make_plan(nodes, cosine, blocks, leaf_rows)
+    length = nodes.agg(F.max(F.size("embedding"))).first()[0] or 1
+    chunk_rows = chunk_rows or max(1, min(CHUNK_ROWS, CHUNK_VALUES // length))
+    plan = make_plan(nodes, cosine, blocks, leaf_rows, chunk_rows)
     if plan is None:
         return alone.withColumn("kept", F.lit(True))
     found = written(node_links(nodes, plan, chunk_rows), "vector-links")

@@ -189,8 +189,11 @@ def plain_links(rows, cosine=0.9):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("length,blocks,leaf_rows,chunk_rows", [(16, 8, 8192, 16384), (16, 8, 30, 40), (10, 4, 50, 25), (3, 8, 20, 1000), (1, 8, 50, 50)])
-def test_links_as_plain(spark, length, blocks, leaf_rows, chunk_rows):
+@pytest.mark.parametrize("length,blocks,leaf_rows,chunk_rows", [(16, 8, 8192, None), (16, 8, 30, 40), (10, 4, 50, 25), (3, 8, 20, 1000), (1, 8, 50, 50)])
+@pytest.mark.parametrize("deep", [False, True])
+def test_links_as_plain(spark, monkeypatch, length, blocks, leaf_rows, chunk_rows, deep):
+    if deep:
+        monkeypatch.setattr(subspaces, "fewest_copies", lambda points, dims, *rest: (len(dims) - 1).bit_length())
     points = cloud(length, 260, length, centres=40, noise=0.25)
     rows = [(i // 2 if i % 7 == 0 else i, p, 1) for i, p in enumerate(points)]
     rows += [(1000 + i, points[4], 2) for i in range(30)] + [(None, points[8], None), (None, None, None), (5, points[8], 1), (5, points[8], 1)]
@@ -244,3 +247,13 @@ def test_leaves_reach_all_within_range():
     for i, j in zip(*np.nonzero(near)):
         assert (i, min(own[i], own[j])) in met
     assert len(met) == len(rows) and all(leaf <= own[row] for row, leaf in met)
+
+
+def test_levels_follow_the_range():
+    """A short range parts vectors into leaves; one that reaches across most walls does not."""
+    rng = np.random.default_rng(9)
+    points = subspaces.coordinates(rng.normal(size=(4000, 16)), 16)
+    tree = subspaces.grow_tree(points, 6)
+    near, far = (int((1024 * np.sqrt(2 * (1 - cosine)) + 4) ** 2) for cosine in (0.9995, 0.9))
+    levels = [subspaces.fewest_copies(points[::4], *tree, reach, 1_000_000, 32_768) for reach in (near, far)]
+    assert levels[0] >= 4 and levels[1] <= 1
