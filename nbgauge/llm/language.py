@@ -93,24 +93,71 @@ def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return buckets, owner, scripts_of(codes[first].astype(np.int64))
 
 
+@dataclass
+class GramLogs:
+    """Log probability of each bucket of letter groups in each language.
+
+    Few languages are a full table; many are a list per bucket of the languages that
+    have it, as most letter groups belong to few of them.
+    """
+
+    #: Log probability of a bucket that a language has not got.
+    absent: np.ndarray
+    #: Buckets x languages, or None.
+    full: np.ndarray | None
+    #: Where each bucket's list begins, the languages in it, and what they add to ``absent``.
+    starts: np.ndarray
+    languages: np.ndarray
+    more: np.ndarray
+
+    #: Languages of a full table.
+    FULL = 128
+
+    @classmethod
+    def of(cls, counts: list[tuple[int, np.ndarray, np.ndarray]], n: int) -> GramLogs:
+        """From (language, buckets, occurrences) of each language."""
+        lang = np.concatenate([np.full(len(b), i) for i, b, _ in counts]) if counts else np.zeros(0, np.int64)
+        bucket = np.concatenate([b for _, b, _ in counts]).astype(np.int64) if counts else lang
+        seen = np.concatenate([c for _, _, c in counts]).astype(float) if counts else np.zeros(0)
+        below = np.bincount(lang, weights=seen, minlength=n) + 0.3 * max(1, len(np.unique(bucket)))
+        absent = np.log(0.3 / below)
+        order = np.argsort(bucket, kind="stable")
+        lang, bucket = lang[order], bucket[order]
+        present = np.log((seen[order] + 0.3) / below[lang])
+        starts = np.searchsorted(bucket, np.arange(BUCKETS + 1))
+        if n > cls.FULL:
+            return cls(absent, None, starts, lang.astype(np.int32), (present - absent[lang]).astype(np.float32))
+        full = np.repeat(absent.astype(np.float32)[None], BUCKETS, axis=0)
+        full[bucket, lang] = present
+        return cls(absent, full, starts[:0], lang[:0], present[:0])
+
+    def totals(self, buckets: np.ndarray, owner: np.ndarray, words: int) -> np.ndarray:
+        """Sum over each word's buckets, words x languages."""
+        n = len(self.absent)
+        if self.full is not None:
+            return np.stack([np.bincount(owner, weights=self.full[buckets, i], minlength=words) for i in range(n)], axis=1)
+        total = np.bincount(owner, minlength=words)[:, None] * self.absent[None]
+        sizes = self.starts[buckets + 1] - self.starts[buckets]
+        at = np.repeat(self.starts[buckets] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        slot = np.repeat(owner, sizes) * n + self.languages[at]
+        return total + np.bincount(slot, weights=self.more[at], minlength=words * n).reshape(words, n)
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
     #: languages x scripts: whether the language is written in it; the last column stands for other scripts.
     written: np.ndarray
-    #: Log probability of each bucket of letter groups, buckets x languages.
-    logs: np.ndarray
+    logs: GramLogs
     penalty: float = 8.0
     #: A word's score lies at most this far below its best language.
     floor: float = 6.0
-    cached_words: int = 200_000
+    cached_scores: int = 20_000_000
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log score per word (of letters) and language, 0 for the best candidate."""
         buckets, owner, scripts = grams_of(words)
-        total = np.stack(
-            [np.bincount(owner, weights=self.logs[buckets, i], minlength=len(words)) for i in range(len(self.languages))], axis=1
-        )
+        total = self.logs.totals(buckets, owner, len(words))
         candidates = self.written[:, scripts].T
         candidates = candidates | ~candidates.any(axis=1, keepdims=True)
         total = 0.6 * total
@@ -142,7 +189,7 @@ class LanguageModel:
                 return _results(out)
             start = 0
             while start < len(texts):
-                if len(index) > model.cached_words:
+                if len(index) * len(model.languages) > model.cached_scores:
                     index.clear()
                     tables.clear()
                     counted[0] = -1
@@ -244,18 +291,18 @@ def _results(out: list[tuple]) -> pa.Array:
     )
 
 
-def fit_languages(docs: DataFrame, per_language: int = 1500, max_languages: int = 100, penalty: float = 8.0) -> LanguageModel:
+def fit_languages(docs: DataFrame, per_language: int = 1500, penalty: float = 8.0) -> LanguageModel:
     """Learn letter groups from about ``per_language`` texts of each language.
 
     Only rows outside the held-out fold with a text and a language are read.
-    ``per_language`` (expected number, chosen by a hash of the id) and
-    ``max_languages`` (the commonest) bound what is learned; Spark counts, and one
-    list of at most BUCKETS counts per language comes to the driver.
+    ``per_language`` (expected number, chosen by a hash of the id) bounds what is
+    learned of a language; all languages are learned.  Spark counts, and one list
+    of at most BUCKETS counts per language comes to the driver.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != HELD_OUT_FOLD))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    sizes = known.groupBy("lang").count().collect()
     if not sizes:
-        return LanguageModel([], np.zeros((0, len(_NAMES) + 1), bool), np.zeros((BUCKETS, 0)), penalty)
+        return LanguageModel([], np.zeros((0, len(_NAMES) + 1), bool), GramLogs.of([], 0), penalty)
     languages = sorted(r["lang"] for r in sizes)
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))])
     hash_share = F.pmod(F.xxhash64("doc_id", F.lit("languages")), F.lit(1_000_000)) / 1_000_000
@@ -283,13 +330,14 @@ def fit_languages(docs: DataFrame, per_language: int = 1500, max_languages: int
 
     counted = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     rows = counted.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("counts")).toArrow()
-    counts = np.zeros((BUCKETS + len(_NAMES) + 1, len(languages)))
-    for lang, buckets, n in zip(*[rows[c].to_pylist() for c in ("lang", "buckets", "counts")]):
-        counts[buckets, languages.index(lang)] = n
-    grams, scripts = counts[:BUCKETS], counts[BUCKETS:]
-    logs = np.log((grams + 0.3) / (grams.sum(axis=0) + 0.3 * max(1, (grams.sum(axis=1) > 0).sum())))
+    number = {lang: i for i, lang in enumerate(languages)}
+    counts, scripts = [], np.zeros((len(_NAMES) + 1, len(languages)))
+    for lang, buckets, n in zip(rows["lang"].to_pylist(), rows["buckets"], rows["counts"]):
+        at, n = np.asarray(buckets.values), np.asarray(n.values)
+        scripts[at[at >= BUCKETS] - BUCKETS, number[lang]] = n[at >= BUCKETS]
+        counts.append((number[lang], at[at < BUCKETS], n[at < BUCKETS]))
     written = scripts.T >= 0.01 * np.maximum(scripts.sum(axis=0), 1)[:, None]
-    return LanguageModel(languages, written, logs.astype(np.float32), penalty)
+    return LanguageModel(languages, written, GramLogs.of(counts, len(languages)), penalty)
 
 
 def with_language(docs: DataFrame, model: LanguageModel, column: str = "language") -> DataFrame:

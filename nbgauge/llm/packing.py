@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Equal rows that go to one packing group together.
+COPIES = 16
 _NO_WORDS = r"[\x20\x09-\x0D]+"
 
 
@@ -82,15 +84,18 @@ def best_fit(
     sized = docs.select(
         "doc_id", word_count(text).alias("words"), F.xxhash64(F.col(source).cast("string")).alias("source_key"),
         F.col(source).isNull().alias("no_source"), cluster_key.alias("cluster_key"), unknown.alias("no_cluster"),
-        # Copies of one row part too.
-        F.monotonically_increasing_id().alias("salt"),
     )
+    # Rows equal in all that packing looks at are counted and dealt out COPIES at a time, so bins do not depend on the table's partitions.
+    counted = sized.groupBy(*sized.columns).count()
+    blocks = counted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(count - 1) div {COPIES}"))))
+    blocks = blocks.withColumn("copies", F.least(F.lit(COPIES), F.col("count") - F.col("salt") * COPIES)).drop("count")
     groups = max(1, -(-docs.select("doc_id").count() // group_rows))
-    dealt = sized.withColumn("packing_group", F.pmod(F.xxhash64("doc_id", "cluster_key", "salt"), F.lit(groups)))
+    dealt = blocks.withColumn("packing_group", F.pmod(F.xxhash64("doc_id", "cluster_key", "salt"), F.lit(groups)))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "cluster_key", "salt"], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["doc_id", "cluster_key", "source_key", "words", "salt"], kind="stable")
+        rows = rows.loc[rows.index.repeat(rows["copies"])].reset_index(drop=True)
         words = rows["words"].to_numpy(np.int64)
         pieces = np.maximum(1, -(-words // capacity))
         owner = np.repeat(np.arange(len(rows)), pieces)

@@ -28,9 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nbgauge.llm.common import fresh, quoted, written
 from nbgauge.session import cut_lineage
 
-BITS, BUDGET, TOP_BITS = 64, 3, 16
+SHINGLE, BITS, BUDGET, TOP_BITS = 3, 64, 3, 16
 ROTATIONS = BITS // TOP_BITS
 #: Most fingerprints of a node before it is cut into subtree pairs.
 NODE_ROWS = 4_000
@@ -39,7 +40,7 @@ TASK_ROWS = 20_000
 _TABLE = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
 
 
-def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
+def fingerprint(text: str | None, size: int = SHINGLE, seed: int = 42) -> int:
     """64 bits, each set if it is set in over half the hashes of the word shingles."""
     words = (text or "").encode().lower().split()
     if not words:
@@ -54,12 +55,12 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(set_bits * 2 > last).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id and fingerprint (as a signed long) of every document. Map-only."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(t.as_py()) for t in batch.column(1)]
+            values = [fingerprint(t.as_py(), size) for t in batch.column(1)]
             signed = np.array(values, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed)], names=["doc_id", "fingerprint"])
 
@@ -173,17 +174,19 @@ def _rotated(rotation: int) -> F.Column:
     return F.shiftleft(value, turn).bitwiseOR(F.shiftrightunsigned(value, BITS - turn))
 
 
-def node_links(values: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
+def node_links(values: np.ndarray, nodes: np.ndarray, budget: int = BUDGET) -> list[tuple[int, int]]:
     """Links within each of several nodes."""
     order = np.argsort(nodes, kind="stable")
     values, nodes = values[order], nodes[order]
     cuts = np.flatnonzero(np.diff(nodes, prepend=-1))
     ends = np.append(cuts[1:], len(nodes))
-    return [link for a, b in zip(cuts.tolist(), ends.tolist()) if b - a > 1 for link in trie_links(values[a:b])]
+    return [link for a, b in zip(cuts.tolist(), ends.tolist()) if b - a > 1 for link in trie_links(values[a:b], budget=budget)]
 
 
-def links_between(distinct: DataFrame, node_rows: int = NODE_ROWS, max_cut: int = 10) -> DataFrame:
+def links_between(distinct: DataFrame, node_rows: int = NODE_ROWS, max_cut: int = 10, budget: int = BUDGET) -> DataFrame:
     """Spanning links (a, b) of distinct fingerprints, in several forests that together connect all that is linked."""
+    if not 0 <= budget < ROTATIONS:
+        raise ValueError(f"with {ROTATIONS} rotations a pair within {ROTATIONS - 1} bits shares a node, not one within {budget}")
     turned = distinct.select(
         F.explode(F.array(*[F.struct(F.lit(r).alias("rotation"), _rotated(r).alias("value")) for r in range(ROTATIONS)])).alias("t")
     ).select("t.rotation", "t.value", F.shiftrightunsigned("t.value", BITS - TOP_BITS).cast("int").alias("node"))
@@ -198,7 +201,7 @@ def links_between(distinct: DataFrame, node_rows: int = NODE_ROWS, max_cut: int
     below = F.shiftrightunsigned(F.shiftleft("value", TOP_BITS), BITS - max_cut).cast("int")
     subtree = F.when(F.col("cut") == 0, F.lit(0)).otherwise(F.expr(f"shiftright({{below}}, {max_cut} - cut)".format(below="_below")))
     placed = placed.withColumn("_below", below).withColumn("subtree", subtree)
-    others = F.filter(F.sequence(F.lit(0), F.expr("shiftleft(1, cut) - 1")), lambda y: F.bit_count(y.bitwiseXOR(F.col("subtree"))) <= BUDGET)
+    others = F.filter(F.sequence(F.lit(0), F.expr("shiftleft(1, cut) - 1")), lambda y: F.bit_count(y.bitwiseXOR(F.col("subtree"))) <= budget)
     placed = placed.withColumn("other", F.explode(others))
     # Nodes that are not cut share tasks with their neighbours.
     wanted = max(1, distinct.count() // TASK_ROWS)
@@ -213,10 +216,10 @@ def links_between(distinct: DataFrame, node_rows: int = NODE_ROWS, max_cut: int
         rotation, _, _, low, high = (k.as_py() for k in key)
         values = rows["value"].to_numpy().view(np.uint64)
         if low == high:
-            found = node_links(values, rows["node"].to_numpy())
+            found = node_links(values, rows["node"].to_numpy(), budget)
         else:
             is_low = rows["is_low"].to_numpy(zero_copy_only=False).astype(bool)
-            found = trie_links(values[is_low], values[~is_low])
+            found = trie_links(values[is_low], values[~is_low], budget)
         pairs = np.array(found, dtype=np.uint64).reshape(-1, 2)
         turn = TOP_BITS * rotation
         if turn:
@@ -230,9 +233,9 @@ def links_between(distinct: DataFrame, node_rows: int = NODE_ROWS, max_cut: int
 def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) for all nodes of the links.
 
-    Each step joins nothing: it groups links by a node and reconnects its
-    neighbours to the smallest.  Neighbour lists are not collected; the minimum
-    per node is aggregated and joined back, so a star of any size is fine.
+    Each step reconnects the neighbours of a node to the smallest of them.
+    Neighbour lists are not collected: the minimum per node is aggregated and joined
+    back, a join whose large groups Spark splits, so a star of any size is fine.
     """
     def stars(edges: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -261,14 +264,33 @@ def components(links: DataFrame) -> DataFrame:
     return nodes.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
-    """doc_id, fingerprint (long) and component_id of every document."""
-    marked = cut_lineage(fingerprints(docs))
+def near_duplicates(docs: DataFrame, node_rows: int = NODE_ROWS, size: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+    """doc_id, fingerprint (long) and component_id of every document, from shingles of ``size`` words and at most ``budget`` differing bits."""
+    marked = cut_lineage(fingerprints(docs, size))
     distinct = cut_lineage(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("smallest")))
-    found = components(links_between(distinct.select("fingerprint"), node_rows))
+    found = components(links_between(distinct.select("fingerprint"), node_rows, budget=budget))
     placed = distinct.join(found, distinct["fingerprint"] == found["node"], "left").select(
         "fingerprint", "smallest", F.coalesce("component", "fingerprint").alias("component")
     )
     classes = placed.groupBy("component").agg(F.min("smallest").alias("component_id"))
     labelled = placed.join(classes, "component").select("fingerprint", "component_id")
     return marked.join(labelled, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def one_per_group(docs: DataFrame, size: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+    """Of each group of near duplicates the row with the smallest id, no id last; equal ids by a hash of the row.
+
+    Rows are told apart by a number that they get when they are written, not by id:
+    rows with one id or none and different texts are different documents.  Texts are
+    fingerprinted where they are read and moved once, with the rows.
+    """
+    number, mark = fresh(docs, "_number", "_mark")
+    hashed = [quoted(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = written(docs.withColumns({mark: F.xxhash64(*hashed), number: F.monotonically_increasing_id()}), "numbered")
+    named = rows.select(quoted(number).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    groups = near_duplicates(named, size=size, budget=budget).select(F.col("doc_id").alias("number"), F.col("component_id").alias("group"))
+    ids = rows.select(quoted(number).alias("number"), quoted("doc_id").alias("id"), quoted(mark).alias("mark"))
+    first = ids.join(groups, "number").groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "mark", "number")).alias("r"))
+    keep = first.select(F.col("r.number").alias(number))
+    # Only the numbers of the kept rows are hashed; rows with their texts need no sorting.
+    return rows.join(keep.hint("shuffle_hash"), number, "left_semi").drop(number, mark)

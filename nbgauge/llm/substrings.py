@@ -46,6 +46,7 @@ WINDOW, ANCHOR = 20, 6
 HOT_BLOCKS = 32
 #: Words of an automaton before the next anchor starts another.
 SHARD_WORDS = 200_000
+CONTEXT_WINDOWS = 63
 _FIRST_ID = np.iinfo(np.int64).min
 _PLACED = "block long, doc int, start int, seen long"
 
@@ -230,8 +231,10 @@ def _block_contexts(window: int, size: int, shards: int):
                         text = b" ".join(words[start : start + window])
                         texts.setdefault((xxhash.xxh64_intdigest(text), text), []).append((number, start))
                 else:
-                    text = b" ".join(words[a : b + window])
-                    texts.setdefault((int(hashes[i]), text), []).append((number, a))
+                    # What is found is kept in the bits of a long, so a context has at most that many windows.
+                    for start in range(a, b + 1, CONTEXT_WINDOWS):
+                        text = b" ".join(words[start : min(b, start + CONTEXT_WINDOWS - 1) + window])
+                        texts.setdefault((int(hashes[i]), text), []).append((number, start))
         by_shard: dict[int, list] = {}
         for (anchor, text), places in texts.items():
             by_shard.setdefault(anchor % shards, []).append((anchor, text, places))
@@ -340,8 +343,8 @@ def _kept_text(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join(parts).decode()
 
 
-def _rewrite(columns: list[str], window: int):
-    """The rows of a block with what was removed."""
+def _rewrite(columns: list[str], window: int, keep_text: bool):
+    """The rows of a block with what was removed; texts only if they are wanted."""
 
     def rewrite(key: tuple, documents: pa.Table, found: pa.Table) -> pa.Table:
         block = _Block(documents)
@@ -358,11 +361,14 @@ def _rewrite(columns: list[str], window: int):
             digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             spans.append([{"first": a, "last": b} for a, b in _spans(flags)])
         rows = documents.take(pa.array(block.order))
-        out = {c: rows[f"c{i}"] if c != "text" else rows["text"] for i, c in enumerate(columns)}
-        names = [f"c{i}" for i in range(len(columns))] + ["n_words", "n_removed", "kept_sha256", "spans", "kept"]
-        kept_texts = [t if not s else _kept_text(t, [(x["first"], x["last"]) for x in s]) for t, s in zip(rows["text"].to_pylist(), spans)]
+        out = {f"c{i}": rows[f"c{i}"] if c != "text" else rows["text"] for i, c in enumerate(columns) if keep_text or c != "text"}
+        names = [*out, "n_words", "n_removed", "kept_sha256", "spans"]
         arrays = [*out.values(), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()),
-                  pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(kept_texts, pa.string())]
+                  pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))]
+        if keep_text:
+            names.append("kept")
+            kept_texts = [t if not s else _kept_text(t, [(x["first"], x["last"]) for x in s]) for t, s in zip(rows["text"].to_pylist(), spans)]
+            arrays.append(pa.array(kept_texts, pa.string()))
         return pa.Table.from_arrays(arrays, names=names)
 
     return rewrite
@@ -378,8 +384,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block_rows: int = 500,
 
     n_words, n_removed, kept_sha256 (of the kept words joined by one space),
     removed_spans (first word, word after the last) and kept_text.  Names that
-    ``docs`` has already get an underscore.
+    ``docs`` has already get an underscore.  Without ``keep_text`` neither kept_text
+    nor the text itself comes back.
     """
+    if window < 1:
+        raise ValueError("a window has at least one word")
     size = min(ANCHOR, window)
     rows = docs.select("doc_id").count()
     blocks = max(1, -(-rows // block_rows))
@@ -399,9 +408,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block_rows: int = 500,
         _block_contexts(window, size, shards), "shard long, block long, texts binary, heads binary, places binary"
     )
     found = contexts.groupBy("shard").applyInArrow(_match_shard(window), _PLACED)
-    kinds = [f"c{i} {docs.schema[c].dataType.simpleString() if c != 'text' else 'string'}" for i, c in enumerate(columns)]
-    new = "n_words long, n_removed long, kept_sha256 string, spans array<struct<first int, last int>>, kept string"
-    out = grouped.cogroup(found.groupBy("block")).applyInArrow(_rewrite(columns, window), ", ".join([*kinds, new]))
+    back = [(i, c) for i, c in enumerate(columns) if keep_text or c != "text"]
+    kinds = [f"c{i} {docs.schema[c].dataType.simpleString() if c != 'text' else 'string'}" for i, c in back]
+    new = "n_words long, n_removed long, kept_sha256 string, spans array<struct<first int, last int>>" + ", kept string" * keep_text
+    out = grouped.cogroup(found.groupBy("block")).applyInArrow(_rewrite(columns, window, keep_text), ", ".join([*kinds, new]))
     names = fresh(docs, "n_words", "n_removed", "kept_sha256", "removed_spans", "kept_text")
-    result = out.toDF(*columns, *names)
-    return result if keep_text else result.drop(names[-1])
+    return out.toDF(*[c for _, c in back], *names[: 4 + keep_text])

@@ -147,13 +147,14 @@ def fit_ordinal(rows, columns, values, grades, n_features: int, steps: int = 300
 
 
 def learn_toxicity(
-    docs: DataFrame, labels: DataFrame, sample: int = 3000, vocabulary: int = 200, least_docs: int = 4, least_gain: float = 20.0
+    docs: DataFrame, labels: DataFrame, sample: int = 3000, least_docs: int = 4, least_gain: float = 20.0
 ) -> SeverityModel:
     """Fit on at most ``sample`` toxic and ``sample`` clean documents outside the held-out fold.
 
-    Features are the ``vocabulary`` words and beginnings of words that tell most
-    about the label (mutual information of the document frequencies), if they tell
-    more than chance would (``least_gain``: twice the nats over the sample); the counting is Spark's, the sparse counts of the sample come to the driver.
+    Features are all words and beginnings of words that tell more about the label
+    than chance would (mutual information of the document frequencies; ``least_gain``
+    is twice the nats over the sample); the counting is Spark's, the sparse counts of
+    the sample come to the driver.
     """
     known = (
         labels.where(F.col("toxic").isin(0, 1) & (fold() != HELD_OUT_FOLD)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -171,14 +172,14 @@ def learn_toxicity(
                 items = sorted(Counter(found).items()) or [(b"", 0)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([doc], pa.int64()), pa.array([toxic], pa.int32()), pa.array([len(found)], pa.int64()),
+                        pa.array([doc], pa.string()), pa.array([toxic], pa.int32()), pa.array([len(found)], pa.int64()),
                         pa.array([[w.decode() for w, _ in items]], pa.list_(pa.string())), pa.array([[c for _, c in items]], pa.list_(pa.int64())),
                     ],
                     names=["doc_id", "toxic", "total", "words", "counts"],
                 )
 
-    counted = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), "text", "toxic")
-    counted = counted.mapInArrow(count, "doc_id long, toxic int, total long, words array<string>, counts array<long>")
+    counted = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("string"), "text", "toxic")
+    counted = counted.mapInArrow(count, "doc_id string, toxic int, total long, words array<string>, counts array<long>")
     counted = cut_lineage(counted.dropDuplicates(["doc_id"]))
     sizes = {r["toxic"]: r["count"] for r in counted.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
@@ -202,7 +203,7 @@ def learn_toxicity(
     )
     p, q = (bad + 0.5) / (n_bad + 1), (fine + 0.5) / (n_fine + 1)
     odds = F.log(p / (1 - p)) - F.log(q / (1 - q))
-    top = frequency.select("name", odds.alias("odds"), tells.alias("tells")).where(F.col("tells") * (2 * n) >= least_gain).orderBy(F.desc("tells"), "name").limit(vocabulary).collect()
+    top = frequency.select("name", odds.alias("odds"), tells.alias("tells")).where(F.col("tells") * (2 * n) >= least_gain).orderBy(F.desc("tells"), "name").collect()
     model = SeverityModel([r["name"] for r in top], np.zeros(2 * len(top)), np.zeros(GRADES - 1))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,8 +217,8 @@ def learn_toxicity(
                 names=["doc_id", "toxic", "total", "ids", "counts"],
             )
 
-    # At most ``vocabulary`` counts of each of the sample's documents.
-    sample_rows = counted.mapInArrow(project, "doc_id long, toxic int, total long, ids array<int>, counts array<long>").orderBy("doc_id").collect()
+    # Counts of the features in the sample's documents.
+    sample_rows = counted.mapInArrow(project, "doc_id string, toxic int, total long, ids array<int>, counts array<long>").orderBy("doc_id").collect()
     cells = [(r, i, c, row["total"]) for r, row in enumerate(sample_rows) for i, c in zip(row["ids"], row["counts"])]
     table = pd.DataFrame(cells, columns=["row", "word", "count", "total"])
     toxic = np.array([r["toxic"] for r in sample_rows])

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from nbgauge.llm import decontaminate, fixity, hilbert, language, packing, quality, shingles, simhash, substrings, topk, toxicity
+from nbgauge.llm import decontaminate, fixity, hilbert, language, packing, quality, simhash, substrings, topk, toxicity
 from tests.llm import brute
 
 SCHEMA = (
@@ -548,22 +548,20 @@ def test_pipeline_of_no_documents(spark, tmp_path, name):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-def plain_groups(texts, size=5, similarity=0.8):
-    sets = []
-    for t in texts:
-        w = brute.words((t or "").lower())
-        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+def plain_groups(texts):
+    """Groups of texts whose fingerprints link within three bits, over all pairs."""
+    marks = [simhash.fingerprint(t) for t in texts]
     parent = list(range(len(texts)))
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if (a == b) or (a and b and len(a & b) / len(a | b) >= similarity):
+    for i, a in enumerate(marks):
+        for j, b in enumerate(marks[:i]):
+            if (a ^ b).bit_count() <= 3:
                 old, new = parent[i], parent[j]
                 parent = [new if p == old else p for p in parent]
     return {frozenset(i for i, p in enumerate(parent) if p == q) for q in set(parent)}
 
 
-def test_pipeline_drops_near_copies_by_shingles(spark, rng, tmp_path):
-    """Groups of similarity 0.8 over five words, as a search over all pairs finds them."""
+def test_pipeline_drops_near_copies_by_fingerprint(spark, rng, tmp_path):
+    """Groups of fingerprints within three bits, as a search over all pairs finds them."""
     texts = [sentence(rng, rng.randrange(1, 130), 2000) for _ in range(20)]
     for base in list(texts):
         for changes in (1, 1, 2, 3):
@@ -571,23 +569,34 @@ def test_pipeline_drops_near_copies_by_shingles(spark, rng, tmp_path):
             for _ in range(changes):
                 words[rng.randrange(len(words))] = f"x{rng.randrange(9999)}"
             texts.append(" ".join(words))
-    long = sentence(rng, 300, 5000).split()
-    texts += [" ".join(long), " ".join([*long[:100], "x", *long[101:200], "y", *long[201:]]), " ".join(long[:240]), "", None, "One two", "one  TWO"]
-    found = shingles.similar_groups(documents(spark, list(enumerate(texts)))).collect()
-    keys = documents(spark, list(enumerate(texts))).select("doc_id", F.xxhash64("text").alias("key")).collect()
-    group = {r["key"]: r["group"] for r in found}
-    got = {}
-    for r in keys:
-        got.setdefault(group[r["key"]], set()).add(r.doc_id)
-    assert {frozenset(g) for g in got.values()} == plain_groups(texts)
+    long = sentence(rng, 3000, 5000).split()
+    texts += [" ".join(long), " ".join([*long[:100], "x", *long[101:200], "y", *long[201:]]), "", None, "One two", "one  TWO"]
     kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, list(enumerate(texts))), str(tmp_path))
+    assert kept.columns == documents(spark, []).columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(min(g) for g in plain_groups(texts))
 
 
+def test_simhash_by_its_parameters(spark, rng):
+    """Other shingle lengths and budgets, against all pairs."""
+    texts = [sentence(rng, 30, 300) for _ in range(30)]
+    texts += [" ".join([*t.split()[:-1], "z"]) for t in texts]
+    for size, budget in ((1, 0), (2, 1), (5, 2)):
+        marks = [simhash.fingerprint(t, size) for t in texts]
+        found = simhash.near_duplicates(documents(spark, list(enumerate(texts))), size=size, budget=budget).collect()
+        assert all(r.fingerprint % (1 << 64) == marks[r.doc_id] for r in found)
+        group = {r.doc_id: r.component_id for r in found}
+        linked = [(i, j) for i in range(len(texts)) for j in range(i) if (marks[i] ^ marks[j]).bit_count() <= budget]
+        assert all(group[i] == group[j] for i, j in linked)
+        assert len(set(group.values())) >= len(texts) - len(linked)
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(documents(spark, [(1, "a")]), budget=4)
+
+
 def test_pipeline_keeps_rows_by_text_not_by_id(spark, rng, tmp_path):
     """Different texts without an id, or with one id, are different documents; what stays does not depend on the run."""
     texts = [sentence(rng, 40, 3000) for _ in range(12)]
     rows = [(None, t) for t in texts[:6]] + [(3, texts[6]), (7, texts[7]), (7, texts[6]), (8, texts[8]), (8, texts[8]), (None, texts[7])]
+    assert len(plain_groups(texts)) == len(texts)
     docs = documents(spark, rows)
     other = docs.where("doc_id = 8").withColumn("source", F.lit("elsewhere"))
     kept = [
@@ -611,3 +620,76 @@ def test_text_without_spaces_counts_whole(spark):
     assert [(s.start, s.end, s.lang) for s in found[1].spans] == [(0, 1, "el"), (0, 1, "en")]
     assert found[2].lang_pred == "el" and [(s.start, s.end, s.lang) for s in found[2].spans] == [(0, 1, "en"), (1, 2, "el")]
     assert (found[3].lang_pred, found[3].score) == ("en", 1.0)
+
+
+def test_more_languages_than_a_full_table_holds(spark, rng):
+    """Every language is learned; the sparse table scores as the full one does."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{i:03d}": ["".join(rng.choice(letters) for _ in range(6)) for _ in range(8)] for i in range(300)}
+    # The last language has the fewest rows.
+    rows = [(i * 4 + k, " ".join(rng.choices(words[lang], k=12)), lang) for i, lang in enumerate(sorted(words)) for k in range(4 if lang != "l299" else 3)]
+    rows = [(next(j for j in range(10 * i, 10 * i + 10) if zlib.crc32(str(j).encode()) % 3 != 1), t, lang) for i, (_, t, lang) in enumerate(rows)]
+    model = language.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 300 and model.logs.full is None
+    asked = [(i, " ".join(rng.choices(words[lang], k=12)), None) for i, lang in enumerate(sorted(words))]
+    found = language.predict_languages(spark.createDataFrame(asked, "doc_id long, text string, lang string"), model).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id:03d}" for r in found) >= 295
+    assert next(r for r in found if r.doc_id == 299).lang_pred == "l299"
+    counts = [(i, np.unique(np.array([rng.randrange(language.BUCKETS) for _ in range(50)])), None) for i in range(130)]
+    counts = [(i, b, np.arange(1, len(b) + 1)) for i, b, _ in counts]
+    sparse = language.GramLogs.of(counts, 130)
+    language.GramLogs.FULL, before = 130, language.GramLogs.FULL
+    try:
+        full = language.GramLogs.of(counts, 130)
+    finally:
+        language.GramLogs.FULL = before
+    buckets = np.array([rng.randrange(language.BUCKETS) for _ in range(200)] + [int(b) for _, bs, _ in counts[:20] for b in bs])
+    owner = np.sort(np.array([rng.randrange(40) for _ in buckets]))
+    assert full.full is not None and np.allclose(sparse.totals(buckets, owner, 40), full.totals(buckets, owner, 40), atol=1e-3)
+
+
+def test_texts_with_a_common_beginning_fill_all_cells(spark, rng):
+    """Thirty equal bytes in front do not put a dimension into one cell."""
+    rows = [(i, sentence(rng, 3)) for i in range(600)]
+    sources = {i: f"https://www.example.org/a/very/common/path/{rng.randrange(400):04d}" for i, _ in rows}
+    placed = hilbert.hilbert_shards(documents(spark, rows, source=sources), dimensions=("source", "n_chars"), shards=16, bits=4)
+    sizes = [r["count"] for r in placed.groupBy("cell_0").count().collect()]
+    assert len(sizes) == 15 and max(sizes) <= 60
+    # A value that fills most rows has its cell, the others still spread over theirs.
+    sources = {i: "same" if i % 3 else s for i, s in sources.items()}
+    placed = hilbert.hilbert_shards(documents(spark, rows, source=sources), dimensions=("source", "n_chars"), shards=16, bits=4)
+    assert placed.select("cell_0").distinct().count() >= 5
+    where = placed.join(documents(spark, rows, source=sources).select("doc_id", "source"), "doc_id")
+    ranges = hilbert.zone_map(where, ["source"]).collect()
+    assert sum(r.source_min <= "https://www.example.org/a/very/common/path/0003" <= r.source_max for r in ranges) < len(ranges)
+
+
+def test_walls_from_a_part_of_many_texts(spark, monkeypatch):
+    monkeypatch.setattr(hilbert, "WALL_VALUES", 300)
+    df = spark.range(3000).select(F.concat(F.lit("common beginning "), F.lpad(F.col("id").cast("string"), 6, "0")).alias("v"))
+    df = df.union(spark.range(1500).select(F.lit("common beginning 0").alias("v")))
+    walls = hilbert.text_walls(df, F.col("v"), 14)
+    assert walls == sorted(walls) and walls[:4] == ["common beginning 0"] * 4 and len(set(walls)) >= 9
+
+
+@pytest.mark.parametrize("window", [1, 2, 6, 40, 68, 69, 100, 200])
+def test_windows_of_any_length(spark, rng, window):
+    words = [f"w{rng.randrange(6)}" for _ in range(230)]
+    passage = sentence(rng, 210, 3000)
+    rows = [(1, " ".join(words)), (2, " ".join(words[5:] + words[:40])), (3, passage), (4, f"x {passage} y"), (5, sentence(rng, 50, 3) + " " + passage), (6, "")]
+    _, got = removed(spark, rows, window=window)
+    assert got == [(d, n, r, h) for d, n, r, h in brute.repeats(rows, window)]
+
+
+def test_removal_without_texts(spark):
+    found = substrings.remove_repeats(documents(spark, [(1, "a b c")]), keep_text=False)
+    assert "text" not in found.columns and "kept_text_" not in found.columns and found.count() == 1
+
+
+def test_bins_do_not_depend_on_partitions(spark, rng):
+    rows = [(i if i % 10 else None, sentence(rng, rng.randrange(1, 60), 50)) for i in range(200)] + [(7, "same row again")] * 50
+    docs = documents(spark, rows)
+    bins = [
+        sorted(map(repr, packing.best_fit(d, capacity=100, group_rows=40).collect())) for d in (docs, docs.repartition(5), docs.orderBy(F.desc("doc_id")))
+    ]
+    assert bins[0] == bins[1] == bins[2] and len(bins[0]) == len(rows)
