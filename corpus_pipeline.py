@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nbgauge.llm import decontaminate, language, packing, shingles, substrings
+from nbgauge.llm import decontaminate, language, packing, simhash, substrings
 from nbgauge.llm.common import fresh, table
 from nbgauge.session import shared_dir
 
@@ -22,8 +22,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the one with the smallest id."""
-    return shingles.one_per_group(docs, size=5, similarity=0.8)
+    """One document of each group of near copies, the one with the smallest id: fingerprints of three-word shingles that differ in three bits at most."""
+    return simhash.one_per_group(docs, size=3, budget=3)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
