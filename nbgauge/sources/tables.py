@@ -8,22 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nbgauge import schemas
+from nbgauge.sources.records import csv_records
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: str | None = None, null_words: Sequence[str] = ()
+    spark: SparkSession, path: str, schema: str | None = None, null_words: Sequence[str] = (), whole_files: bool = False
 ) -> DataFrame:
     """CSV with a header, quoted line breaks and doubled quotes.
 
     Without a schema all columns are text, to be cast by the cleaning steps.
     With one, its columns are taken by their names, in whatever order the file
     has them; values that do not fit become NULL, a missing column is an error.
-    A file with quoted line breaks is one task; use ``csv_to_parquet`` once and
-    read the Parquet table from then on.  ``null_words`` are whole fields read
-    as NULL.
+    ``null_words`` are whole fields read as NULL.
+
+    A file is read by as many tasks as it has splits, three times over; records end
+    with a line feed, with or without a carriage return.  ``whole_files`` reads each
+    file in one task instead, and also takes carriage returns alone.
     """
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    # Of the first file only the head is read here.
     rows = reader.csv(path)
+    names = rows.columns
+    if not whole_files and names:
+        fields = ", ".join(f"c{i} STRING" for i in range(len(names)))
+        parsed = F.from_csv("record", fields, {"escape": '"', "multiLine": "true"})
+        rows = csv_records(spark, path).select(parsed.alias("r")).select(*[F.col(f"r.c{i}").alias(name) for i, name in enumerate(names)])
     if schema:
         wanted = spark.createDataFrame([], schema).schema
         rows = rows.select(*[F.col(f"`{c.name}`").try_cast(c.dataType).alias(c.name) for c in wanted])

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -7,7 +8,8 @@ from nbgauge import schemas
 from nbgauge.plans.cells import run_code_metrics, run_markdown_metrics
 from nbgauge.plans.notebooks import metrics_of_notebooks
 from nbgauge.sources import notebooks as nb
-from nbgauge.sources import tables
+from nbgauge.sources import records, tables
+from nbgauge.sources.tables import read_csv
 
 GOOD = {
     "cells": [
@@ -113,3 +115,63 @@ def test_csv_columns_by_name(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(100, 7, "a, b"), (101, None, None)]
     with pytest.raises(PySparkException):
         tables.read_csv(spark, str(tmp_path / "moved.csv"), "kernel_id BIGINT, absent STRING")
+
+
+# -- records over splits --------------------------------------------------------
+
+FIELDS = ["plain", "", '""', '"a, b"', '"line\nbreak"', '"win\r\nbreak"', '"say ""hi"" twice"', '"\n"', '"""\n"""', '",\n,"', 'stray"quote', '"x\n\ny"', "\u00e9\u4e16", '" "', '""""']
+
+
+def quoted_file(rng, rows, end="\n"):
+    return "a,b,c" + end + "".join(",".join(rng.choice(FIELDS) for _ in range(3)) + end for _ in range(rows))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("size", [7, 16, 33, 100, 1000, 100_000])
+def test_records_at_every_split_place(spark, tmp_path, size, end):
+    """Splits of a few bytes, so that all kinds of places are cut; two files of several."""
+    rng = random.Random(size)
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    for i in range(2):
+        (folder / f"{i}.csv").write_bytes(quoted_file(rng, 40 if size < 30 else 150, end).encode())
+    whole = read_csv(spark, str(folder), whole_files=True).collect()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        lines = records.text_lines(spark, str(folder))
+        assert size > 1000 or lines.rdd.getNumPartitions() > 4
+        found = read_csv(spark, str(folder)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert sorted(map(repr, found)) == sorted(map(repr, whole)) and len(found) > 60
+
+
+def test_record_longer_than_many_splits(spark, tmp_path):
+    text = '"' + "line\n" * 500 + '"'
+    (tmp_path / "long.csv").write_text(f'"a\nb",c\n1,{text}\n2,"x"\n{text},4\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 64)
+    try:
+        rows = read_csv(spark, str(tmp_path / "long.csv"))
+        found = {(r[0], r[1]) for r in rows.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows.columns == ["a\nb", "c"] and found == {("1", "line\n" * 500), ("2", "x"), ("line\n" * 500, "4")}
+
+
+def test_records_of_odd_files(spark, tmp_path):
+    for i, text in enumerate(["a,b\n", "a,b", "a,b\n1,2", "a,b\n\n\n1,2\n\n", 'a,b\n1,"open\nto the end', "a,b\n1\n1,2,3\n"]):
+        path = tmp_path / f"{i}.csv"
+        path.write_text(text)
+        same = [sorted(map(repr, read_csv(spark, str(path), whole_files=w).collect())) for w in (True, False)]
+        assert same[0] == same[1], text
+
+
+@pytest.mark.parametrize("line,inside,end", [
+    ("a,b", False, False), ("a,b", True, True), ('a,"b', False, True), ('a,"b"', False, False), ('b",c', True, False), ('b"",c', True, True),
+    ('b""",c', True, False), ('a"b,c', False, False), ('"a""', False, True), ('""', False, False), ('"', False, True), ('"', True, False), ('"x"y,"', False, True),
+])
+def test_where_a_line_ends(line, inside, end):
+    assert records.ends_inside(line, inside) == end
