@@ -9,8 +9,9 @@ from nbgauge import schemas
 from nbgauge.operators.cleaning import METRICS_FILTERS, SCORES_FILTERS
 from nbgauge.operators.learning import CLASSIFIERS
 from nbgauge.operators.registry import ModelRegistry
-from nbgauge.plans.cells import popularity_table, run_code_metrics, run_markdown_metrics
+from nbgauge.plans.cells import run_code_metrics, run_markdown_metrics
 from nbgauge.plans.notebooks import metrics_of_notebooks, notebook_metrics
+from nbgauge.plans.popularity import updated_popularity
 from nbgauge.plans.training import score_notebooks, train_job
 from nbgauge.session import build_session
 from nbgauge.sources import notebooks as nb
@@ -56,7 +57,7 @@ def train_model(spark, args):
 
 
 def file_metrics(spark, args):
-    popularity = popularity_table(spark, tables.read_code_cells(spark, args.cells), args.popularity)
+    popularity = updated_popularity(spark, tables.read_code_cells(spark, args.cells), args.popularity)
     return metrics_of_notebooks(nb.parse_notebooks(nb.read_notebook_files(spark, args.notebooks)), popularity)
 
 

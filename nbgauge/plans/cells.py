@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
-from hashlib import blake2b
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +13,7 @@ from nbgauge.functions import markdown as M
 from nbgauge.functions.complexity import cyclomatic_complexity
 from nbgauge.functions.text import or_empty
 from nbgauge.operators.popularity import api_popularity, with_import_score, with_imports
+from nbgauge.plans.popularity import updated_popularity
 from nbgauge.sources.tables import limit_cells
 
 
@@ -114,26 +113,6 @@ def mixed_cell_metrics(cells: DataFrame, popularity: DataFrame) -> DataFrame:
     return metrics.select(*[c for c in metrics.columns if c != "note"], *_markdown_columns(F.col("note")))
 
 
-def popularity_table(spark: SparkSession, code_cells: DataFrame, path: str, refresh: bool = False, **options):
-    """The popularity table saved under ``path``; made anew for another corpus, baseline or import mode.
-
-    Beside the table lies a digest of the corpus' files and of the options.
-    """
-    made_from = json.dumps([sorted(code_cells.inputFiles()), sorted(code_cells.dtypes), sorted(options.items())])
-    digest, note = blake2b(made_from.encode(), digest_size=16).hexdigest(), f"{path.rstrip('/')}-made-from"
-
-    def finished(folder: str) -> bool:
-        target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-        return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-    same = finished(path) and finished(note) and [r.value for r in spark.read.text(note).collect()] == [digest]
-    if refresh or not same:
-        corpus_popularity(code_cells, **options).write.mode("overwrite").parquet(path)
-        # Written last: a table that broke off is made again.
-        spark.createDataFrame([(digest,)], "value string").coalesce(1).write.mode("overwrite").text(note)
-    return spark.read.schema(schemas.API_POPULARITY).parquet(path)
-
-
 def run_code_metrics(
     spark: SparkSession,
     code_cells: DataFrame,
@@ -143,7 +122,7 @@ def run_code_metrics(
     baseline: str = "sklearn",
 ) -> DataFrame:
     """Write the metrics of all code cells; popularity always covers the whole corpus."""
-    popularity = popularity_table(spark, code_cells, popularity_path, baseline=baseline)
+    popularity = updated_popularity(spark, code_cells, popularity_path, baseline)
     metrics = code_cell_metrics(limit_cells(code_cells, limit_rows), popularity)
     metrics.write.mode("overwrite").parquet(metrics_path)
     return spark.read.parquet(metrics_path)

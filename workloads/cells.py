@@ -12,6 +12,7 @@ from nbgauge.functions import code as C
 from nbgauge.operators.notebook import clean_cell_index, drop_repeated_cells
 from nbgauge.operators.popularity import api_counts, join_import_score, with_import_score, with_imports
 from nbgauge.plans.cells import code_cell_metrics, corpus_popularity, markdown_cell_metrics
+from nbgauge.plans.popularity import updated_popularity
 from nbgauge.plans.notebooks import metrics_of_notebooks
 from nbgauge.session import shared_dir
 from nbgauge.sources import notebooks as nb
@@ -91,6 +92,30 @@ def api_popularity(spark, sf_dir):
     return popularity.select("api", F.round("score", 6).alias("score"))
 
 
+def _changed_view(keep: str) -> tuple[str, str]:
+    name, text = sql.view("code_cells")
+    return name, f"SELECT * FROM ({text}) WHERE {keep}"
+
+
+@query(sql.cte(_changed_view("kernel_id % 5 IN (0, 3, 4)"), *sql.POPULARITY[:3]) + "SELECT api, round(score, 6) AS score FROM popularity")
+def popularity_updated(spark, sf_dir):
+    """Popularity over two generations of a corpus: one part stays, one is rewritten, one goes, one is new."""
+    target, cells = work_dir(spark), view(spark, sf_dir, "code_cells")
+
+    def put(part: str, fifth: int) -> None:
+        cells.where(f"kernel_id % 5 = {fifth}").write.mode("overwrite").parquet(f"{target}/{part}")
+
+    def popularity(*parts: str) -> DataFrame:
+        return updated_popularity(spark, spark.read.parquet(*[f"{target}/{p}" for p in parts]), f"{target}/popularity")
+
+    for fifth, part in enumerate(("stays", "changes", "goes")):
+        put(part, fifth)
+    popularity("stays", "changes", "goes")
+    put("changes", 3)
+    put("new", 4)
+    return popularity("stays", "changes", "new").select("api", F.round("score", 6).alias("score"))
+
+
 EAP_ORACLE = sql.cte(sql.view("code_cells"), *sql.POPULARITY) + "SELECT kernel_id, cell_index, round(EAP, 6) AS EAP FROM cell_eap"
 
 
