@@ -1,7 +1,10 @@
 import random
+from datetime import date, datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from nbgauge.operators import ordering
 
@@ -107,3 +110,44 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "KernelId int, score double")
     assert ordering.select_extremes(empty, "score").count() == 0
     assert ordering.with_global_rank(empty, "score").count() == 0
+
+
+KEYS = {
+    "double": [0.0, -0.0, 1.5, -1.5, 1e308, -1e308, 5e-324, float("inf"), float("-inf"), float("nan"), None, 2.0, 2.0 + 2**-51],
+    "string": ["", "a", "a\x00", "a\x00\x00", "ab", "abcdef", "abcdefg", "abcdef\x00", "abcdefghijklm", "é", "zz", "日本", "😀", None, "abcdefghijkl"],
+    "bigint": [0, -1, 1, 2**53, 2**53 + 1, -(2**53) - 1, 2**63 - 1, -(2**63), 2**32, 2**32 - 1, None],
+    "decimal(38,3)": [Decimal("0.001"), Decimal("-0.001"), Decimal(10**34), Decimal(10**34) + Decimal("0.001"), Decimal(10**34) - Decimal("0.001"), None],
+    "date": [date(1969, 12, 31), date(1970, 1, 1), date(2024, 2, 29), None],
+    "timestamp": [datetime(1969, 12, 31, 23, 59, 59, 999999), datetime(2024, 2, 29, 1, 2, 3, 4), datetime(2024, 2, 29, 1, 2, 3, 5), None],
+    "boolean": [True, False, None],
+}
+
+
+@pytest.mark.parametrize("kind", KEYS)
+def test_keys_found_by_counting(spark, monkeypatch, kind):
+    """Every rank, narrowed down to one key, as a sort gives it."""
+    rng = random.Random(kind)
+    rows = [(rng.choice(KEYS[kind]), rng.choice(KEYS["bigint"][:4]), i) for i in range(120)]
+    df = spark.createDataFrame(rows, f"k {kind}, id bigint, n int").repartition(3)
+    cuts = ordering.RankCuts(df, "k", "id")
+    expected = [tuple(r) for r in cuts._keyed.orderBy(*[F.col(c).asc_nulls_last() for c in cuts._keyed.columns]).collect()]
+    monkeypatch.setattr(ordering, "FEW_KEYS", 0)
+    ranks = [1, 2, 17, 60, 61, 119, 120]
+    found = ordering.keys_at_ranks(cuts._keyed, cuts.size, ranks)
+    assert {r: repr(k).replace("-0.0", "0.0") for r, k in found.items()} == {r: repr(expected[r - 1]).replace("-0.0", "0.0") for r in ranks}
+
+
+def test_cuts_move_and_sort_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "FEW_KEYS", 50)
+    rows = spark.range(5000).select(F.col("id").alias("KernelId"), (F.col("id") * 7919 % 1009 / 10).alias("score"))
+    halves = ordering.RankCuts(rows, "score", "KernelId").cut(1000, 3500)
+    plan = halves._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    order = sorted(rows.collect(), key=lambda r: (r.score, r.KernelId))
+    for run, part in enumerate((order[:1000], order[1000:3500], order[3500:])):
+        assert {r.KernelId for r in halves.where(F.col("_run") == run).collect()} == {r.KernelId for r in part}
+
+
+def test_kinds_without_an_order(spark):
+    with pytest.raises(TypeError):
+        ordering.key_words(F.col("x"), ArrayType(IntegerType()), 0)
