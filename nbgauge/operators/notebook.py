@@ -77,7 +77,11 @@ def code_notebook_metrics(cell_metrics: DataFrame, drop_bad_ids: bool = False, m
     most ``min_loc`` lines are left out.
     """
     rows = cell_metrics.where(F.col("kernel_id").isNotNull())
-    grouped = rows.groupBy("kernel_id").agg(*_code_aggregates())
+    return finished_code_metrics(rows.groupBy("kernel_id").agg(*_code_aggregates()), drop_bad_ids, min_loc)
+
+
+def finished_code_metrics(grouped: DataFrame, drop_bad_ids: bool = False, min_loc: int = 1) -> DataFrame:
+    """Clean ids of aggregated notebooks, without those of at most ``min_loc`` lines."""
     return clean_kernel_id(grouped, drop_bad_ids).where(F.col("LOC") > min_loc)
 
 

@@ -7,7 +7,8 @@ from nbgauge import schemas
 from nbgauge.operators import learning
 from nbgauge.operators.popularity import api_popularity, with_imports
 from nbgauge.plans.cells import code_cell_metrics
-from nbgauge.streaming import jobs
+from nbgauge.operators.notebook import code_notebook_metrics
+from nbgauge.streaming import corrections, jobs, partials
 
 
 @pytest.fixture()
@@ -79,3 +80,98 @@ def test_notebooks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/metrics")).count() == 4 == sum(seen)
     assert spark.read.parquet(str(tmp_path / "out/predictions")).count() == 4
     assert spark.read.parquet(str(tmp_path / "out/rejected")).count() == 1
+
+
+# -- partials -------------------------------------------------------------------
+
+
+def rounded(rows):
+    return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows)
+
+
+def test_partials_in_any_order_and_twice(spark, tmp_path, monkeypatch):
+    """Notebooks over many batches, in two orders, the last batch run again: the metrics of all cells at once."""
+    monkeypatch.setattr(partials, "FANOUT", 3)
+    rows = [(str(i % 5) if i % 11 else "x1", i, f"import m{i % 3}\nif a == {i}:\n    b = f(a, {i})" if i % 4 else "x", "display_data", i) for i in range(120)]
+    cells = spark.createDataFrame(rows, schemas.CODE_CELLS)
+    popularity = spark.createDataFrame([("m0", 2.0), ("m1", 0.5)], "api string, score double")
+    expected = rounded(code_notebook_metrics(code_cell_metrics(cells, popularity)).collect())
+    parts = [cells.where(F.col("cell_index") % 11 == k) for k in range(11)]
+    for order in (list(range(11)), [7, 2, 9, 0, 5, 10, 1, 3, 8, 6, 4]):
+        tables = partials.PartialTables(spark, str(tmp_path / f"p{order[0]}"))
+        for batch, k in enumerate(order):
+            for _ in range(2 if batch in (4, 10) else 1):
+                tables.compact(batch)
+                tables.write(partials.code_partials(code_cell_metrics(parts[k], popularity)), batch, batch)
+        found = partials.current_notebook_metrics(spark, tables.folder)
+        assert found.columns == code_notebook_metrics(code_cell_metrics(cells, popularity)).columns
+        assert rounded(found.collect()) == expected
+        assert tables.runs() == [(0, 8), (9, 9), (10, 10)]
+        # A table whose parts were not deleted, or which was not finished, changes nothing.
+        tables.write(partials.code_partials(code_cell_metrics(parts[0], popularity)), 3, 5)
+        (tmp_path / f"p{order[0]}" / "batches=9-10").mkdir()
+        assert tables.runs() == [(0, 8), (9, 9), (10, 10)]
+
+
+def test_stream_of_partials(spark, landed):
+    cells, path, out = landed
+    popularity = api_popularity(with_imports(cells))
+    jobs_ = lambda: partials.stream_code_partials(jobs.read_cell_stream(spark, path, files_per_batch=1), popularity, f"{out}/partials", f"{out}/state9")
+    jobs_().awaitTermination()
+    assert rounded(partials.current_notebook_metrics(spark, f"{out}/partials", min_loc=0).collect()) == rounded(
+        code_notebook_metrics(code_cell_metrics(cells, popularity), min_loc=0).collect()
+    )
+    more = cells.limit(5).withColumns({"cell_index": F.lit(500), "kernel_id": F.lit("7")})
+    more.write.mode("append").parquet(path)
+    jobs_().awaitTermination()
+    both = code_cell_metrics(cells.unionByName(more), popularity)
+    assert rounded(partials.current_notebook_metrics(spark, f"{out}/partials").collect()) == rounded(code_notebook_metrics(both).collect())
+
+
+# -- corrections ----------------------------------------------------------------
+
+DELIVERED = "kernel_id bigint, cell_index int, source string, at timestamp"
+
+
+def deliver(spark, folder, *rows):
+    made = spark.createDataFrame([(k, i, s, 1_700_000_000 + t) for k, i, s, t in rows], "kernel_id bigint, cell_index int, source string, t bigint")
+    made.select("kernel_id", "cell_index", "source", F.timestamp_seconds("t").alias("at")).coalesce(1).write.mode("append").parquet(folder)
+
+
+def changes(spark, out):
+    rows = spark.read.parquet(f"{out}/out").collect()
+    return sorted((r.kernel_id, r.cell_index, r.source, r.change) for r in rows)
+
+
+def test_changed_cells_are_corrected_once(spark, tmp_path):
+    """Repeats, older versions, a change, a change back, two versions in one batch; a restart from the checkpoint."""
+    out = str(tmp_path)
+
+    def run(**options):
+        stream = jobs.read_cell_stream(spark, f"{out}/landed", DELIVERED, files_per_batch=1)
+        corrections.stream_corrections(stream, "at", f"{out}/out", f"{out}/state", **{"keep": "10 days", "delay": "1 hour", **options}).awaitTermination()
+
+    deliver(spark, f"{out}/landed", (1, 1, "a", 100), (1, 2, "b", 100), (1, 2000, "far", 100), (2, 1, "c", 100), (None, 1, "no id", 100))
+    deliver(spark, f"{out}/landed", (1, 1, "a", 150), (1, 2, "older", 50), (2, 1, "d", 200), (2, 1, "e", 300))
+    run()
+    first = [(1, 1, "a", "new"), (1, 2, "b", "new"), (1, 2000, "far", "new"), (2, 1, "c", "new"), (2, 1, "d", "changed"), (2, 1, "e", "changed")]
+    found = [r for r in spark.read.parquet(f"{out}/out").collect()]
+    assert sorted((r.kernel_id, r.cell_index, r.source, r.change) for r in found if r.kernel_id is not None) == first
+    # Known from before the restart: the same, one from before the change, and a change back.
+    deliver(spark, f"{out}/landed", (1, 1, "a", 400), (2, 1, "d", 250), (2, 1, "c", 500), (1, 2, None, 600))
+    run()
+    found = sorted((r.kernel_id, r.cell_index, str(r.source), r.change) for r in spark.read.parquet(f"{out}/out").collect() if r.kernel_id is not None)
+    assert found == sorted([*first, (2, 1, "c", "changed"), (1, 2, "None", "changed")])
+    latest = {(r.kernel_id, r.cell_index): r.source for r in corrections.current_cells(spark, f"{out}/out", "at").collect()}
+    assert latest == {(1, 1): "a", (1, 2): None, (1, 2000): "far", (2, 1): "c", (None, 1): "no id"}
+
+
+def test_versions_are_let_go(spark, tmp_path):
+    """Once the stream is ``keep`` past a cell it is new again; rows behind the watermark are dropped."""
+    out = str(tmp_path)
+    hour = 3600
+    for rows in ([(1, 1, "a", 0), (1, 2, "b", 3 * hour)], [(9, 9, "moves time on", 10 * hour)], [(9, 9, "again", 11 * hour)], [(1, 1, "a", 12 * hour), (1, 2, "late", 2 * hour)]):
+        deliver(spark, f"{out}/landed", *rows)
+        stream = jobs.read_cell_stream(spark, f"{out}/landed", DELIVERED, files_per_batch=1)
+        corrections.stream_corrections(stream, "at", f"{out}/out", f"{out}/state", keep="4 hours", delay="1 hour").awaitTermination()
+    assert [c for c in changes(spark, out) if c[0] == 1] == [(1, 1, "a", "new"), (1, 1, "a", "new"), (1, 2, "b", "new")]

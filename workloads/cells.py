@@ -17,7 +17,7 @@ from nbgauge.plans.notebooks import metrics_of_notebooks
 from nbgauge.session import shared_dir
 from nbgauge.sources import notebooks as nb
 from nbgauge.sources.tables import limit_cells, read_csv, write_metrics_csv
-from nbgauge.streaming import jobs
+from nbgauge.streaming import corrections, jobs
 from workloads import sql
 from workloads.registry import collection
 from workloads.views import source_table, view
@@ -270,6 +270,37 @@ def notebook_file_metrics(spark, sf_dir):
 # -- streams ------------------------------------------------------------------
 
 
+CORRECTED = """WITH cells AS (
+  SELECT doc_id % 50 AS kernel_id, doc_id AS cell_index,
+         CASE WHEN doc_id % 7 = 0 THEN concat(text, chr(10), 'changed = 1') ELSE text END AS source, doc_id % 7 = 0 AS corrected FROM documents)
+SELECT kernel_id, cell_index, corrected, CAST(length(source) - length(replace(source, chr(10), '')) + 1 AS BIGINT) AS lines FROM cells WHERE source IS NOT NULL"""
+
+
+@query(CORRECTED)
+def stream_corrected_cells(spark, sf_dir):
+    """Cells delivered once, again the same, again in an older version, and again changed; started anew from its checkpoint for the last."""
+    target = work_dir(spark)
+    cells = source_table(spark, sf_dir, "documents").where("text IS NOT NULL").select(
+        (F.col("doc_id") % 50).alias("kernel_id"), F.col("doc_id").cast("int").alias("cell_index"), F.col("text").alias("source"),
+        F.timestamp_seconds(F.col("doc_id") % 1000 + 1_700_000_000).alias("at"),
+    )
+    later, earlier = F.col("at") + F.expr("INTERVAL 30 MINUTES"), F.col("at") - F.expr("INTERVAL 5 MINUTES")
+    changed = cells.where("cell_index % 7 = 0").withColumns({"source": F.concat("source", F.lit("\nchanged = 1")), "at": F.col("at") + F.expr("INTERVAL 60 MINUTES")})
+    deliveries = [
+        [cells, cells.where("cell_index % 3 = 0").withColumn("at", later).unionByName(cells.where("cell_index % 5 = 0").withColumns({"source": F.lit("old"), "at": earlier}))],
+        [changed],
+    ]
+    for runs in deliveries:
+        for rows in runs:
+            rows.coalesce(1).write.mode("append").parquet(f"{target}/landed")
+        stream = jobs.read_cell_stream(spark, f"{target}/landed", cells.schema, files_per_batch=1)
+        corrections.stream_corrections(stream, "at", f"{target}/out", f"{target}/state", keep="30 days", delay="2 hours").awaitTermination()
+    versions = spark.read.parquet(f"{target}/out").groupBy("kernel_id", "cell_index").agg((F.count(F.lit(1)) > 1).alias("corrected"))
+    lines = (F.length("source") - F.length(F.replace("source", F.lit("\n"), F.lit(""))) + 1).cast("bigint")
+    latest = corrections.current_cells(spark, f"{target}/out", "at").select("kernel_id", "cell_index", lines.alias("lines"))
+    return latest.join(versions, ["kernel_id", "cell_index"]).select("kernel_id", F.col("cell_index").cast("bigint").alias("cell_index"), "corrected", "lines")
+
+
 @query(
     sql.cte(sql.view("text_cells"), sql.cell_metrics("text_cells", "LOC", "NBD", "ID", "OPRND"))
     + "SELECT kernel_id, cell_index, LOC, round(NBD, 6) AS NBD, ID, OPRND FROM cell_metrics"

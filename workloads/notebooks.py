@@ -11,7 +11,9 @@ from nbgauge.operators.notebook import code_notebook_metrics, join_notebook_metr
 from nbgauge.operators.texts import assemble_texts, text_pairs
 from nbgauge.plans.cells import code_cell_metrics, corpus_popularity, markdown_cell_metrics
 from nbgauge.plans.notebooks import notebook_metrics
+from nbgauge.streaming import jobs, partials
 from workloads import sql
+from workloads.cells import work_dir
 from workloads.registry import collection
 from workloads.views import source_table, view
 
@@ -50,6 +52,20 @@ def notebook_code_metrics(spark, sf_dir):
     return shown(code_notebook_metrics(code_metrics(spark, sf_dir)), schemas.CODE_NOTEBOOK_METRICS)
 
 
+@query(
+    sql.cte(*sql.NOTEBOOK_METRICS[:-4])
+    + f"SELECT kernel_id, {sql.notebook_columns(schemas.CODE_NOTEBOOK_METRICS)} FROM code_nb"
+)
+def stream_notebook_partials(spark, sf_dir):
+    """The same from a stream of cells in which every notebook arrives over many batches."""
+    target, cells = work_dir(spark), view(spark, sf_dir, "code_cells")
+    popularity = corpus_popularity(cells)
+    cells.repartition(12, "cell_index", "source").write.parquet(f"{target}/landed")
+    landed = jobs.read_cell_stream(spark, f"{target}/landed", cells.schema, files_per_batch=1)
+    partials.stream_code_partials(landed, popularity, f"{target}/partials", f"{target}/state").awaitTermination()
+    return shown(partials.current_notebook_metrics(spark, f"{target}/partials"), schemas.CODE_NOTEBOOK_METRICS)
+
+
 @query(
     sql.cte(*sql.NOTEBOOK_METRICS[-4:-1])
     + f"SELECT kernel_id, {sql.notebook_columns(schemas.MARKDOWN_NOTEBOOK_METRICS)} FROM md_nb"
