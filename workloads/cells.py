@@ -11,12 +11,12 @@ from nbgauge import schemas
 from nbgauge.functions import code as C
 from nbgauge.operators.notebook import clean_cell_index, drop_repeated_cells
 from nbgauge.operators.popularity import api_counts, join_import_score, with_import_score, with_imports
-from nbgauge.plans.cells import code_cell_metrics, corpus_popularity, markdown_cell_metrics
+from nbgauge.plans.cells import code_cell_metrics, corpus_popularity, markdown_cell_metrics, run_code_metrics
 from nbgauge.plans.popularity import updated_popularity
 from nbgauge.plans.notebooks import metrics_of_notebooks
 from nbgauge.session import shared_dir
 from nbgauge.sources import notebooks as nb
-from nbgauge.sources.tables import limit_cells, read_csv, write_metrics_csv
+from nbgauge.sources.tables import limit_cells, read_csv, read_labelled_sheet, read_table, write_metrics_csv, write_table
 from nbgauge.streaming import corrections, jobs
 from workloads import sql
 from workloads.registry import collection
@@ -177,6 +177,45 @@ def csv_round_trip(spark, sf_dir):
     return shown(code_cell_metrics(cells), "LOC", "NBD", "ID")
 
 
+@query(
+    sql.cte(sql.view("text_cells"), sql.cell_metrics("text_cells", "LOC", "ID"))
+    + "SELECT kernel_id, cell_index, LOC, ID FROM cell_metrics WHERE kernel_id IN (3, 4)"
+)
+def partitioned_metrics(spark, sf_dir):
+    """Cell metrics written by notebook and read back for two of them."""
+    target = work_dir(spark)
+    write_table(shown(code_cell_metrics(view(spark, sf_dir, "text_cells")), "LOC", "ID"), target, ["kernel_id"])
+    kinds = "kernel_id BIGINT, cell_index BIGINT, LOC BIGINT, ID BIGINT"
+    return read_table(spark, target, kinds, ["kernel_id", "cell_index", "LOC", "ID"]).where("kernel_id IN (3, 4)")
+
+
+@query(sql.cell_query("LOC", "I", "S", "ID", "OPRND"))
+def written_code_metrics(spark, sf_dir):
+    """The whole job: cells from Parquet, popularity, metrics written and read back."""
+    target = work_dir(spark)
+    view(spark, sf_dir, "code_cells").write.parquet(f"{target}/cells")
+    cells = spark.read.parquet(f"{target}/cells")
+    return shown(run_code_metrics(spark, cells, f"{target}/popularity", f"{target}/metrics"), "LOC", "I", "S", "ID", "OPRND")
+
+
+@query(
+    "SELECT doc_id AS Id, CAST(coalesce(CASE WHEN doc_id % 4 <> 0 THEN toxic END, 0) AS INT) AS advertise, CAST(quality AS INT) AS comperenension, "
+    "length(text) AS size FROM documents JOIN labels USING (doc_id)"
+)
+def labelled_sheet_read(spark, sf_dir):
+    """Labelled comments as a CSV sheet, marks missing in every fourth; a missing mark is 0."""
+    target = work_dir(spark)
+    rows = source_table(spark, sf_dir, "documents").join(source_table(spark, sf_dir, "labels"), "doc_id")
+    write_metrics_csv(
+        rows.select(
+            F.col("doc_id").alias("Id"), F.col("text").alias("Text"), F.when(F.col("doc_id") % 4 != 0, F.col("toxic")).alias("advertise"),
+            F.col("quality").alias("comperenension"),
+        ),
+        target,
+    )
+    return read_labelled_sheet(spark, target).select(F.col("Id").cast("bigint").alias("Id"), "advertise", "comperenension", F.length("Text").cast("bigint").alias("size"))
+
+
 # -- notebook files -----------------------------------------------------------
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nbgauge.operators import attribution, importance, learning, textmodel
+from nbgauge.operators import attribution, forest, importance, learning, textmodel
 from nbgauge.operators.cleaning import topic_label
 from nbgauge.operators.ordering import class_counts
-from nbgauge.operators.registry import ModelRegistry
+from nbgauge.operators.registry import ModelRegistry, model_id
 from nbgauge.operators.texts import assemble_texts
 from nbgauge.plans import study, training
 from workloads import sql
@@ -100,15 +100,19 @@ _train_query("train_decision_tree_unbounded", "decision_tree_unbounded")
 _train_query("train_random_forest", "random_forest")
 
 
-@query()
+@query("SELECT 'tree' AS file_name, 'decision_tree' AS classifier, true AS same_id, CAST(5 AS INT) AS features")
 def train_and_register(spark, sf_dir):
-    """A whole training job; the registry rows it leaves."""
+    """A whole training job; the registry rows it leaves, and whether their ids are those of what they say."""
     registry = ModelRegistry(spark, work_dir(spark))
     training.train_job(
         features(spark, sf_dir), scores(spark, sf_dir), registry, "tree", "decision_tree",
         experts=view(spark, sf_dir, "expert_scores"), metrics=["LOC", "ID", "OPRND", "CW", "MC"],
     )
-    return registry.models("decision_tree").select("file_name", "classifier")
+    ((key, info),) = [(r["model_id"], registry.info(r["model_id"])) for r in registry.models("decision_tree").collect()]
+    return registry.models("decision_tree").select(
+        "file_name", "classifier", F.lit(model_id(info) == key).alias("same_id"),
+        F.size(F.from_json(F.get_json_object("info", "$.features"), "array<string>")).alias("features"),
+    )
 
 
 @query()
@@ -139,7 +143,7 @@ def comment_topic_model(spark, sf_dir):
     """Labelled texts to a model, the model to a filter over all texts."""
     texts = source_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("Id"), F.col("text").alias("Text"))
     sheet = texts.join(source_table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "Id"), "Id")
-    model, _ = textmodel.train_topic_model(topic_label(sheet, "toxic"), buckets=1 << 12, max_iter=5)
+    model, _ = textmodel.train_topic_model(topic_label(sheet, "toxic"))
     return textmodel.keep_class(model, texts, wanted=0).select("Id")
 
 
@@ -147,7 +151,7 @@ def comment_topic_model(spark, sf_dir):
 def notebook_text_curve(spark, sf_dir):
     texts = assemble_texts(mixed_cells(spark, sf_dir))
     labelled = texts.select(F.col("kernel_id").alias("KernelId"), "code", "markdown", (F.length("code") > F.length("markdown")).cast("int").alias("label"))
-    return textmodel.learning_curve(labelled, sizes=(50, 100), buckets=1 << 12, max_iter=5)
+    return textmodel.learning_curve(labelled)
 
 
 @query()
@@ -159,8 +163,7 @@ def quality_study(spark, sf_dir):
     )
     tables = study.run_study(
         spark, work_dir(spark), view(spark, sf_dir, "comments"), sheet, view(spark, sf_dir, "code_cells").select("kernel_id"),
-        view(spark, sf_dir, "kernels"), view(spark, sf_dir, "users"), view(spark, sf_dir, "expert_scores"), per_class=50,
-        buckets=1 << 12, max_iter=5,
+        view(spark, sf_dir, "kernels"), view(spark, sf_dir, "users"), view(spark, sf_dir, "expert_scores"),
     )
     return tables["reports"]
 
@@ -193,6 +196,14 @@ _separable_query("separable_boosted_trees_deep", "xg_boost")
 _separable_query("separable_random_forest", "random_forest")
 
 
+@query(LONG)
+def separable_refitted_forest(spark, sf_dir):
+    """The 500 trees that are grown after a search, in the shape it found."""
+    rows = long_notebooks(spark, sf_dir)
+    model = learning.train(rows, forest.Forest(trees=10), ["CC"])
+    return learning.predict(learning.refit_best(model, rows), rows).select("kernel_id", F.col("CC").cast("bigint").alias("CC"), "prediction")
+
+
 def two_level_notebooks(spark, sf_dir) -> DataFrame:
     """A label that takes two questions: many cells, or few cells and long ones.  The second metric is missing where the first decides."""
     rows = features(spark, sf_dir)
