@@ -10,6 +10,9 @@ from tests.oracle import compare, duck
 SF_DIR = "/root/testdata/sf0.001"
 ORACLES = entry.oracle_sql()
 
+#: Queries that find nothing in the smallest tables: no notebook there is broken.
+EMPTY = {"notebook_file_rejects"}
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
 
@@ -22,7 +25,7 @@ def connection():
 @pytest.mark.parametrize("name", [n for n in entry.queries() if n in ORACLES])
 def test_query(spark, connection, name):
     problem = compare(entry.queries()[name](spark, SF_DIR), ORACLES[name], connection)
-    assert problem is None or problem == "no rows", problem
+    assert problem is None or (problem == "no rows" and name in EMPTY), problem
 
 
 def test_entry(spark):
