@@ -10,6 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nbgauge.operators.subwords import SubwordModel
 from nbgauge.operators.trees import TreeModel
 
 logger = logging.getLogger(__name__)
@@ -31,7 +32,7 @@ class ModelRegistry:
         self.spark = spark
         self.folder = folder.rstrip("/")
 
-    def save(self, model: PipelineModel | TreeModel, file_name: str, classifier: str, **info) -> str:
+    def save(self, model: PipelineModel | TreeModel | SubwordModel, file_name: str, classifier: str, **info) -> str:
         """Write the model and its registry row; the id of the model."""
         entry = {"file_name": file_name, "classifier": classifier, **info}
         key = model_id(entry)
@@ -39,6 +40,8 @@ class ModelRegistry:
         path = f"{self.folder}/models/{key}/{file_name}"
         if isinstance(model, TreeModel):
             model.save(path)
+        elif isinstance(model, SubwordModel):
+            model.save(self.spark, path)
         else:
             model.write().overwrite().save(path)
         row = [(key, file_name, classifier, json.dumps(entry, sort_keys=True, default=str))]
@@ -60,7 +63,7 @@ class ModelRegistry:
         row = self.models().where(F.col("model_id") == key).first()
         return json.loads(row["info"]) if row else {}
 
-    def load(self, key: str) -> PipelineModel | TreeModel | None:
+    def load(self, key: str) -> PipelineModel | TreeModel | SubwordModel | None:
         """The model, unless its row does not match its id or its files are gone."""
         info = self.info(key)
         if not info:
@@ -72,4 +75,6 @@ class ModelRegistry:
         if not self._exists(path):
             logger.error("files of model %s are missing: %s", key, path)
             return None
+        if self._exists(f"{path}/subwords"):
+            return SubwordModel.load(self.spark, path)
         return TreeModel.load(self.spark, path) if self._exists(f"{path}/nodes") else PipelineModel.load(path)

@@ -23,15 +23,16 @@ def stage(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def score_comments(
-    comments: DataFrame, sheet: DataFrame, ad_topic: str = "advertise", topic: str = "comperenension", **params
+    comments: DataFrame, sheet: DataFrame, ad_topic: str = "advertise", topic: str = "comperenension",
+    train: Callable = train_text_model, **params
 ) -> tuple[DataFrame, DataFrame]:
     """Comments without advertisements, and the same with ``bert_score`` (0/1) of a topic model.
 
     Both models are trained on the labelled sheet; the topic model on its rows
     that are no advertisements.
     """
-    ad_model = train_text_model(topic_label(sheet, ad_topic), "Text", **params)
-    topic_model = train_text_model(topic_label(sheet, topic, ad_topic), "Text", **params)
+    ad_model = train(topic_label(sheet, ad_topic), "Text", **params)
+    topic_model = train(topic_label(sheet, topic, ad_topic), "Text", **params)
     no_ads = keep_class(ad_model, comments)
     scored = predict_text(topic_model, no_ads, "Text").withColumn("bert_score", F.col("prediction").cast("double"))
     return no_ads, scored.drop("prediction")

@@ -1,10 +1,12 @@
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from nbgauge import schemas
-from nbgauge.operators import forest, importance, learning, textmodel
+from nbgauge.operators import forest, importance, learning, subwords, textmodel
 from nbgauge.operators.registry import ModelRegistry, model_id
 from nbgauge.plans import training
 
@@ -93,3 +95,84 @@ def test_text_models(spark):
     curve = textmodel.learning_curve(texts, texts, sizes=(60, 120), buckets=1 << 10).collect()
     assert [(r["size"], r.test_set) for r in curve] == [(60, "test"), (60, "experts"), (120, "test"), (120, "experts")]
     assert curve[-1].accuracy > 0.9 and curve[-1].f1_1 > 0.9
+
+
+def test_bags_of_subwords():
+    ids, weights = subwords.bag("Loop loop", 1 << 16)
+    assert sorted(ids) == list(ids) and len(ids) == 10 and np.allclose(weights, math.log(3) / math.sqrt(10))
+    for empty in (None, "", " \n…"):
+        assert len(subwords.bag(empty, 64)[0]) == 0
+    # One word of a million letters: no more buckets than there are.
+    ids, _ = subwords.bag("ab" * 500_000, 64)
+    assert len(ids) <= 64
+
+
+def by_hand(bags, labels, learner):
+    """The same training on dense matrices."""
+    x = np.zeros((len(bags), learner.buckets))
+    for i, (ids, weights) in enumerate(bags):
+        x[i, ids] = weights
+    x *= np.log((1 + len(bags)) / (1 + (x > 0).sum(axis=0)))
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    draw = np.random.default_rng(learner.seed)
+    vectors, head, bias = draw.normal(0, 0.1, (learner.buckets, learner.size)), draw.normal(0, learner.size**-0.5, learner.size), 0.0
+    share = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
+    moved = [0.0, 0.0, 0.0]
+    for _ in range(learner.rounds):
+        mean = x @ vectors
+        residual = (1 / (1 + np.exp(-(mean @ head + bias))) - labels) * share
+        slopes = [learner.step * x.T @ np.outer(residual, head), learner.head_step * mean.T @ residual, learner.head_step * learner.step * residual.sum()]
+        moved = [learner.momentum * m - s for m, s in zip(moved, slopes)]
+        vectors, head, bias = vectors + moved[0], head + moved[1], bias + moved[2]
+    return vectors, head, bias
+
+
+def test_subword_training(spark, tmp_path):
+    texts = [("offers cheaply " if i % 3 else "loops iterate ") + f"w{i * 7919 % 100}" for i in range(120)]
+    rows = [(i, t, int(i % 3 > 0)) for i, t in enumerate(texts)]
+    rows += [(200, None, 0), (201, "", 1), (202, "unlabelled", None)]
+    sheet = spark.createDataFrame(rows, "Id int, Text string, label int")
+    learner = subwords.SubwordLearner(buckets=256, size=4, rounds=12)
+    model = learner.fit(sheet, "Text")
+    known = [(subwords.bag(t, 256), label) for _, t, label in rows if label is not None]
+    vectors, head, bias = by_hand([b for b, _ in known], np.array([y for _, y in known]), learner)
+    assert np.allclose(model.vectors, vectors, atol=1e-8) and np.allclose(model.head, head, atol=1e-8) and abs(model.bias - bias) < 1e-8
+    # Other partitions, the same weights to the last bit.
+    again = learner.fit(sheet.repartition(7), "Text")
+    assert (again.vectors == model.vectors).all() and (again.head == model.head).all() and again.bias == model.bias
+    registry = ModelRegistry(spark, str(tmp_path))
+    loaded = registry.load(registry.save(model, "texts", "subwords"))
+    scored = textmodel.predict_text(loaded, sheet, "Text").collect()
+    assert all(r.prediction == r.label for r in scored if r.Id < 200) and len(scored) == 123
+    unseen = spark.createDataFrame([(1, "cheapest offering", 0), (2, None, 0)], "Id int, Text string, prediction int").drop("prediction")
+    found = {r.Id: r for r in loaded.embed(loaded.transform(unseen)).collect()}
+    assert found[1].prediction == 1 and len(found[1].vector) == 4 and found[2].vector == [0.0] * 4
+    assert abs(found[2].score - 1 / (1 + math.exp(-model.bias))) < 1e-9
+
+
+def test_subwords_of_one_class(spark):
+    rows = spark.createDataFrame([("a b", 1), ("c", 1)], "text string, label int")
+    learner = subwords.SubwordLearner(buckets=64, size=2, rounds=2)
+    assert {r.prediction for r in learner.fit(rows).transform(rows).collect()} == {1.0}
+    assert learner.fit(rows.limit(0)).transform(rows).count() == 2
+    with pytest.raises(ValueError):
+        learner.fit(rows.withColumn("label", F.lit(3)))
+
+
+def test_subwords_beat_word_counts(spark):
+    """Texts told by beginnings of words that the test part has in other forms."""
+    draw = random.Random(5)
+    forms = [f"{e}{f}" for e in ("ing", "ed", "er", "s", "able") for f in ("", "ly", "ness")]
+    rows = []
+    for i in range(400):
+        ends = forms[:8] if i < 300 else forms[8:]
+        stem = ("insult", "mock")[i % 4 // 2] if i % 2 else ("explain", "plott")[i % 4 // 2]
+        rows.append((i, " ".join([f"w{draw.randrange(300)}" for _ in range(12)] + [stem + draw.choice(ends)]), i % 2))
+    sheet = spark.createDataFrame(rows, "Id int, Text string, label int")
+    train, test = sheet.where("Id < 300"), sheet.where("Id >= 300")
+
+    def right(model):
+        return textmodel.predict_text(model, test, "Text").where("prediction = label").count()
+
+    learned, counted = right(subwords.train_subword_model(train, "Text")), right(textmodel.train_text_model(train, "Text"))
+    assert learned >= counted + 15, (learned, counted)

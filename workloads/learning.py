@@ -9,6 +9,7 @@ from nbgauge.operators import attribution, forest, importance, learning, textmod
 from nbgauge.operators.cleaning import topic_label
 from nbgauge.operators.ordering import class_counts
 from nbgauge.operators.registry import ModelRegistry, model_id
+from nbgauge.operators.subwords import train_subword_model
 from nbgauge.operators.texts import assemble_texts
 from nbgauge.plans import study, training
 from workloads import sql
@@ -148,10 +149,37 @@ def comment_topic_model(spark, sf_dir):
 
 
 @query()
-def notebook_text_curve(spark, sf_dir):
+def comment_topic_model_subwords(spark, sf_dir):
+    """The same with learned subword vectors."""
+    texts = source_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("Id"), F.col("text").alias("Text"))
+    sheet = texts.join(source_table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "Id"), "Id")
+    model, _ = textmodel.train_topic_model(topic_label(sheet, "toxic"), train=train_subword_model)
+    return textmodel.keep_class(model, texts, wanted=0).select("Id")
+
+
+def labelled_notebooks(spark, sf_dir) -> DataFrame:
     texts = assemble_texts(mixed_cells(spark, sf_dir))
-    labelled = texts.select(F.col("kernel_id").alias("KernelId"), "code", "markdown", (F.length("code") > F.length("markdown")).cast("int").alias("label"))
-    return textmodel.learning_curve(labelled)
+    return texts.select(F.col("kernel_id").alias("KernelId"), "code", "markdown", (F.length("code") > F.length("markdown")).cast("int").alias("label"))
+
+
+@query()
+def notebook_text_curve(spark, sf_dir):
+    return textmodel.learning_curve(labelled_notebooks(spark, sf_dir))
+
+
+@query()
+def notebook_text_curve_subwords(spark, sf_dir):
+    return textmodel.learning_curve(labelled_notebooks(spark, sf_dir), train=train_subword_model)
+
+
+@query("SELECT p_partkey, CAST(p_type = 'ECONOMY' AS INT) AS prediction FROM part")
+def separable_subword_texts(spark, sf_dir):
+    """Texts whose last word decides; the model goes through the registry."""
+    text = F.concat_ws(" ", "p_name", "p_brand", "p_type")
+    rows = source_table(spark, sf_dir, "part").select("p_partkey", text.alias("text"), (F.col("p_type") == "ECONOMY").cast("int").alias("label"))
+    registry = ModelRegistry(spark, work_dir(spark))
+    key = registry.save(train_subword_model(rows), "texts", "subwords")
+    return textmodel.predict_text(registry.load(key), rows).select("p_partkey", "prediction")
 
 
 @query()
