@@ -22,7 +22,7 @@ one stay a table, and the windows of both sides meet in a join by hash.
 Defined results: NULL and empty texts hold nothing.  Items without a window of
 ``least_words`` words besides numbers, names and units match where they stand
 whole, word by word;
-items shorter than a window are looked up whole.  Repeated documents are each
+items shorter than a window are looked up whole.  Long texts are searched whole.  Repeated documents are each
 reported; benchmark rows that repeat an id are each compared and reported once
 per id.  Rows without an item id are left out.
 """

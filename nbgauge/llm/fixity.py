@@ -10,7 +10,7 @@ Groups stay small: a node has at most one child per narrower range, and rows
 that share an offset are first reduced to sums of their hashes.
 
 Defined results: a NULL archive or offset counts as -1; a NULL payload is an
-empty record.  Rows that repeat an offset are compared as one multiset: a copy
+empty record; a long one is hashed whole where it is read.  Rows that repeat an offset are compared as one multiset: a copy
 more or less is a change.  An empty replica makes all of the other's records
 missing or extra.  Columns beyond those named are ignored.
 """

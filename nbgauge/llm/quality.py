@@ -11,7 +11,7 @@ field calls good become good (the worst line stays bad), and it is fitted again.
 
 Defined results: NULL and empty texts are one empty line; with no length to
 weigh by, its plain marginal counts.  With labels of one kind only the score is
-that kind's share.  Repeated rows are scored each; a labelled id that repeats
+that kind's share.  Long texts are scored whole, line by line; one long line is one line.  Repeated rows are scored each; a labelled id that repeats
 in ``documents`` or in ``labels`` teaches once (any bad label makes it bad).
 """
 

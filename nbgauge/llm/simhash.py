@@ -13,7 +13,7 @@ that are one component already are not walked again.  Components over all tasks
 come from alternating large-star and small-star steps on written tables.
 
 Defined results: NULL and empty texts have fingerprint zero; it links like any
-other.  Rows with one id but several texts count as several documents.  A NULL
+other.  Long texts count with all their shingles.  Rows with one id but several texts count as several documents.  A NULL
 id is never the smallest of a component unless all are NULL.  Repeated rows and
 extra columns change nothing; an empty table gives no rows.
 """

@@ -23,7 +23,7 @@ and positions.
 Defined results: words are runs of anything but space, tab and line ends; NULL
 and empty texts have none.  Rows with one id but different texts are ordered by
 a hash of the text; rows equal in both are one document that is listed several
-times.  A NULL id comes before all others.  Texts of fewer words than a window
+times.  Long texts are cut into words whole; a word may be of any length.  A NULL id comes before all others.  Texts of fewer words than a window
 lose nothing.
 """
 

@@ -8,7 +8,8 @@ The expected severity is the sum of P(grade > k).
 
 Defined results: NULL and empty texts have no features and get what the
 thresholds alone say.  With labels of one kind only, P(toxic) is that kind's
-share.  Repeated rows are scored each; an id that repeats teaches once, and is
+share.  Long texts are read whole, a word counts wherever it stands.  Repeated rows are
+scored each; an id that repeats teaches once, and is
 toxic if any of its labels is.
 """
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import xxhash
 
@@ -55,3 +56,40 @@ def near_groups(marks, budget=3):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {i: find(i) for i, _ in marks}
+
+
+def hilbert_index(point, bits):
+    """Index of a point on the Hilbert curve: turn the cells from the top bit down, then read them as a Gray code."""
+    x = list(point)
+    for level in range(bits - 1, 0, -1):
+        bit, low = 1 << level, (1 << level) - 1
+        for i, value in enumerate(x):
+            value = x[i]
+            if value & bit:
+                x[0] ^= low
+            else:
+                swap = (x[0] ^ value) & low
+                x[0] ^= swap
+                x[i] ^= swap
+    index, before = 0, 0
+    for level in range(bits - 1, -1, -1):
+        for value in x:
+            before ^= value >> level & 1
+            index = index << 1 | before
+    return index
+
+
+def template_matches(items, names, text):
+    """(item, kind) of the items that stand in a text whole, as told or with other numbers and names in their slots."""
+    found = []
+    for n, item in enumerate(items):
+        words = item.split()
+        slots = [w for w in words if w.isdigit() or w in names]
+        pattern = r"(?<!\S)" + " ".join(r"(\d+)" if w.isdigit() else r"([A-Z][a-z]+)" if w in names else re.escape(w) for w in words) + r"(?!\S)"
+        matches = [m.groups() for m in re.finditer(pattern, text)]
+        consistent = [m for m in matches if len(set(zip(slots, m))) == len(set(slots))]
+        if tuple(slots) in matches:
+            found.append((n, "verbatim"))
+        elif consistent:
+            found.append((n, "reparameterised"))
+    return found
