@@ -42,7 +42,7 @@ USER_ACHIEVEMENTS = (
 )
 NOTEBOOK_TEXT = "KernelId BIGINT, code STRING, markdown STRING, label INT, score DOUBLE"
 
-# Aggregates of the code cells of a notebook, by aggregate, in table order.
+# Aggregates of the cells of a notebook, by aggregate, with the published names in table order.
 CODE_SUMS = (
     "LOC", "BLC", "UDF", "I", "EH", "NVD", "NEC", "S", "P", "OPRND", "OPRATOR", "UOPRND", "UOPRATOR",
     "ID", "LOCom", "EAP", "CW",

@@ -64,6 +64,7 @@ def next_call(text, i):
 
 
 def import_list(text, strict=True):
+    # Fixed value: the pattern is that of the published metric.
     groups = [m.group(1) for m in re.finditer(r"(?m)^\s*(?:from|import)\s+(\w+(?:\s*,\s*\w+)*)", text)]
     if not strict:
         return [n.strip() for g in groups for n in g.split(",")]
