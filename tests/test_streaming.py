@@ -9,6 +9,7 @@ from nbgauge.operators.popularity import api_popularity, with_imports
 from nbgauge.plans.cells import code_cell_metrics
 from nbgauge.operators.notebook import code_notebook_metrics
 from nbgauge.streaming import corrections, jobs, partials
+from workloads import cells
 
 
 @pytest.fixture()
@@ -175,3 +176,17 @@ def test_versions_are_let_go(spark, tmp_path):
         stream = jobs.read_cell_stream(spark, f"{out}/landed", DELIVERED, files_per_batch=1)
         corrections.stream_corrections(stream, "at", f"{out}/out", f"{out}/state", keep="4 hours", delay="1 hour").awaitTermination()
     assert [c for c in changes(spark, out) if c[0] == 1] == [(1, 1, "a", "new"), (1, 1, "a", "new"), (1, 2, "b", "new")]
+
+
+@pytest.mark.parametrize("files", [0, 3])
+def test_queries_on_a_table_of_one_or_many_files(spark, tmp_path, files):
+    rows = spark.range(30).select(F.col("id").alias("doc_id"), F.lit("x = 1\n").alias("text"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    if files:
+        rows.repartition(files).write.parquet(str(tmp_path / "documents.parquet"))
+    else:
+        next((tmp_path / "one").glob("part-*")).rename(tmp_path / "documents.parquet")
+    (tmp_path / "documents.parquet.old").mkdir()
+    assert cells.stream_cell_metrics(spark, str(tmp_path)).count() == 30
+    found = {r.api: r.score for r in cells.stream_popularity(spark, str(tmp_path)).collect()}
+    assert found == {"sklearn": 1.0, "numpy": 0.5, **{f"m{i}": 0.1 for i in range(5)}}

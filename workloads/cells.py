@@ -20,7 +20,7 @@ from nbgauge.sources.tables import limit_cells, read_csv, read_labelled_sheet, r
 from nbgauge.streaming import corrections, jobs
 from workloads import sql
 from workloads.registry import collection
-from workloads.views import source_table, view
+from workloads.views import source_stream, source_table, view
 
 QUERIES, ORACLES, query = collection()
 
@@ -347,8 +347,7 @@ def stream_corrected_cells(spark, sf_dir):
 def stream_cell_metrics(spark, sf_dir):
     """Documents as a stream of cells, their metrics appended to a table."""
     target = work_dir(spark)
-    schema = source_table(spark, sf_dir, "documents").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    rows = source_stream(spark, sf_dir, "documents")
     cells = rows.select(
         (F.col("doc_id") % 50).alias("kernel_id"), F.col("doc_id").alias("cell_index"), F.col("text").alias("source"),
         F.lit(None).cast("string").alias("output_type"),
@@ -376,8 +375,7 @@ def stream_cell_scores(spark, sf_dir):
 def stream_popularity(spark, sf_dir):
     """Running import counts of a stream, read back as popularity."""
     target = work_dir(spark)
-    schema = source_table(spark, sf_dir, "documents").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    rows = source_stream(spark, sf_dir, "documents")
     last = F.concat(F.lit("from m"), (F.col("doc_id") % 5).cast("string"), F.lit(" import x"))
     source = (
         F.when(F.col("doc_id") % 3 == 0, F.lit("import sklearn, numpy"))

@@ -86,6 +86,12 @@ def source_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def source_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a stream of its files, whether it is one file or a folder of them."""
+    # A pattern that fits this name only: a stream takes a plain path for a folder.
+    return spark.readStream.schema(source_table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One notebook table, planned over the driver's parquet."""
     base, text = VIEWS[name]
