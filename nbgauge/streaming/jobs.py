@@ -13,6 +13,7 @@ from nbgauge.operators.popularity import api_counts, popularity_from_counts, wit
 from nbgauge.plans.cells import code_cell_metrics
 from nbgauge.plans.notebooks import metrics_of_notebooks
 from nbgauge.plans.training import score_notebooks
+from nbgauge.session import cut_lineage
 from nbgauge.sources.notebooks import notebook_rows, parse_notebooks, rejected_notebooks
 
 
@@ -23,6 +24,25 @@ def read_cell_stream(
     return reader.option("pathGlobFilter", glob).parquet(path)
 
 
+#: Cells of a batch that are worth a task of their own.
+SPREAD_ROWS = 10_000
+
+
+def spread(batch: DataFrame, rows: int = SPREAD_ROWS) -> DataFrame:
+    """The rows of a batch of few large files over all cores."""
+    cores = batch.sparkSession.sparkContext.defaultParallelism
+    held = batch.rdd.getNumPartitions()
+    if held >= cores:
+        return batch
+    wanted = min(cores, -(-batch.count() // rows))
+    return batch.repartition(wanted) if wanted > held else batch
+
+
+def settled(popularity: DataFrame | None) -> DataFrame | None:
+    """The popularity worked out once, however many batches look names up in it."""
+    return None if popularity is None else cut_lineage(popularity)
+
+
 def stream_code_metrics(
     cells: DataFrame, popularity: DataFrame | None, target: str, checkpoint: str
 ) -> StreamingQuery:
@@ -30,10 +50,11 @@ def stream_code_metrics(
 
     A batch is an ordinary table, so that a popularity of any size can be joined.
     """
+    known = settled(popularity)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # A batch that is run again writes the same folder again.
-        code_cell_metrics(batch, popularity).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        code_cell_metrics(spread(batch), known).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return (
         cells.writeStream.foreachBatch(write)
@@ -96,11 +117,12 @@ def stream_notebooks(
     A notebook is one row, so each batch is complete in itself.  Tables are
     written per batch and written again if the batch is.
     """
+    known = settled(popularity)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # Read by the metrics and by the rejects.
         parsed = parse_notebooks(batch).persist()
-        metrics = metrics_of_notebooks(parsed, popularity)
+        metrics = metrics_of_notebooks(parsed, known)
         metrics.write.mode("overwrite").parquet(f"{target}/metrics/batch={batch_id}")
         saved = batch.sparkSession.read.parquet(f"{target}/metrics/batch={batch_id}")
         if model is not None:

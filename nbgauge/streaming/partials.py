@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from nbgauge import schemas
 from nbgauge.operators.notebook import finished_code_metrics
 from nbgauge.plans.cells import code_cell_metrics
+from nbgauge.streaming.jobs import settled, spread
 
 #: Tables of a generation before they are added up.
 FANOUT = 8
@@ -104,12 +105,13 @@ class PartialTables:
 
 def stream_code_partials(cells: DataFrame, popularity: DataFrame | None, target: str, checkpoint: str) -> StreamingQuery:
     """Keep the partials of newly landed code cells; a batch that is run again replaces its own table."""
+    known = settled(popularity)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         tables = PartialTables(batch.sparkSession, target)
         tables.compact(batch_id)
-        metrics = code_cell_metrics(batch, popularity)
-        tables.write(code_partials(metrics if popularity is not None else metrics.withColumn("EAP", F.lit(0.0))), batch_id, batch_id)
+        metrics = code_cell_metrics(spread(batch), known)
+        tables.write(code_partials(metrics if known is not None else metrics.withColumn("EAP", F.lit(0.0))), batch_id, batch_id)
 
     return cells.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -190,3 +190,37 @@ def test_queries_on_a_table_of_one_or_many_files(spark, tmp_path, files):
     assert cells.stream_cell_metrics(spark, str(tmp_path)).count() == 30
     found = {r.api: r.score for r in cells.stream_popularity(spark, str(tmp_path)).collect()}
     assert found == {"sklearn": 1.0, "numpy": 0.5, **{f"m{i}": 0.1 for i in range(5)}}
+
+
+def test_popularity_is_worked_out_once(spark, landed):
+    cells, path, out = landed
+    asked = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            asked.add(batch.num_rows)
+            yield batch
+
+    popularity = spark.createDataFrame([("sklearn", 1.0), ("n", 0.5)], schemas.API_POPULARITY).coalesce(1).mapInArrow(counted, schemas.API_POPULARITY)
+    for run in (jobs.stream_code_metrics, partials.stream_code_partials):
+        name = run.__name__
+        run(jobs.read_cell_stream(spark, path, files_per_batch=2), popularity, f"{out}/{name}", f"{out}/{name}-state").awaitTermination()
+    assert asked.value == 2 * 2
+
+
+def test_batches_of_few_files_are_spread(spark):
+    few, many = spark.range(0, 30, 1, 1), spark.range(0, 30, 1, 8)
+    assert jobs.spread(few, rows=10).rdd.getNumPartitions() == 3
+    assert jobs.spread(few, rows=1).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert jobs.spread(few) is few and jobs.spread(many, rows=1) is many
+
+
+def test_deliveries_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cells, "work_dir", lambda spark: str(tmp_path / "work"))
+    rows = spark.range(210).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    rows.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(cells, "source_table", lambda spark, folder, name: rows.repartition(4))
+    found = {r.cell_index: (r.corrected, r.lines) for r in cells.stream_corrected_cells(spark, str(tmp_path)).collect()}
+    assert found == {i: (i % 7 == 0, 1 + (i % 7 == 0)) for i in range(210)}
+    # Four files of cells, eight of repeats and old versions, four of changes.
+    assert len(list((tmp_path / "work/landed").glob("part-*"))) == 16
