@@ -317,7 +317,7 @@ SELECT kernel_id, cell_index, corrected, CAST(length(source) - length(replace(so
 
 @query(CORRECTED)
 def stream_corrected_cells(spark, sf_dir):
-    """Cells delivered once, again the same, again in an older version, and again changed; started anew from its checkpoint for the last."""
+    """Cells delivered once, again the same, again in an older version, and again changed; started anew from its checkpoint for each."""
     target = work_dir(spark)
     cells = source_table(spark, sf_dir, "documents").where("text IS NOT NULL").select(
         (F.col("doc_id") % 50).alias("kernel_id"), F.col("doc_id").cast("int").alias("cell_index"), F.col("text").alias("source"),
@@ -326,13 +326,14 @@ def stream_corrected_cells(spark, sf_dir):
     later, earlier = F.col("at") + F.expr("INTERVAL 30 MINUTES"), F.col("at") - F.expr("INTERVAL 5 MINUTES")
     changed = cells.where("cell_index % 7 = 0").withColumns({"source": F.concat("source", F.lit("\nchanged = 1")), "at": F.col("at") + F.expr("INTERVAL 60 MINUTES")})
     deliveries = [
-        [cells, cells.where("cell_index % 3 = 0").withColumn("at", later).unionByName(cells.where("cell_index % 5 = 0").withColumns({"source": F.lit("old"), "at": earlier}))],
-        [changed],
+        cells,
+        cells.where("cell_index % 3 = 0").withColumn("at", later).unionByName(cells.where("cell_index % 5 = 0").withColumns({"source": F.lit("old"), "at": earlier})),
+        changed,
     ]
-    for runs in deliveries:
-        for rows in runs:
-            rows.coalesce(1).write.mode("append").parquet(f"{target}/landed")
-        stream = jobs.read_cell_stream(spark, f"{target}/landed", cells.schema, files_per_batch=1)
+    # The stream is started anew from its checkpoint for each delivery, however many files that has.
+    for rows in deliveries:
+        rows.write.mode("append").parquet(f"{target}/landed")
+        stream = jobs.read_cell_stream(spark, f"{target}/landed", cells.schema)
         corrections.stream_corrections(stream, "at", f"{target}/out", f"{target}/state", keep="30 days", delay="2 hours").awaitTermination()
     versions = spark.read.parquet(f"{target}/out").groupBy("kernel_id", "cell_index").agg((F.count(F.lit(1)) > 1).alias("corrected"))
     lines = (F.length("source") - F.length(F.replace("source", F.lit("\n"), F.lit(""))) + 1).cast("bigint")
