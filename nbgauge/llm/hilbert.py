@@ -25,7 +25,7 @@ from nbgauge.llm.common import quoted
 from nbgauge.operators.ordering import with_global_rank
 from nbgauge.session import cut_lineage
 
-#: Distinct values of a text from which its walls are taken.
+#: Distinct values of a text that one task sums in order.
 WALL_VALUES = 100_000
 
 
@@ -43,25 +43,30 @@ def sort_value(df: DataFrame, column: str) -> Column:
 def text_walls(df: DataFrame, value: Column, walls: int) -> list[str]:
     """Whole texts that cut the rows into equally full cells.
 
-    Distinct values with their rows are summed in order.  Of more than WALL_VALUES
-    distinct ones a part chosen by hash stands for all, with every value that fills
-    half a cell or more by itself.
+    All distinct values are counted and dealt into ranges; the rows before a range tell
+    which ranges hold a wall, and only there the values are summed in order.
     """
-    counted = df.select(value.alias("value")).where("value IS NOT NULL").groupBy("value").count()
-    facts = counted.agg(F.count(F.lit(1)).alias("values"), F.sum("count").alias("rows")).first()
-    if not facts["values"]:
+    counted = df.select(value.alias("value")).where("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("rows"))
+    counted = cut_lineage(counted)
+    ranges = max(1, -(-counted.count() // WALL_VALUES))
+    # Written once, so that the ranges and their sums belong together.
+    placed = cut_lineage(counted.repartitionByRange(ranges, "value").withColumn("part", F.spark_partition_id())) if ranges > 1 else counted.withColumn("part", F.lit(0))
+    # A number per range comes back.
+    sizes = placed.groupBy("part").agg(F.sum("rows").alias("rows")).orderBy("part").collect()
+    total = float(sum(r["rows"] for r in sizes))
+    shares = [(i + 1) / (walls + 1) for i in range(walls)]
+    before, holding = 0, []
+    for part, rows in sizes:
+        if any(before / total < s <= (before + rows) / total for s in shares):
+            holding.append((part, before))
+        before += rows
+    if not holding:
         return []
-    million = 1_000_000
-    part = min(million, million * WALL_VALUES // facts["values"])
-    heavy = F.col("count") * (2 * (walls + 1)) >= facts["rows"]
-    # At most 2 (walls + 1) heavy values and about WALL_VALUES others.
-    chosen = counted.where(heavy | (F.pmod(F.xxhash64("value"), F.lit(million)) < part))
-    chosen = chosen.withColumn("weight", F.when(heavy, F.col("count").cast("double")).otherwise(F.col("count") * (million / max(part, 1))))
-    order = Window.partitionBy(F.lit(0)).orderBy("value")
-    summed = chosen.select("value", F.sum("weight").over(order).alias("upto"), "weight", F.sum("weight").over(Window.partitionBy(F.lit(0))).alias("all"))
-    first, last = ((F.col("upto") - F.col("weight")) / F.col("all"), F.col("upto") / F.col("all"))
-    shares = F.array(*[F.lit((i + 1) / (walls + 1)) for i in range(walls)])
-    found = summed.select("value", F.explode(F.filter(shares, lambda s: (s > first) & (s <= last))).alias("share"))
+    starts = df.sparkSession.createDataFrame(holding, "part int, before long")
+    inside = Window.partitionBy("part").orderBy("value")
+    summed = placed.join(F.broadcast(starts), "part").withColumn("upto", F.col("before") + F.sum("rows").over(inside))
+    first, last = (F.col("upto") - F.col("rows")) / F.lit(total), F.col("upto") / F.lit(total)
+    found = summed.select("value", F.explode(F.filter(F.array(*[F.lit(s) for s in shares]), lambda s: (s > first) & (s <= last))).alias("share"))
     return [r["value"] for r in found.orderBy("share").collect()]
 
 

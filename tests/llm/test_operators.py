@@ -755,3 +755,9 @@ def test_very_long_texts(spark, rng):
     assert held([item], [f"{t} {item} {t}" for _, t in LONG]) == [[(0, "verbatim")]] * len(LONG)
     scores = [r.quality_score for r in quality.with_quality(docs, quality.LineField(weights=np.random.default_rng(1).normal(size=3 * quality.N_OWN), slope=3.0)).collect()]
     assert len(scores) == len(rows) and all(0 <= s <= 1 for s in scores)
+
+
+def test_walls_of_many_texts_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(hilbert, "WALL_VALUES", 300)
+    df = spark.range(3000).select(F.lpad((F.col("id") * 7 % 3000).cast("string"), 6, "0").alias("v"))
+    assert hilbert.text_walls(df, F.col("v"), 14) == [f"{200 * (i + 1) - 1:06d}" for i in range(14)]
