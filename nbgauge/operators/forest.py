@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nbgauge.operators.trees import NODES, TreeModel, binned, bytes_table, walls_of
+from nbgauge.operators.trees import NODES, TreeModel, binned, bytes_table, distinct_rows, walls_of
 from nbgauge.session import cut_lineage
 
 #: Rows of a node that one task finishes alone.
 IN_TASK_ROWS = 100_000
+#: Rows that a task deals to the trees.
+DEALT_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -161,8 +163,13 @@ def numbered(df: DataFrame, features: Sequence[str], walls: list[np.ndarray], la
     values = [F.col(f"`{c}`").cast("double") for c in features]
     # Equal rows are interchangeable: they are counted, and the copies numbered.
     table = binned(rows.withColumns({"_label": F.col(label).cast("int"), "_hash": F.xxhash64(*values)}), features, walls, "_label", "_hash")
-    counted = table.groupBy("bins", "_label", "_hash").count()
-    copies = counted.select("bins", F.col("_label").alias("label"), "_hash", F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("copy"))
+    counted = cut_lineage(table.groupBy("bins", "_label", "_hash").count())
+    # Copies are made after they are dealt out by runs, so many equal rows do not stay in one task.
+    total = counted.agg(F.sum("count")).first()[0] or 0
+    start = F.explode(F.sequence(F.lit(1).cast("long"), "count", F.lit(DEALT_ROWS).cast("long"))).alias("start")
+    runs = counted.select("*", start).repartition(max(1, -(-total // DEALT_ROWS)), "bins", "_label", "_hash", "start")
+    run = F.sequence("start", F.least("count", F.col("start") + (DEALT_ROWS - 1)))
+    copies = runs.select("bins", F.col("_label").alias("label"), "_hash", F.explode(run).alias("copy"))
     return cut_lineage(copies.select("bins", "label", F.xxhash64("bins", "label", "_hash", "copy").alias("row")))
 
 
@@ -171,22 +178,37 @@ def fold_of(rows: np.ndarray, folds: int, seed: int) -> np.ndarray:
 
 
 def _dealt(rows: DataFrame, plan: Plan) -> DataFrame:
-    """Every row once for each tree that draws it."""
+    """Every row for each tree that draws it; rows of a task equal in bins and label are one row with the sum of their weights."""
+    width = plan.width
+
+    def dealt(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        number, label = table.column(2).to_numpy(), table.column(1).to_numpy().astype("<i4")
+        first, kind = distinct_rows(np.column_stack([bytes_table(table.column(0), width), label.view(np.uint8).reshape(-1, 4)]))
+        bins, labels = table.column(0).take(pa.array(first)).combine_chunks(), label[first]
+        fold = fold_of(number, max(1, plan.folds), plan.seed)
+        for tree, shape in enumerate(plan.shapes):
+            weight = bootstrap_weights(number, tree, plan.seed) if shape.bootstrap else np.ones(len(number), np.int64)
+            weight[fold == plan.left_out[tree]] = 0
+            added = np.bincount(kind, weights=weight, minlength=len(first)).astype(np.int64)
+            drawn = np.flatnonzero(added)
+            if len(drawn):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(drawn), tree, np.int32)), pa.array([""] * len(drawn)), pa.array(added[drawn]), pa.array(labels[drawn]), bins.take(pa.array(drawn))],
+                    names=["tree", "path", "weight", "label", "bins"],
+                )
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            number = batch.column(2).to_numpy()
-            fold = fold_of(number, max(1, plan.folds), plan.seed)
-            for tree, shape in enumerate(plan.shapes):
-                weight = bootstrap_weights(number, tree, plan.seed) if shape.bootstrap else np.ones(len(number), np.int64)
-                weight[fold == plan.left_out[tree]] = 0
-                drawn = np.flatnonzero(weight)
-                if len(drawn):
-                    some = batch.take(pa.array(drawn))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(drawn), tree, np.int32)), pa.array([""] * len(drawn)), pa.array(weight[drawn].astype(np.int64)), some.column(1), some.column(0)],
-                        names=["tree", "path", "weight", "label", "bins"],
-                    )
+            if len(batch):
+                held.append(batch)
+                n += len(batch)
+            if n >= DEALT_ROWS:
+                yield from dealt(held)
+                held, n = [], 0
+        if held:
+            yield from dealt(held)
 
     return rows.select("bins", "label", "row").mapInArrow(deal, _DEALT)
 
@@ -338,10 +360,15 @@ def fold_accuracy(rows: DataFrame, found: DataFrame, plan: Plan, per_forest: int
                 continue
             bins, label = bytes_table(batch.column(0), width), batch.column(1).to_numpy()
             fold = fold_of(batch.column(2).to_numpy(), plan.folds, plan.seed)
+            unseen = {}
+            for k in set(plan.left_out):
+                out = np.flatnonzero(fold == k)
+                first, kind = distinct_rows(bins[out])
+                unseen[k] = out, bins[out][first], kind
             for forest in range(len(right)):
-                out = np.flatnonzero(fold == plan.left_out[forest * per_forest])
-                share = sum(tree.value[tree.leaves(bins[out])] for tree in trees[forest * per_forest : (forest + 1) * per_forest]) / per_forest
-                right[forest] += ((share > 0.5) == (label[out] == 1)).sum()
+                out, some, kind = unseen[plan.left_out[forest * per_forest]]
+                share = sum(tree.value[tree.leaves(some)] for tree in trees[forest * per_forest : (forest + 1) * per_forest]) / per_forest
+                right[forest] += ((share > 0.5)[kind] == (label[out] == 1)).sum()
                 seen[forest] += len(out)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(right))), pa.array(right), pa.array(seen)], names=["forest", "hits", "seen"])
 

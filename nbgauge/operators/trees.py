@@ -99,6 +99,21 @@ def bytes_table(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
 
 
+def distinct_rows(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of bytes of each kind, by place, and the kind of every row.  Rows of one kind take the same way through a tree."""
+    n, width = table.shape
+    if not n or not width:
+        return np.arange(min(n, 1)), np.zeros(n, np.int64)
+    if width <= 8:
+        keys = np.zeros((n, 8), np.uint8)
+        keys[:, :width] = table
+        keys = keys.view(np.uint64).ravel()
+    else:
+        keys = np.ascontiguousarray(table).view(np.dtype((np.void, width))).ravel()
+    _, first, kind = np.unique(keys, return_index=True, return_inverse=True)
+    return first, kind.reshape(-1)
+
+
 @dataclass
 class Tree:
     """Arrays over the nodes, the root first; a leaf is its own child."""
@@ -208,10 +223,12 @@ class TreeModel:
             for batch in batches:
                 values = [x.to_numpy(zero_copy_only=False) for x in batch.flatten()]
                 bins = np.stack([bin_numbers(v, w) for v, w in zip(values, walls)], axis=1)
-                total = np.zeros(len(bins))
+                first, kind = distinct_rows(bins)
+                some = bins[first]
+                total = np.zeros(len(some))
                 for tree in trees:
-                    total += tree.value[tree.leaves(bins)]
-                yield pa.array(total / divide)
+                    total += tree.value[tree.leaves(some)]
+                yield pa.array((total / divide)[kind])
 
         margins.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
         inputs = F.struct(*[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(self.features)])
