@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nbgauge.operators.trees import Tree, TreeModel, bin_numbers
+from nbgauge.operators.trees import Tree, TreeModel, bin_numbers, distinct_rows
 
 #: Rows walked together.
 ROWS = 2_000
@@ -75,10 +75,12 @@ def attributions(model: TreeModel, df: DataFrame, column: str = "attributions",
             for at in range(0, len(batch), ROWS):
                 values = [x.to_numpy(zero_copy_only=False) for x in batch.slice(at, ROWS).flatten()]
                 bins = np.stack([bin_numbers(v, w) for v, w in zip(values, walls)], axis=1)
-                total = np.zeros(bins.shape)
+                first, kind = distinct_rows(bins)
+                some = bins[first]
+                total = np.zeros(some.shape)
                 for tree in trees:
-                    total += tree_attributions(tree, bins)
-                parts.append(total / divide)
+                    total += tree_attributions(tree, some)
+                parts.append((total / divide)[kind])
             flat = np.concatenate(parts).ravel() if parts else np.zeros(0)
             yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * len(walls), pa.int32()), pa.array(flat))
 

@@ -360,3 +360,37 @@ def test_mean_attributions_name_what_matters(spark):
     model = boosting.SecondOrderBoosting(rounds=5, depth=2).fit(df, NAMES)
     found = {r.feature: r.mean_size for r in attribution.mean_attributions(model, df).collect()}
     assert found["a"] > 0.5 and found["c"] == 0 and found["b"] < 0.05 * found["a"]
+
+
+# -- many equal rows --------------------------------------------------------------
+
+
+def test_equal_rows_are_trained_on_once(spark):
+    df = spark.range(3000).select(*[(F.col("id") % 3).cast("double").alias(c) for c in NAMES], (F.col("id") % 3 == 1).cast("int").alias("label"))
+    rows = boosting.training_rows(df, NAMES, trees.walls_of(df, NAMES), "label", 0).df.collect()
+    assert len(rows) == 3 and sum(r._copies for r in rows) == 3000
+
+
+def test_copies_are_added_in_whole_numbers():
+    weight, copies = np.array([2.0**30 - 1, -(2.0**30) + 3, 5.0]), np.array([(1 << 31) + 1, (1 << 30) + 1, 3])
+    assert boosting._added(np.array([0, 1, 0]), weight, copies, 2).tolist() == [((1 << 30) - 1) * ((1 << 31) + 1) + 15, (3 - (1 << 30)) * ((1 << 30) + 1)]
+
+
+def test_equal_rows_are_dealt_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(forest, "DEALT_ROWS", 100)
+    df = spark.range(2000).select(*[F.lit(1.0).alias(c) for c in NAMES], (F.col("id") < 1000).cast("int").alias("label"))
+    rows = forest.numbered(df, NAMES, trees.walls_of(df, NAMES), "label")
+    sizes = [len(p) for p in rows.rdd.glom().collect()]
+    assert sum(sizes) == rows.select("row").distinct().count() == 2000 and max(sizes) <= 600
+    plan = forest.Plan((forest.Shape(),) * 5, (-1,) * 5, 1, 3, 42)
+    dealt = forest._dealt(rows, plan).groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")).collect()
+    number = np.array([r.row for r in rows.collect()])
+    assert {r.tree: r.weight for r in dealt} == {tree: forest.bootstrap_weights(number, tree, 42).sum() for tree in range(5)}
+    assert all(r.n <= 60 for r in dealt)
+
+
+def test_rows_of_a_kind():
+    for width in (1, 3, 8, 9, 30):
+        table = np.random.default_rng(width).integers(0, 2, size=(200, width)).astype(np.uint8)
+        first, kind = trees.distinct_rows(table)
+        assert (table[first][kind] == table).all() and len(first) == len({r.tobytes() for r in table})
