@@ -159,3 +159,22 @@ def test_complexity_rules():
     }
     for source, expected in cases.items():
         assert cell_complexity(source) == expected, source
+
+
+def test_lines_are_searched_once_for_their_identifiers(spark):
+    from pyspark.sql import functions as F
+
+    from nbgauge.functions.code import identifiers_per_line
+
+    df = spark.createDataFrame([("a = b\n\na = b\nfor c in d:\n    1",), (None,), ("1\n2",)], "source string").select(identifiers_per_line(F.col("source")).alias("n"))
+    assert [r["n"] for r in df.collect()] == [2.0, 0.0, 0.0]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 1
+
+
+def test_sound_sources_without_branches_need_no_tree(monkeypatch):
+    from nbgauge.functions import complexity
+
+    whole = {s: complexity.cell_complexity(s) for s in ("return 1", "def f(a, a): pass", "x = 1\nglobal x", "x = (", "a\0b")}
+    assert whole == {"return 1": 1.0, "def f(a, a): pass": 1.0, "x = 1\nglobal x": 1.0, "x = (": 0.0, "a\0b": 0.0}
+    monkeypatch.setattr(complexity.ast, "parse", None)
+    assert complexity.cell_complexity("%matplotlib inline\nx = f(1)\n\ndef g():\n    return x") == 1.0
