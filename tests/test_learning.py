@@ -176,3 +176,12 @@ def test_subwords_beat_word_counts(spark):
 
     learned, counted = right(subwords.train_subword_model(train, "Text")), right(textmodel.train_text_model(train, "Text"))
     assert learned >= counted + 15, (learned, counted)
+
+
+def test_batch_scoring_works_out_the_features_once(spark, monkeypatch):
+    from workloads import learning as queries
+
+    calls, features = [], queries.features
+    monkeypatch.setattr(queries, "features", lambda *a: calls.append(a) or features(*a))
+    scored = queries.batch_scoring(spark, "/root/testdata/sf0.001")
+    assert scored.count() == features(spark, "/root/testdata/sf0.001").count() and len(calls) == 1

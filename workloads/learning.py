@@ -36,9 +36,10 @@ def scores(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(target)
 
 
-def training_rows(spark, sf_dir, **options) -> DataFrame:
+def training_rows(spark, sf_dir, table: DataFrame | None = None, **options) -> DataFrame:
+    """The training set; ``table`` holds the features if a query has written them already."""
     filters = dict(metrics_filters=["LOC < 1000"], scores_filters=["TotalViews >= 500"])
-    return training.training_set(features(spark, sf_dir), scores(spark, sf_dir), **filters, **options)
+    return training.training_set(features(spark, sf_dir) if table is None else table, scores(spark, sf_dir), **filters, **options)
 
 
 JOINED = (
@@ -119,9 +120,10 @@ def train_and_register(spark, sf_dir):
 @query()
 def batch_scoring(spark, sf_dir):
     """All notebooks scored by a model trained on the best and the worst."""
-    rows = training_rows(spark, sf_dir)
+    table = features(spark, sf_dir)
+    rows = training_rows(spark, sf_dir, table)
     model = learning.train(rows.where("split = 'train'"), learning.decision_tree())
-    return training.score_notebooks(model, features(spark, sf_dir).drop("PT"), pt=2)
+    return training.score_notebooks(model, table.drop("PT"), pt=2)
 
 
 @query()
