@@ -149,6 +149,60 @@ class Rows:
         return Rows(new, width, self.single, self.known + len(fresh))
 
 
+    def grown(self, boosting, rounds: int) -> list[Tree]:
+        """All trees of a table of one partition, from the task that holds it: the passes of a tree need no job each."""
+        width = self.width
+
+        def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [_read(batch, width) for batch in batches if len(batch)]
+            if not parts:
+                return
+            held = Held(width, *[np.concatenate(column) for column in zip(*parts)])
+            for number in range(rounds):
+                tree, values = boosting._round(held, [])
+                held.advance(tree, values)
+                columns = [pa.array(getattr(tree, c)) for c in _TREE]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tree.feature), number, np.int32)), *columns], names=["tree", *_TREE])
+
+        schema = "tree int, " + ", ".join(f"{c} {kind}" for c, kind in _TREE.items())
+        table = self.df.mapInArrow(grow, schema).toArrow()
+        number = table["tree"].to_numpy()
+        cuts = np.flatnonzero(np.diff(number, prepend=-1))
+        columns = [table[c].to_numpy() for c in _TREE]
+        return [Tree(*[c[a:b] for c in columns]) for a, b in zip(cuts, [*cuts[1:], len(number)])]
+
+
+#: Arrays of a tree as columns.
+_TREE = {"feature": "long", "bin": "long", "missing_left": "boolean", "left": "long", "right": "long", "value": "double", "cover": "double", "gain": "double"}
+
+
+@dataclass
+class Held:
+    """The training table inside the one task that has all of it; answers as ``Rows`` does."""
+
+    width: int
+    bins: np.ndarray
+    label: np.ndarray
+    block: np.ndarray
+    copies: np.ndarray
+    margin: np.ndarray
+
+    def sums(self, fresh: list, split, best, schema: str, nodes: int) -> list:
+        g, h = _gradients(self.margin, self.label)
+        table = np.column_stack([self.bins, self.block]).astype(np.uint8)
+        total = _histogram(table, split(self.bins), nodes, (g, h, np.ones(len(g))), self.copies)
+        return [row for f in range(self.width + 1) for row in best(f, total[f]).to_pylist()]
+
+    def leaf_sums(self, fresh: list, tree: Tree) -> np.ndarray:
+        n = len(tree.feature)
+        slot = self.block * n + tree.leaves(self.bins)
+        weights = (*_gradients(self.margin, self.label), np.ones(len(slot)))
+        return np.stack([_added(slot, w, self.copies, BLOCKS * n).astype(float) for w in weights], axis=1).reshape(BLOCKS, n, 3)
+
+    def advance(self, tree: Tree, values: np.ndarray) -> None:
+        self.margin = self.margin + values[self.block, tree.leaves(self.bins)]
+
+
 def _read(batch: pa.RecordBatch, width: int):
     bins = bytes_table(batch.column(0), width)
     return bins, batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy(), batch.column(4).to_numpy()
@@ -167,6 +221,21 @@ def training_rows(df: DataFrame, features: Sequence[str], walls: list[np.ndarray
     return Rows(counted.coalesce(partitions).persist(), len(features), partitions == 1)
 
 
+def _boosted(boosting, rows: Rows, rounds: int) -> list[Tree]:
+    """The trees of all rounds: in one task if one has all rows, else a pass over the table per level."""
+    trees: list[Tree] = rows.grown(boosting, rounds) if rows.single else []
+    fresh: list = []
+    # A table without rows has no task that could grow anything.
+    while len(trees) < rounds:
+        tree, values = boosting._round(rows, fresh)
+        trees.append(tree)
+        fresh = [*fresh, (tree, values)]
+        if len(fresh) == FRESH_TREES:
+            rows, fresh = rows.advanced(fresh), []
+    rows.df.unpersist()
+    return trees
+
+
 @dataclass
 class SymmetricBoosting:
     """Symmetric trees on ordered gradients."""
@@ -181,19 +250,14 @@ class SymmetricBoosting:
     def fit(self, df: DataFrame, features: Sequence[str], label: str = "label") -> TreeModel:
         walls = walls_of(df.where(F.col(label).isNotNull()), features, bins=self.bins)
         rows = training_rows(df, features, walls, label, self.seed)
-        trees: list[Tree] = []
-        fresh: list = []
-        for _ in range(self.rounds):
-            tree, sums = self._structure(rows, fresh)
-            final, by_block, cover = self._values(rows.leaf_sums(fresh, tree) if sums is None else sums, tree)
-            tree.value, tree.cover = final, cover
-            trees.append(tree)
-            fresh = [*fresh, (tree, by_block)]
-            if len(fresh) == FRESH_TREES:
-                rows, fresh = rows.advanced(fresh), []
-        rows.df.unpersist()
+        trees = _boosted(self, rows, self.rounds)
         return TreeModel.of(df.sparkSession, features, walls, "margin", trees, learner="symmetric")
 
+    def _round(self, rows: Rows | Held, fresh: list) -> tuple[Tree, np.ndarray]:
+        tree, sums = self._structure(rows, fresh)
+        tree.value, by_block, tree.cover = self._values(rows.leaf_sums(fresh, tree) if sums is None else sums, tree)
+        return tree, by_block
+
     def _structure(self, rows: Rows, fresh: list) -> tuple[Tree, np.ndarray | None]:
         """Walls level by level, each the best for all nodes together, as long as the score rises.
 
@@ -287,17 +351,13 @@ class SecondOrderBoosting:
     def fit(self, df: DataFrame, features: Sequence[str], label: str = "label") -> TreeModel:
         walls = walls_of(df.where(F.col(label).isNotNull()), features, self.weight, self.bins)
         rows = training_rows(df, features, walls, label, self.seed)
-        trees: list[Tree] = []
-        fresh: list = []
-        for _ in range(self.rounds):
-            tree = self._grow(rows, fresh)
-            trees.append(tree)
-            fresh = [*fresh, (tree, np.repeat(tree.value[None], BLOCKS, axis=0))]
-            if len(fresh) == FRESH_TREES:
-                rows, fresh = rows.advanced(fresh), []
-        rows.df.unpersist()
+        trees = _boosted(self, rows, self.rounds)
         return TreeModel.of(df.sparkSession, features, walls, "margin", trees, learner="second order")
 
+    def _round(self, rows: Rows | Held, fresh: list) -> tuple[Tree, np.ndarray]:
+        tree = self._grow(rows, fresh)
+        return tree, np.repeat(tree.value[None], BLOCKS, axis=0)
+
     def _grow(self, rows: Rows, fresh: list) -> Tree:
         # path: (feature, bin, missing left, gradient, second derivative, rows, gain), feature -1 for a leaf.
         nodes: dict[str, tuple] = {}

@@ -394,3 +394,15 @@ def test_rows_of_a_kind():
         table = np.random.default_rng(width).integers(0, 2, size=(200, width)).astype(np.uint8)
         first, kind = trees.distinct_rows(table)
         assert (table[first][kind] == table).all() and len(first) == len({r.tobytes() for r in table})
+
+
+@pytest.mark.parametrize("learner", [boosting.SymmetricBoosting(rounds=12, rate=0.1, depth=3), boosting.SecondOrderBoosting(rounds=12, depth=3)])
+def test_one_task_grows_all_trees_without_a_job_per_level(spark, monkeypatch, learner):
+    df = frame(spark, *table(400, missing=0))
+    monkeypatch.setattr(boosting, "PARTITION_ROWS", 100)
+    by_level = learner.fit(df, NAMES).nodes.orderBy("tree", "path").collect()
+    monkeypatch.setattr(boosting, "PARTITION_ROWS", 100_000)
+    passes = []
+    for name in ("sums", "leaf_sums", "advanced"):
+        monkeypatch.setattr(boosting.Rows, name, lambda self, *a, name=name: passes.append(name))
+    assert learner.fit(df, NAMES).nodes.orderBy("tree", "path").collect() == by_level and not passes
