@@ -178,3 +178,40 @@ def test_sound_sources_without_branches_need_no_tree(monkeypatch):
     assert whole == {"return 1": 1.0, "def f(a, a): pass": 1.0, "x = 1\nglobal x": 1.0, "x = (": 0.0, "a\0b": 0.0}
     monkeypatch.setattr(complexity.ast, "parse", None)
     assert complexity.cell_complexity("%matplotlib inline\nx = f(1)\n\ndef g():\n    return x") == 1.0
+
+
+def test_branches_told_by_words_need_no_tree(monkeypatch):
+    import random
+
+    from nbgauge.functions import complexity
+
+    parts = (
+        "if a and b or c:\n    d\n", "elif e:\n    f\n", "for x in y:\n    z\n", "while a:\n    b\n", "else:\n    c\n", "try:\n    d\nexcept E:\n    f\n",
+        "try:\n    d\nexcept* E:\n    f\n", "[a for b in c if d if e]\n", "f = a if b else c\n", "# if and for\n", "x = 'if a and b'\n", "g = f'{a and b}'\n",
+        "def h():\n    if a:\n        b\n", "assert a or b\n", "x = 1or 2\n", "x = 0xfor 2\n", "é = a and b\n", "a\rif b: c\n", "match x:\n    case 1 if a:\n        b\n",
+        "lambda: a and (b or c)\n", "if a: b\\\n\n", "v = elif_ = x.android\n", "async def i(): pass\n", "with a: b\n", ")", "if\n",
+    )
+    draw = random.Random(3)
+    sources = [*parts, *["".join(draw.choices(parts, k=draw.randint(1, 4))) for _ in range(3000)]]
+    short = [complexity.cell_complexity(s) for s in sources]
+    monkeypatch.setattr(complexity, "_SHORT", -1)
+    assert short == [complexity.cell_complexity(s) for s in sources] and len(set(short)) > 5
+    monkeypatch.undo()
+    monkeypatch.setattr(complexity.ast, "parse", None)
+    assert complexity.cell_complexity("try:\n    for i in range(3):  # and so on\n        h(i)\nexcept ValueError:\n    pass") == 3.0
+
+
+def test_no_pattern_is_compiled_for_a_cell(spark):
+    from pyspark.sql import functions as F
+
+    from nbgauge.functions.code import operand_pieces, parameters
+
+    source = F.col("source")
+    texts = ["a!=b", "a!==b", "!!=", "a\n    **b", "a\n    ==b\n    c", "f(a,\n g(b, c)", "f(a,\n b)", "f()", "f(a, b) + g(c)", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, source string").select("i", operand_pieces(source).alias("o"), parameters(source).alias("p"))
+    found = [(r["o"], r["p"]) for r in df.orderBy("i").collect()]
+    assert [o for o, _ in found][:5] == [["a", "b"], ["a", "b"], ["!"], ["a", "b"], ["a", "b\n    c"]]
+    assert [p for _, p in found] == [0, 0, 0, 0, 0, 2, 0, 1, 3, 0]
+    # split() takes its pattern as text and compiles it for each row, unless it is one plain character.
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "-1)" in plan and "==), -1)" not in plan
