@@ -6,12 +6,14 @@ word adds log(1 + count), shared among its subwords and weighted by how rare a
 bucket is; the weights of a text have length one.  The head tells two classes
 from the mean.
 
-Training reads the texts once and writes their buckets.  A round then reads that
-table: with the head ``h`` and the vectors ``E`` a text's margin needs one number
-per bucket, ``E @ h``, and the gradient of a bucket's vector is ``h`` times one
-number per bucket.  So a round ships ``buckets`` numbers and gets as many back,
-added by Spark, whatever the size of the table.  Parts are whole numbers (units
-of 2^-50) before they are added, so neither order nor partitions change a model.
+Training reads the texts once and writes their buckets, many texts a row, as short
+numbers: a bucket, and the place of its weight among the different weights of the
+row.  A round then reads that table, kept in memory as far as it goes: with the head
+``h`` and the vectors ``E`` a text's margin needs one number per bucket, ``E @ h``,
+and the gradient of a bucket's vector is ``h`` times one number per bucket.  So a
+round ships ``buckets`` numbers and gets as many back, added by Spark, whatever the
+size of the table.  Parts are whole numbers (units of 2^-50) before they are added,
+so neither order nor partitions change a model.
 
 NULL texts and texts without a word have no buckets; their margin is the bias.
 Rows without a label are left out of training; labels other than 0 and 1 are
@@ -24,9 +26,8 @@ import json
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 from uuid import uuid4
 
 import numpy as np
@@ -38,12 +39,15 @@ from pyspark.sql import functions as F
 from nbgauge.session import shared_dir
 
 RUNS = (3, 4, 5)
-#: Words up to this length are remembered by a worker.
-REMEMBERED = 40
+#: Words up to this length are hashed together.
+SHORT = 40
 UNIT = 2.0**50
-#: Bags a task reads per round, at least.
-PART_BYTES = 16 << 20
-BAGS = "label double, ids binary, weights binary"
+#: Characters of the texts that are cut into subwords together, and share a row: what is worked out for them fits a processor's cache.
+CHARS = 1 << 16
+#: Subwords a task reads per round, at least.
+PART = 1 << 22
+#: ``sizes``: subwords of each text (int32); ``ids`` and ``places``: see ``_kind``; ``weights``: the different ones (double).
+BAGS = "labels array<double>, subwords bigint, sizes binary, ids binary, places binary, weights binary"
 TABLE = "bucket int, rarity double, vector array<double>"
 
 _WORD = re.compile(r"\w+")
@@ -53,22 +57,116 @@ def _hashes(word: str, buckets: int) -> np.ndarray:
     marked = f"<{word}>"
     found = {zlib.crc32(marked[i : i + n].encode("utf-8", "surrogatepass")) % buckets for n in RUNS for i in range(len(marked) - n + 1)}
     found.add(zlib.crc32(marked.encode("utf-8", "surrogatepass")) % buckets)
-    return np.array(sorted(found), np.int32)
-
-
-_remembered = lru_cache(1 << 17)(_hashes)
+    return np.array(sorted(found), np.int64)
+
+
+def _crc_steps() -> np.ndarray:
+    """What CRC-32 does with each byte."""
+    steps = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        steps = np.where(steps & 1, steps >> 1 ^ np.uint32(0xEDB88320), steps >> 1)
+    return steps
+
+
+_STEPS = _crc_steps()
+
+
+def _stepped(state: np.ndarray, data: np.ndarray, here: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """CRC-32 of what came before and one character more, of one byte or several."""
+    state = _STEPS[state.astype(np.uint8) ^ data[here]] ^ state >> 8
+    for k in range(1, int((end - here).max(initial=1))):
+        on = np.flatnonzero(end - here > k)
+        state[on] = _STEPS[state[on].astype(np.uint8) ^ data[here[on] + k]] ^ state[on] >> 8
+    return state
+
+
+def _hashed_together(words: list[str], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of the runs of each length and of the whole words, and the word each is in: all at once, character by character."""
+    data = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-8", "surrogatepass"), np.uint8)
+    begin = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    sizes = np.array([*map(len, words)], np.int64) + 2
+    ends = np.cumsum(sizes)
+    word = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(ends, sizes) - np.arange(len(word))
+    fresh = np.uint32(0xFFFFFFFF)
+    at, state = np.arange(len(word)), np.full(len(word), fresh)
+    for n in range(1, max(RUNS) + 1):
+        # Characters that have n - 1 more of their word behind them.
+        on = left[at] >= n
+        at, state = at[on], state[on]
+        state = _stepped(state, data, begin[at + n - 1], begin[at + n])
+        if n in RUNS:
+            yield word[at], (state ^ fresh) % buckets
+    at, state = np.arange(len(words)), np.full(len(words), fresh)
+    for n in range(int(sizes.max(initial=0))):
+        at = at[sizes[at] > n]
+        here = ends[at] - sizes[at] + n
+        state[at] = _stepped(state[at], data, begin[here], begin[here + 1])
+    yield np.arange(len(words)), (state ^ fresh) % buckets
+
+
+def _buckets_of(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words one after the other, ascending in a word and each once, and their number per word."""
+    lengths = np.array([*map(len, words)], np.int64)
+    short = np.flatnonzero(lengths <= SHORT)
+    keys = [short[word] * buckets + found for word, found in _hashed_together([words[i] for i in short], buckets)]
+    keys += [i * buckets + _hashes(words[i], buckets) for i in np.flatnonzero(lengths > SHORT)]
+    keys = np.sort(np.concatenate(keys))
+    keys = keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
+    walls = np.arange(len(words) + 1) * buckets
+    sizes = np.diff(np.searchsorted(keys, walls))
+    return keys - np.repeat(walls[:-1], sizes), sizes
+
+
+def _kind(n: int) -> type:
+    """The type of numbers below ``n``."""
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
+def _bags_of(texts: list[str | None], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    counts = [Counter(_WORD.findall(t.lower() if t else "")) for t in texts]
+    known: dict[str, int] = {}
+    at = np.array([known.setdefault(w, len(known)) for c in counts for w in c], np.int64)
+    ids, sizes = _buckets_of(list(known), buckets)
+    ids, starts, sizes = ids.astype(_kind(buckets)), (np.cumsum(sizes) - sizes)[at], sizes[at]
+    shares = np.log1p(np.array([n for c in counts for n in c.values()], float)) / np.sqrt(sizes)
+    end = 0
+    for c in counts:
+        own, end = slice(end, end + len(c)), end + len(c)
+        if not c:
+            yield np.zeros(0, _kind(buckets)), np.zeros(0)
+            continue
+        n = sizes[own]
+        flat = ids[np.arange(n.sum()) + np.repeat(starts[own] - (np.cumsum(n) - n), n)]
+        # Equal buckets stay in the order of the words: their sum does not depend on the other texts.
+        order = flat.argsort(kind="stable")
+        flat = flat[order]
+        new = np.append(True, flat[1:] != flat[:-1])
+        yield flat[new], np.bincount(np.cumsum(new) - 1, np.repeat(shares[own], n)[order])
+
+
+def _together(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    """Texts in lists of ``CHARS`` characters; an empty text counts as one, a longer text is a list alone."""
+    part, chars = [], 0
+    for text in texts:
+        n = len(text or "") + 1
+        if part and chars + n > CHARS:
+            yield part
+            part, chars = [], 0
+        part.append(text)
+        chars += n
+    if part:
+        yield part
+
+
+def bags(texts: Iterable[str | None], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of each text, ascending, and their weights before rarity and length."""
+    for part in _together(texts):
+        yield from _bags_of(part, buckets)
 
 
 def bag(text: str | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text, ascending, and their weights before rarity and length."""
-    words = Counter(m.group() for m in _WORD.finditer(text.lower() if text else ""))
-    if not words:
-        return np.zeros(0, np.int32), np.zeros(0)
-    parts = [(_remembered if len(w) <= REMEMBERED else _hashes)(w, buckets) for w in words]
-    sizes = np.array([len(p) for p in parts])
-    weights = np.repeat(np.log1p(np.array(list(words.values()), float)) / np.sqrt(sizes), sizes)
-    ids, place = np.unique(np.concatenate(parts), return_inverse=True)
-    return ids, np.bincount(place, weights)
+    return next(bags([text], buckets))
 
 
 def _scaled(weights: np.ndarray, rarity: np.ndarray) -> np.ndarray:
@@ -91,15 +189,29 @@ def _added(df: DataFrame, part, buckets: int) -> np.ndarray:
     return total
 
 
-def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of all texts of a batch one after the other, and the text each belongs to."""
-    pieces = [np.frombuffer(p.as_buffer(), kind) for p in column]
-    return np.concatenate(pieces or [np.zeros(0, kind)]), np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+def _row(labels: list[float], found: list[tuple[np.ndarray, np.ndarray]]) -> dict:
+    """The bags of some texts as a row of ``BAGS``."""
+    sizes = np.array([len(ids) for ids, _ in found], np.int32)
+    weights, places = np.unique(np.concatenate([x for _, x in found]), return_inverse=True)
+    ids = np.concatenate([ids for ids, _ in found])
+    columns = {"sizes": sizes, "ids": ids, "places": places.astype(_kind(len(weights))), "weights": weights}
+    return {"labels": labels, "subwords": len(ids)} | {k: v.tobytes() for k, v in columns.items()}
+
+
+def _ids(value: pa.Scalar, buckets: int) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), _kind(buckets))
 
 
-def _bags(label: pa.Array, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    ids, weights = [[x[k].tobytes() for x in found] for k in (0, 1)]
-    return pa.RecordBatch.from_arrays([label, pa.array(ids, pa.binary()), pa.array(weights, pa.binary())], names=["label", "ids", "weights"])
+def _weighted(row: dict, ids: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Subwords of each text of a row, and the weights with rarity before length."""
+    weights = np.frombuffer(row["weights"].as_buffer())
+    places = np.frombuffer(row["places"].as_buffer(), _kind(len(weights)))
+    return np.frombuffer(row["sizes"].as_buffer(), np.int32), weights[places] * rarity[ids]
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    for values in zip(*batch.columns):
+        yield dict(zip(batch.schema.names, values))
 
 
 def _written(rows: DataFrame) -> DataFrame:
@@ -123,10 +235,7 @@ class SubwordModel:
         rarity, buckets = self.rarity, len(self.rarity)
 
         def answer(texts: pd.Series) -> pd.Series:
-            out = []
-            for text in texts:
-                ids, weights = bag(text, buckets)
-                out.append(function(ids, _scaled(weights, rarity[ids])))
+            out = [function(ids, _scaled(weights, rarity[ids])) for ids, weights in bags(texts, buckets)]
             return pd.Series(out, index=texts.index)
 
         return F.pandas_udf(answer, kind)(F.col(f"`{self.text_col}`").cast("string"))
@@ -171,16 +280,17 @@ class SubwordLearner:
     seed: int = 1
 
     def bags(self, df: DataFrame, text_col: str, label: str) -> DataFrame:
-        """Label and buckets of every labelled text, written once."""
-        buckets = self.buckets
+        """Labels and buckets of all labelled texts, written once."""
+        buckets, schema = self.buckets, pa.schema(
+            [("labels", pa.list_(pa.float64())), ("subwords", pa.int64()), *[(c, pa.binary()) for c in ("sizes", "ids", "places", "weights")]]
+        )
 
         def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                # A few texts at a time: a bag is as large as all buckets at most.
-                for i in range(0, batch.num_rows, 200):
-                    part = batch.slice(i, 200)
-                    found = [bag(t, buckets) for t in part.column(1).to_pylist()]
-                    yield _bags(part.column(0), found)
+                labels = iter(batch.column(0).to_pylist())
+                for part in _together(batch.column(1).to_pylist()):
+                    found = list(_bags_of(part, buckets))
+                    yield pa.RecordBatch.from_pylist([_row([next(labels) for _ in part], found)], schema)
 
         rows = df.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("label"), F.col(f"`{text_col}`").cast("string").alias("text"))
         return _written(rows.mapInArrow(prepare, BAGS))
@@ -192,41 +302,49 @@ class SubwordLearner:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(buckets, np.int64)
             for batch in batches:
-                # A text has a bucket once.
-                total += np.bincount(_flat(batch.column(1), "int32")[0], minlength=buckets)
+                for ids in batch.column(0):
+                    # A text has a bucket once.
+                    total += np.bincount(_ids(ids, buckets), minlength=buckets)
             yield _counted(total)
 
-        return np.log((1 + n) / (1 + _added(rows, count, buckets)[:buckets]))
+        return np.log((1 + n) / (1 + _added(rows.select("ids"), count, buckets)[:buckets]))
 
-    def scaled(self, rows: DataFrame, rarity: np.ndarray) -> DataFrame:
-        """The bags with their final weights, written once for all rounds."""
+    def measured(self, rows: DataFrame, rarity: np.ndarray) -> DataFrame:
+        """The bags with the length of every text."""
+        buckets = self.buckets
 
-        def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = []
-                for ids, weights in zip(batch.column(1), batch.column(2)):
-                    at = np.frombuffer(ids.as_buffer(), "int32")
-                    found.append((at, _scaled(np.frombuffer(weights.as_buffer()), rarity[at])))
-                yield _bags(batch.column(0), found)
+                for row in _rows(batch):
+                    sizes, x = _weighted(row, _ids(row["ids"], buckets), rarity)
+                    ends = np.cumsum(sizes)
+                    lengths = np.array([np.sqrt(x[a:b] @ x[a:b]) for a, b in zip(ends - sizes, ends)])
+                    # Weights of zero stay as they are.
+                    found.append(np.where(lengths > 0, lengths, 1.0).tobytes())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "lengths"])
 
-        return _written(rows.mapInArrow(scale, BAGS))
+        return rows.mapInArrow(measure, f"{BAGS}, lengths binary")
 
-    def gradient(self, rows: DataFrame, weight: np.ndarray, bias: float, shares: dict) -> tuple[np.ndarray, float]:
+    def gradient(self, rows: DataFrame, rarity: np.ndarray, weight: np.ndarray, bias: float, shares: dict) -> tuple[np.ndarray, float]:
         """Per bucket the sum of residual times share; of all texts the sum of residuals."""
         buckets = self.buckets
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(buckets + 1)
             for batch in batches:
-                n = batch.num_rows
-                ids, text = _flat(batch.column(1), "int32")
-                x = _flat(batch.column(2), "float64")[0]
-                label = batch.column(0).to_numpy()
-                margin = np.clip(np.bincount(text, x * weight[ids], n) + bias, -30, 30)
-                residual = (1 / (1 + np.exp(-margin)) - label) * np.where(label == 1, shares[1.0], shares[0.0])
-                # Whole numbers that add up to less than 2^53: exact as doubles.
-                total[:buckets] += np.bincount(ids, np.rint(x * (residual * UNIT)[text]), buckets)
-                total[buckets] += np.rint(residual * UNIT).sum()
+                # One row at a time: its numbers stay in the processor's cache.
+                for row in _rows(batch):
+                    ids = _ids(row["ids"], buckets).astype(np.intp)
+                    sizes, x = _weighted(row, ids, rarity)
+                    x /= np.repeat(np.frombuffer(row["lengths"].as_buffer()), sizes)
+                    label = row["labels"].values.to_numpy()
+                    text = np.repeat(np.arange(len(sizes)), sizes)
+                    margin = np.clip(np.bincount(text, x * weight[ids], len(sizes)) + bias, -30, 30)
+                    residual = (1 / (1 + np.exp(-margin)) - label) * np.where(label == 1, shares[1.0], shares[0.0])
+                    # Whole numbers that add up to less than 2^53: exact as doubles.
+                    total[:buckets] += np.bincount(ids, np.rint(x * np.repeat(residual * UNIT, sizes)), buckets)
+                    total[buckets] += np.rint(residual * UNIT).sum()
             yield _counted(total)
 
         total = _added(rows, add, buckets) / UNIT
@@ -234,9 +352,9 @@ class SubwordLearner:
 
     def fit(self, df: DataFrame, text_col: str = "text", label: str = "label") -> SubwordModel:
         rows = self.bags(df, text_col, label)
-        found = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.octet_length("ids") + F.octet_length("weights")).alias("bytes")).collect()
+        found = rows.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n")).collect()
         counts = {r["label"]: r["n"] for r in found}
-        parts = max(1, -(-sum(r["bytes"] for r in found) // PART_BYTES))
+        parts = max(1, -(-(rows.agg(F.sum("subwords")).first()[0] or 0) // PART))
         if set(counts) - {0.0, 1.0}:
             raise ValueError("labels are 0 and 1")
         draw = np.random.default_rng(self.seed)
@@ -248,11 +366,11 @@ class SubwordLearner:
             return SubwordModel(vectors, np.ones(self.buckets), np.zeros(self.size), bias, text_col, info)
         rarity = self.rarity(rows, sum(counts.values()))
         # Every task answers with its numbers per bucket: small tables need few.
-        rows = self.scaled(rows, rarity).coalesce(parts).persist()
+        rows = self.measured(rows, rarity).coalesce(parts).persist()
         shares = {c: 0.5 / n for c, n in counts.items()}
         bias, moved_vectors, moved_head, moved_bias = 0.0, np.zeros_like(vectors), np.zeros_like(head), 0.0
         for _ in range(self.rounds):
-            slope, residual = self.gradient(rows, vectors @ head, bias, shares)
+            slope, residual = self.gradient(rows, rarity, vectors @ head, bias, shares)
             moved_vectors = self.momentum * moved_vectors - self.step * np.outer(slope, head)
             moved_head = self.momentum * moved_head - self.head_step * (vectors.T @ slope)
             moved_bias = self.momentum * moved_bias - self.head_step * self.step * residual

@@ -1,5 +1,7 @@
 import math
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -107,6 +109,51 @@ def test_bags_of_subwords():
     assert len(ids) <= 64
 
 
+def bag_by_definition(text, buckets):
+    """Word after word, run after run."""
+    found = {}
+    words = re.findall(r"\w+", (text or "").lower())
+    for word in dict.fromkeys(words):
+        marked = f"<{word}>"
+        runs = {marked, *(marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1))}
+        ids = {zlib.crc32(r.encode("utf-8", "surrogatepass")) % buckets for r in runs}
+        for i in ids:
+            found[i] = found.get(i, 0.0) + math.log1p(words.count(word)) / math.sqrt(len(ids))
+    return found
+
+
+def test_bags_of_many_texts(monkeypatch):
+    """Texts are cut together; each gets the bag it has alone."""
+    texts = ["one two two three", None, "", "a b ab <a>", "Straße ÉTÉ naïve 日本語 😀 été", "\ud800x y\udfff", "İstanbul ﬁ _ __ 22"]
+    texts += [f"{'x' * n} {'é' * n} loop{n}" for n in range(1, 50)] + ["", "ab" * 2000, " "]
+    for chars in (subwords.CHARS, 40):
+        monkeypatch.setattr(subwords, "CHARS", chars)
+        for buckets in (7, 1 << 16, 1 << 20):
+            found = list(subwords.bags(texts, buckets))
+            assert len(found) == len(texts)
+            for text, (ids, weights) in zip(texts, found):
+                known = bag_by_definition(text, buckets)
+                assert ids.tolist() == sorted(known) and np.allclose(weights, [known[i] for i in sorted(known)]), (text, buckets)
+                alone = subwords.bag(text, buckets)
+                assert (alone[0] == ids).all() and (alone[1] == weights).all()
+
+
+def test_subword_bags_are_short_and_written_once(spark, monkeypatch):
+    """A round reads a few bytes per subword, and many texts in a row."""
+    draw = random.Random(3)
+    rows = [(" ".join(f"word{draw.randrange(3000)}" for _ in range(120)), i % 2) for i in range(300)]
+    sheet = spark.createDataFrame(rows, "text string, label int").coalesce(2)
+    tables, written = [], subwords._written
+    monkeypatch.setattr(subwords, "_written", lambda df: tables.append(written(df)) or tables[-1])
+    subwords.SubwordLearner(buckets=1 << 16, size=2, rounds=2).fit(sheet)
+    assert len(tables) == 1
+    (bags,) = tables
+    columns = [c for c, kind in bags.dtypes if kind == "binary"]
+    size = sum(len(value) for row in bags.select(*columns).collect() for value in row)
+    subwords_of_all = sum(len(subwords.bag(text, 1 << 16)[0]) for text, _ in rows)
+    assert size < 6 * subwords_of_all and bags.count() < len(rows) / 10
+
+
 def by_hand(bags, labels, learner):
     """The same training on dense matrices."""
     x = np.zeros((len(bags), learner.buckets))
