@@ -44,8 +44,8 @@ SHORT = 40
 UNIT = 2.0**50
 #: Characters of the texts that are cut into subwords together, and share a row: what is worked out for them fits a processor's cache.
 CHARS = 1 << 16
-#: Subwords a task reads per round, at least.
-PART = 1 << 22
+#: Subwords a task reads per round, at least, and buckets that are added together.
+PART, SLICE = 1 << 22, 1 << 12
 #: ``sizes``: subwords of each text (int32); ``ids`` and ``places``: see ``_kind``; ``weights``: the different ones (double).
 BAGS = "labels array<double>, subwords bigint, sizes binary, ids binary, places binary, weights binary"
 TABLE = "bucket int, rarity double, vector array<double>"
@@ -71,45 +71,46 @@ def _crc_steps() -> np.ndarray:
 _STEPS = _crc_steps()
 
 
-def _stepped(state: np.ndarray, data: np.ndarray, here: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """CRC-32 of what came before and one character more, of one byte or several."""
-    state = _STEPS[state.astype(np.uint8) ^ data[here]] ^ state >> 8
-    for k in range(1, int((end - here).max(initial=1))):
+def _stepped(state: np.ndarray, data: np.ndarray, here: np.ndarray, end: np.ndarray | None) -> np.ndarray:
+    """CRC-32 of what came before and one character more, of one byte or up to ``end``."""
+    state = _STEPS.take(state.astype(np.uint8) ^ data.take(here)) ^ state >> 8
+    for k in range(1, 1 if end is None else int((end - here).max(initial=1))):
         on = np.flatnonzero(end - here > k)
         state[on] = _STEPS[state[on].astype(np.uint8) ^ data[here[on] + k]] ^ state[on] >> 8
     return state
 
 
-def _hashed_together(words: list[str], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Buckets of the runs of each length and of the whole words, and the word each is in: all at once, character by character."""
-    data = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-8", "surrogatepass"), np.uint8)
-    begin = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-    sizes = np.array([*map(len, words)], np.int64) + 2
-    ends = np.cumsum(sizes)
-    word = np.repeat(np.arange(len(words)), sizes)
-    left = np.repeat(ends, sizes) - np.arange(len(word))
+def _hashed_together(words: list[str], sizes: np.ndarray, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of the runs of each length, all at once, and of the whole words; and the word each is in."""
+    raw = "".join([f"<{w}>" for w in words]).encode("utf-8", "surrogatepass")
+    data = np.frombuffer(raw, np.uint8)
+    ends = np.cumsum(sizes + 2)
+    # Where characters begin, if some have more than one byte.
+    begin = None if len(data) == ends[-1:].sum() else np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    word = np.repeat(np.arange(len(words)), sizes + 2)
+    left = np.repeat(ends, sizes + 2) - np.arange(len(word))
     fresh = np.uint32(0xFFFFFFFF)
-    at, state = np.arange(len(word)), np.full(len(word), fresh)
+    at = np.flatnonzero(left >= min(RUNS))
+    state = np.full(len(at), fresh)
     for n in range(1, max(RUNS) + 1):
-        # Characters that have n - 1 more of their word behind them.
-        on = left[at] >= n
-        at, state = at[on], state[on]
-        state = _stepped(state, data, begin[at + n - 1], begin[at + n])
+        if n > min(RUNS):
+            # Characters that have n - 1 more of their word behind them.
+            on = np.flatnonzero(left.take(at) >= n)
+            at, state = at.take(on), state.take(on)
+        here = at + (n - 1)
+        state = _stepped(state, data, here, None) if begin is None else _stepped(state, data, begin[here], begin[here + 1])
         if n in RUNS:
-            yield word[at], (state ^ fresh) % buckets
-    at, state = np.arange(len(words)), np.full(len(words), fresh)
-    for n in range(int(sizes.max(initial=0))):
-        at = at[sizes[at] > n]
-        here = ends[at] - sizes[at] + n
-        state[at] = _stepped(state[at], data, begin[here], begin[here + 1])
-    yield np.arange(len(words)), (state ^ fresh) % buckets
+            yield word.take(at), (state ^ fresh) % buckets
+    ends = (ends if begin is None else begin[ends]).tolist()
+    yield np.arange(len(words)), np.array([zlib.crc32(raw[a:b]) % buckets for a, b in zip([0, *ends], ends)], np.int64)
 
 
 def _buckets_of(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words one after the other, ascending in a word and each once, and their number per word."""
     lengths = np.array([*map(len, words)], np.int64)
     short = np.flatnonzero(lengths <= SHORT)
-    keys = [short[word] * buckets + found for word, found in _hashed_together([words[i] for i in short], buckets)]
+    some = words if len(short) == len(words) else [words[i] for i in short]
+    keys = [(short * buckets).take(word) + found for word, found in _hashed_together(some, lengths[short], buckets)]
     keys += [i * buckets + _hashes(words[i], buckets) for i in np.flatnonzero(lengths > SHORT)]
     keys = np.sort(np.concatenate(keys))
     keys = keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
@@ -137,12 +138,12 @@ def _bags_of(texts: list[str | None], buckets: int) -> Iterator[tuple[np.ndarray
             yield np.zeros(0, _kind(buckets)), np.zeros(0)
             continue
         n = sizes[own]
-        flat = ids[np.arange(n.sum()) + np.repeat(starts[own] - (np.cumsum(n) - n), n)]
+        flat = ids.take(np.arange(n.sum()) + np.repeat(starts[own] - (np.cumsum(n) - n), n))
         # Equal buckets stay in the order of the words: their sum does not depend on the other texts.
         order = flat.argsort(kind="stable")
-        flat = flat[order]
+        flat = flat.take(order)
         new = np.append(True, flat[1:] != flat[:-1])
-        yield flat[new], np.bincount(np.cumsum(new) - 1, np.repeat(shares[own], n)[order])
+        yield flat[new], np.bincount(np.cumsum(new) - 1, np.repeat(shares[own], n).take(order))
 
 
 def _together(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
@@ -176,16 +177,26 @@ def _scaled(weights: np.ndarray, rarity: np.ndarray) -> np.ndarray:
 
 
 def _counted(values: np.ndarray) -> pa.RecordBatch:
-    """The buckets whose number is not zero."""
-    at = np.flatnonzero(values)
-    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(values[at].astype(np.int64))], names=["bucket", "total"])
+    """Whole numbers, one per bucket, ``SLICE`` buckets a row."""
+    parts = [values[i : i + SLICE].astype(np.int64).tobytes() for i in range(0, len(values), SLICE)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "total"])
+
+
+def _slices_added(rows: pa.Table) -> pa.Table:
+    total = 0
+    for part in rows["total"]:
+        total = total + np.frombuffer(part.as_buffer(), np.int64)
+    return pa.table({"slice": rows["slice"][:1], "total": pa.array([total.tobytes()], pa.binary())})
 
 
 def _added(df: DataFrame, part, buckets: int) -> np.ndarray:
-    """Numbers per bucket of all tasks, added: at most ``buckets`` rows come back."""
-    rows = df.mapInArrow(part, "bucket int, total long").groupBy("bucket").agg(F.sum("total").alias("total")).toArrow()
+    """Numbers per bucket of all tasks, added slice by slice."""
+    kind = "slice int, total binary"
+    rows = df.mapInArrow(part, kind).groupBy("slice").applyInArrow(_slices_added, kind).toArrow()
     total = np.zeros(buckets + 1)
-    total[rows["bucket"].to_numpy()] = rows["total"].to_numpy()
+    for i, values in zip(rows["slice"].to_pylist(), rows["total"]):
+        found = np.frombuffer(values.as_buffer(), np.int64)
+        total[i * SLICE : i * SLICE + len(found)] = found
     return total
 
 
@@ -206,7 +217,7 @@ def _weighted(row: dict, ids: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarra
     """Subwords of each text of a row, and the weights with rarity before length."""
     weights = np.frombuffer(row["weights"].as_buffer())
     places = np.frombuffer(row["places"].as_buffer(), _kind(len(weights)))
-    return np.frombuffer(row["sizes"].as_buffer(), np.int32), weights[places] * rarity[ids]
+    return np.frombuffer(row["sizes"].as_buffer(), np.int32), weights.take(places.astype(np.intp)) * rarity.take(ids)
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -340,10 +351,10 @@ class SubwordLearner:
                     x /= np.repeat(np.frombuffer(row["lengths"].as_buffer()), sizes)
                     label = row["labels"].values.to_numpy()
                     text = np.repeat(np.arange(len(sizes)), sizes)
-                    margin = np.clip(np.bincount(text, x * weight[ids], len(sizes)) + bias, -30, 30)
+                    margin = np.clip(np.bincount(text, x * weight.take(ids), len(sizes)) + bias, -30, 30)
                     residual = (1 / (1 + np.exp(-margin)) - label) * np.where(label == 1, shares[1.0], shares[0.0])
                     # Whole numbers that add up to less than 2^53: exact as doubles.
-                    total[:buckets] += np.bincount(ids, np.rint(x * np.repeat(residual * UNIT, sizes)), buckets)
+                    np.add.at(total, ids, np.rint(x * np.repeat(residual * UNIT, sizes)))
                     total[buckets] += np.rint(residual * UNIT).sum()
             yield _counted(total)
 
