@@ -269,14 +269,19 @@ def identifiers_per_line(source: Column) -> Column:
 # -- comments -----------------------------------------------------------------
 
 
-def comment_lines(source: Column) -> Column:
-    """LOCom: lines of triple-quoted blocks at a line start, plus ``#`` comments."""
+def block_lines(source: Column) -> Column:
+    """Lines of triple-quoted blocks at a line start."""
     text = or_empty(source)
     quoted = F.contains(text, F.lit("'''")) | F.contains(text, F.lit('"""'))
     blocks = F.regexp_extract_all(text, F.lit(COMMENT_BLOCK), F.lit(0))
     # Lines of all blocks: one per block plus the line breaks inside.
-    block_lines = F.when(quoted, F.size(blocks) + occurrences(F.array_join(blocks, ""), "\n")).otherwise(none())
-    return block_lines + F.when(F.contains(text, F.lit("#")), matches(text, "(?d)#.+")).otherwise(none())
+    return F.when(quoted, F.size(blocks) + occurrences(F.array_join(blocks, ""), "\n")).otherwise(none())
+
+
+def comment_lines(source: Column) -> Column:
+    """LOCom: lines of triple-quoted blocks at a line start, plus ``#`` comments."""
+    text = or_empty(source)
+    return block_lines(source) + F.when(F.contains(text, F.lit("#")), matches(text, "(?d)#.+")).otherwise(none())
 
 
 def comment_words(source: Column) -> Column:

@@ -1,7 +1,8 @@
 """CyC: cyclomatic complexity of the module level of a cell.
 
 The one metric that needs a parser.  Arrow batches go to the Python workers;
-each distinct source of a batch is parsed once.
+each distinct source of a batch is parsed once.  The words that make branches
+are found in all short, plain sources of a batch at once.
 """
 
 from __future__ import annotations
@@ -9,16 +10,20 @@ from __future__ import annotations
 import ast
 import gc
 import re
-import symtable
 import sys
 import warnings
 
+import _symtable
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from nbgauge.functions.scan import BLANK, ENDER, Cells, batches_of, code_of
+
 # The functions travel with the query; workers need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -78,7 +83,7 @@ def _children(kind: type) -> tuple[str, ...]:
 def _sound(source: str) -> bool:
     """Whether the symbol table takes a source, which is parsed for it without a tree of objects; it refuses more than the parser does."""
     try:
-        symtable.symtable(source, "<cell>", "exec")
+        _symtable.symtable(source, "<cell>", "exec")
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return False
     return True
@@ -90,6 +95,10 @@ def cell_complexity(source: str) -> float:
     branches = _MAY_BRANCH.search(source)
     if len(source) <= _SHORT and not (branches and _NEEDS_TREE.search(source)) and _sound(source):
         return 1.0 + (len(_BRANCH_WORD.findall(_COMMENT.sub("", source))) if branches else 0)
+    return _tree_complexity(source, bool(branches))
+
+
+def _tree_complexity(source: str, branches: bool) -> float:
     try:
         pending: list = [ast.parse(source)]
     except (SyntaxError, ValueError, RecursionError, MemoryError):
@@ -114,6 +123,54 @@ def cell_complexity(source: str) -> float:
     return float(total)
 
 
+_MAY_CODES, _BRANCH_CODES, _TREE_CODES = (
+    np.array([code_of(w) for w in words.split()], np.uint64)
+    for words in ("if for while except assert and or match", "if elif for while except and or", "def class assert else match case")
+)
+
+
+def branch_words(cells: Cells) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per plain cell what the patterns above tell: whether it may branch, whether that needs a tree, and its branch words outside comments."""
+    first, end, letter = cells.words()
+    codes = np.where(letter == first, cells.codes(first, end), np.uint64(0))
+    may = cells.count(first[np.isin(codes, _MAY_CODES)]) > 0
+    needs = cells.count(first[np.isin(codes, _TREE_CODES) | ((letter > first) & (letter < end))]) > 0
+    for character in "'\"\\":
+        needs |= cells.count(cells.of(character)) > 0
+    handlers = end[codes == np.uint64(code_of("except"))]
+    if len(handlers):
+        marks = np.flatnonzero(((cells.kind & BLANK) == 0) | ((cells.kind & ENDER) != 0))
+        following = marks[np.searchsorted(marks, handlers)]
+        needs[cells.cell[following[cells.bytes[following] == ord("*")]]] = True
+    words = first[np.isin(codes, _BRANCH_CODES)]
+    comments = cells.of("#")
+    if len(comments) and len(words):
+        at = np.searchsorted(comments, words) - 1
+        enders = np.flatnonzero(cells.kind & ENDER)
+        # A word is in a comment if no line ends between it and the sign before it.
+        words = words[(at < 0) | (np.searchsorted(enders, comments[at]) != np.searchsorted(enders, words))]
+    return may, needs, cells.count(words)
+
+
+def complexities(sources: pa.Array) -> list[float]:
+    """Complexity of each source of a batch without NULLs."""
+    # Sources too long for the symbol table, or with a line that is cut, are told one by one.
+    short = pc.and_(pc.less_equal(pc.binary_length(sources), _SHORT), pc.invert(pc.match_substring(sources, "%matplotlib")))
+    shown = pc.if_else(short, sources, pa.scalar("", sources.type))
+    out: list[float] = []
+    for a, b in batches_of(shown):
+        cells = Cells(shown.slice(a, b - a))
+        may, needs, words = branch_words(cells)
+        told = short.slice(a, b - a).to_numpy(zero_copy_only=False) & ~cells.odd() & ~(may & needs)
+        counted = np.where(may, words, 0) + 1.0
+        for source, some, n, branches in zip(sources.slice(a, b - a).to_pylist(), told.tolist(), counted.tolist(), may.tolist()):
+            if not some:
+                out.append(cell_complexity(source))
+            else:
+                out.append(n if _sound(source) else _tree_complexity(source, branches))
+    return out
+
+
 @F.arrow_udf(DoubleType())
 def _complexity_of_batch(sources: pa.Array) -> pa.Array:
     encoded = sources.dictionary_encode()
@@ -123,7 +180,7 @@ def _complexity_of_batch(sources: pa.Array) -> pa.Array:
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            distinct = pa.array([cell_complexity(s) for s in encoded.dictionary.to_pylist()], pa.float64())
+            distinct = pa.array(complexities(encoded.dictionary), pa.float64())
     finally:
         if collects:
             gc.enable()

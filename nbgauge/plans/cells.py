@@ -11,6 +11,7 @@ from nbgauge import schemas
 from nbgauge.functions import code as C
 from nbgauge.functions import markdown as M
 from nbgauge.functions.complexity import cyclomatic_complexity
+from nbgauge.functions.scan import scan_of
 from nbgauge.functions.text import or_empty
 from nbgauge.operators.popularity import api_popularity, with_import_score, with_imports
 from nbgauge.plans.popularity import updated_popularity
@@ -31,21 +32,30 @@ def code_cell_metrics(
 ) -> DataFrame:
     """All metrics of code cells; ``EAP`` only with a popularity table.
 
-    ``keep`` names further columns to hand on.  Map-only.  Arrays that several metrics need are projected first; Catalyst
-    keeps the two projections apart and drops what a query does not ask for.
+    ``keep`` names further columns to hand on.  Map-only.  Plain cells are scanned many at once; of other cells the arrays
+    that several metrics need are projected first.  Catalyst keeps the projections apart and drops what a query does not ask for.
     """
     source, output = F.col("source"), F.col("output_type")
     cells = code_cells.select("kernel_id", "cell_index", "source", "output_type", *keep)
     if fill_null:
         cells = cells.withColumn("source", or_empty(source))
-    symbols = cells.withColumn("_symbols", C.operator_symbols(source))
+    # Both steps get the cells in one hand-over.
+    scanned = cells.withColumns({"_scan": scan_of(source), "CyC": cyclomatic_complexity(source)})
+    plain = F.col("_scan").isNotNull()
+
+    def other(value: Column) -> Column:
+        return F.when(~plain, value)
+
+    def metric(name: str, value: Column) -> Column:
+        return F.coalesce(F.col(f"_scan.{name}"), value).alias(name)
+
+    symbols = scanned.withColumn("_symbols", other(C.operator_symbols(source)))
     arrays = with_imports(symbols, strict).withColumns(
         {
-            "_operators": C.operator_counts_of(source, F.col("_symbols")),
-            "_operands": C.operand_pieces(source),
-            "_tokens": C.identifier_tokens(source),
-            "_calls": C.call_arguments(source),
-            "CyC": cyclomatic_complexity(source),
+            "_operators": other(C.operator_counts_of(source, F.col("_symbols"))),
+            "_operands": other(C.operand_pieces(source)),
+            "_tokens": other(C.identifier_tokens(source)),
+            "_calls": other(C.call_arguments(source)),
         }
     )
     operators, operands, tokens = F.col("_operators"), F.col("_operands"), F.col("_tokens")
@@ -53,28 +63,28 @@ def code_cell_metrics(
         "kernel_id",
         "cell_index",
         "API",
-        C.lines_of_code(source).alias("LOC"),
+        metric("LOC", C.lines_of_code(source)),
         C.blank_cell(source).alias("BLC"),
-        C.function_definitions(source).alias("UDF"),
-        C.import_statements(source).alias("I"),
-        C.exception_handlers(source).alias("EH"),
-        C.mean_line_length(source).alias("ALLC"),
+        metric("UDF", C.function_definitions(source)),
+        metric("I", C.import_statements(source)),
+        metric("EH", C.exception_handlers(source)),
+        metric("ALLC", C.mean_line_length(source)),
         C.display_outputs(output).alias("NVD"),
         C.result_outputs(output).alias("NEC"),
-        C.statements(source).alias("S"),
-        C.parameters_of(F.col("_calls")).alias("P"),
-        C.identifiers_per_line(source).alias("KLCID"),
-        C.nested_block_depth(source).alias("NBD"),
-        C.operators_of(operators).alias("OPRATOR"),
-        F.size(operands).cast("bigint").alias("OPRND"),
-        F.size(F.array_distinct(operands)).cast("bigint").alias("UOPRND"),
-        C.unique_operators_of(operators).alias("UOPRATOR"),
-        C.identifiers_of(tokens).alias("ID"),
-        C.mean_identifier_length_of(tokens).alias("ALID"),
-        C.max_identifier_length_of(tokens).alias("MLID"),
+        metric("S", C.statements(source)),
+        metric("P", C.parameters_of(F.col("_calls"))),
+        metric("KLCID", C.identifiers_per_line(source)),
+        metric("NBD", C.nested_block_depth(source)),
+        metric("OPRATOR", C.operators_of(operators)),
+        metric("OPRND", F.size(operands).cast("bigint")),
+        metric("UOPRND", F.size(F.array_distinct(operands)).cast("bigint")),
+        metric("UOPRATOR", C.unique_operators_of(operators)),
+        metric("ID", C.identifiers_of(tokens)),
+        metric("ALID", C.mean_identifier_length_of(tokens)),
+        metric("MLID", C.max_identifier_length_of(tokens)),
         "CyC",
-        C.comment_lines(source).alias("LOCom"),
-        C.comment_words(source).alias("CW"),
+        F.when(plain, C.block_lines(source) + F.col("_scan.hash_lines")).otherwise(C.comment_lines(source)).alias("LOCom"),
+        metric("CW", C.comment_words(source)),
         *keep,
     )
     if popularity is None:
