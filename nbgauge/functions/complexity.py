@@ -1,8 +1,9 @@
 """CyC: cyclomatic complexity of the module level of a cell.
 
 The one metric that needs a parser.  Arrow batches go to the Python workers;
-each distinct source of a batch is parsed once.  The words that make branches
-are found in all short, plain sources of a batch at once.
+each distinct source of a batch is looked at once.  The words that make branches
+are found in all short, plain sources of a batch at once, and those of simple
+statements are known to parse without the parser.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from nbgauge.functions.grammar import surely_parse
 from nbgauge.functions.scan import BLANK, ENDER, Cells, batches_of, code_of
 
 # The functions travel with the query; workers need not have the package.
@@ -162,12 +164,15 @@ def complexities(sources: pa.Array) -> list[float]:
         cells = Cells(shown.slice(a, b - a))
         may, needs, words = branch_words(cells)
         told = short.slice(a, b - a).to_numpy(zero_copy_only=False) & ~cells.odd() & ~(may & needs)
-        counted = np.where(may, words, 0) + 1.0
-        for source, some, n, branches in zip(sources.slice(a, b - a).to_pylist(), told.tolist(), counted.tolist(), may.tolist()):
-            if not some:
-                out.append(cell_complexity(source))
-            else:
-                out.append(n if _sound(source) else _tree_complexity(source, branches))
+        found = np.where(may, words, 0) + 1.0
+        # The parser is asked for what a simpler check does not know.
+        left = np.flatnonzero(~surely_parse(cells, told))
+        for at, source in zip(left.tolist(), sources.take(pa.array(left + a)).to_pylist()):
+            if not told[at]:
+                found[at] = cell_complexity(source)
+            elif not _sound(source):
+                found[at] = _tree_complexity(source, bool(may[at]))
+        out += found.tolist()
     return out
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from nbgauge.functions import code as C
 from nbgauge.functions import scan as S
 from nbgauge.functions.complexity import cell_complexity, complexities
+from nbgauge.functions.grammar import surely_parse
 
 PIECES = [
     "import ", "import a, b", "from os.path import join", "def ", "def f(x):", "try:", "while", "for", "if ", "elif x:", "except", "except *", " and ",
@@ -79,3 +80,34 @@ def test_complexity_of_a_batch_is_that_of_each_cell(recwarn):
     assert got == [cell_complexity(t) for t in texts]
     assert [g > 0 for g in got] == [by_tree(t) for t in texts]
     assert sum(g > 0 for g in got) > 200
+
+
+TOKENS = [
+    "a", "b", "f", "1", "0", "01", "1.5", ".", "a.b", "True", "None", "(", ")", "[", "]", "(", ")", ",", "=", "+=", "+", "-", "*", "**", "==", "<", "and", "or",
+    "in", "is", "not", "if", "for", "while", "import", "from", "as", "def", "try", "except", "else", "return", "pass", ":", "\n", "\n    ", "\n  ", "# c", "~", "!=", "f(a)",
+    "a[0]", "a, b", "x = 1", "f(a=1)", "a=1", "if a:", "try:", "except A:", "finally:", "for i in b:", "def f(a, b=1):", "import a", "from a import b", "1.", "..", "match",
+    "print", "lambda", "!", "<>", "//=", "@", "{", ";", "elif b:", "\n    pass", "\n    x = 1", "except:", "'a'", "\t", "a[1:2]", "async", "print a", "\n\n",
+]
+PARSED = [
+    "", "\n\n", "# only", "x = f(a, b=1)\ny += x[0].z", "a = b = c, 1.5", "import a.b as c, d\nfrom e.f import g, h as i", "if a < b and c:\n    f(\n  a,\n)\nelif d:\n    pass",
+    "try:\n    for i in range(3):\n        h(i,\n          2)\nexcept ValueError:\n    pass", "def f(x, y=2):\n    return x ** -2 + y", "  # c\nx = [1, 2]  # d (\n", "def f():\n  while a:\n    b = ()\n  return",
+]
+BROKEN = [
+    "if a, b:\n    c", "f(a=1, b)", "f() = 1", "a + b = 1", "a, b += 1", "x = 1 y", "def f(a=1, b):\n    pass", "if a:\nb", "if a:\n    b\n  c", " x", "try:\n    a\nb", "elif a:\n    b", "a[]", "(a]",
+    "1.2.3", "1.a", "012", "a = 1 = b", "None = 1", "f(a.b=1)", "import a.b.", "from a import b.c", "import a as b.c", "from a.b as c import d", "[a=1]", "a b", "f(", ")", "x = ", "for a.b c:\n    d",
+    "a <> b", "a = = b", "f(,)", "except:\n    a", "try:\n    a\nfinally:\n    b\nexcept:\n    c", "while a:", "a ++", "import", "return return", "f(a)(b) = c", "x: = 1", "f(a=b=c)", "f(a += 1)", "match a:\n    b",
+]
+
+
+def test_what_surely_parses_does():
+    draw = random.Random(5)
+    texts = [*(" ".join(draw.choice(TOKENS) for _ in range(draw.randint(1, 9))) for _ in range(20_000)), *("".join(draw.choice(TOKENS) for _ in range(draw.randint(1, 8))) for _ in range(20_000))]
+    cells = S.Cells(pa.array([*PARSED, *BROKEN, *texts, "a", "a" * 900]))
+    sure = surely_parse(cells, ~cells.odd())
+    assert sure[: len(PARSED)].all()
+    assert not any(by_tree(t) for t in BROKEN) and not sure[len(PARSED) : len(PARSED) + len(BROKEN)].any()
+    taken = [t for t, s in zip(texts, sure[len(PARSED) + len(BROKEN) :]) if s]
+    assert len(taken) > 2000 and all(map(by_tree, taken)) and sure[-2:].all()
+    # Depths at which the parser gives up are left to it.
+    deep = S.Cells(pa.array(["(" * 90 + "a" + ")" * 90, "a" + "**a" * 300, "- " * 400 + "a"]))
+    assert not surely_parse(deep, ~deep.odd()).any()
