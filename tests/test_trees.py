@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -406,3 +407,45 @@ def test_one_task_grows_all_trees_without_a_job_per_level(spark, monkeypatch, le
     for name in ("sums", "leaf_sums", "advanced"):
         monkeypatch.setattr(boosting.Rows, name, lambda self, *a, name=name: passes.append(name))
     assert learner.fit(df, NAMES).nodes.orderBy("tree", "path").collect() == by_level and not passes
+
+
+def test_walls_by_order_are_those_by_table():
+    draw = np.random.default_rng(4)
+    for least_leaf, heaviest in ((1, 1), (3, 9)):
+        node, bins = draw.integers(0, 40, 3000), draw.integers(0, 256, 3000) // draw.integers(1, 60, 3000)
+        node[:40] = np.arange(40)
+        label, weight = draw.integers(0, 2, 3000), draw.integers(1, heaviest + 1, 3000)
+        ones = np.bincount(node, weights=weight * label)
+        total = np.bincount(node, weights=weight) - ones, ones
+        by_table = forest._walls_by_table(node * 256 + bins, label, weight, total, least_leaf)
+        by_order = forest._walls_by_order(node * 256 + bins, label, weight, total, least_leaf)
+        found = np.isfinite(by_table[0])
+        assert (by_table[0] == by_order[0]).all() and (by_table[1] == by_order[1])[found].all() and found.any()
+
+
+def test_what_is_left_of_a_node_is_its_larger_part():
+    """Histograms of a level, of which half of the nodes are counted, are those of a table that begins there."""
+    draw = np.random.default_rng(5)
+    columns = draw.integers(0, 9, (2000, 3)).astype(np.uint8), draw.integers(0, 2, 2000), draw.integers(0, 8, 2000), draw.integers(1, 4, 2000), draw.normal(size=2000)
+    levels = [np.zeros(2000, int)]
+    for f in range(3):
+        levels.append(2 * levels[-1] + (columns[0][:, f] > 2))
+    # Some rows end in a node that is not looked at.
+    levels[3] = np.where(levels[2] == 1, 6, np.minimum(levels[3], 6))
+
+    def seen(held, node, nodes, open_nodes, weight):
+        sums = []
+        held.sums([], lambda bins, before: node, lambda f, total: (sums.append(total[:open_nodes]), pa.table({"f": [f]}))[1], "", nodes, open_nodes, weight)
+        return np.array(sums)
+
+    held = boosting.Held(3, *columns)
+    for level, (nodes, open_nodes) in enumerate(((1, 1), (2, 2), (4, 4), (7, 6))):
+        found = seen(held, levels[level], nodes, open_nodes, True)
+        assert (found == seen(boosting.Held(3, *columns), levels[level], nodes, open_nodes, True)).all() and found.any()
+
+
+def test_a_large_training_table_stays_in_one_task(spark):
+    df = spark.range(150_000).select(*[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(90)).cast("double").alias(n) for k, n in enumerate(NAMES)], (F.col("id") % 2).cast("int").alias("label"))
+    rows = boosting.training_rows(df, NAMES, trees.walls_of(df, NAMES), "label", 0)
+    assert rows.single and rows.df.count() > 100_000
+    rows.df.unpersist()
